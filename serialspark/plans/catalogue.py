@@ -1,9 +1,16 @@
+"""All queries of the library."""
+
+from __future__ import annotations
+
+from serialspark.plans import q_decode, q_evaluation, q_text  # noqa: F401
+from serialspark.plans.registry import ORACLES, QUERIES
+
 FLAGSHIP = "recognize_batch"
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
