@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
 
-from .common import id_bucket
+from .common import id_bucket, written
 
 PER_CLASS, NEIGHBOURS, BLOCK, CHI_SQUARED, MOST_TERMS, PRIOR_VOTES = 1500, 15, 64, 25.0, 2048, 0.5
 PREFIXES = (4, 6)
@@ -70,27 +70,16 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 class Index:
     """Examples as (doc_id, toxic, term counts), and the share of toxic rows among all labelled ones."""
 
-    def __init__(self, examples: list[tuple[int, int, dict[str, int]]], share: float, k: int = NEIGHBOURS, chi_squared: float = CHI_SQUARED, most_terms: int = MOST_TERMS):
+    def __init__(self, examples: list[tuple[int, int, dict[str, int]]], share: float, kept: list[tuple[str, int]], k: int = NEIGHBOURS):
+        """kept: the terms that count, with the number of examples that have them."""
         self.k, self.share = k, share
         n, toxic = len(examples), sum(t for _, t, _ in examples)
         self.trained = 0 < toxic < n
         if not self.trained:
             return
-        present: dict[str, list[int]] = {}
-        for _, t, counts in examples:
-            for term in counts:
-                present.setdefault(term, [0, 0])[t] += 1
-
-        def dependence(clean_with: int, toxic_with: int) -> float:
-            have = clean_with + toxic_with
-            gap = toxic_with * (n - toxic) - clean_with * toxic
-            return n * gap * gap / (toxic * (n - toxic) * have * (n - have)) if 0 < have < n else 0.0
-
-        ranked = sorted(((dependence(*c), term) for term, c in present.items() if sum(c) >= 3), key=lambda x: (-x[0], x[1]))
-        kept = [term for d, term in ranked[:most_terms] if d >= chi_squared]
-        self.term_no = {t: i for i, t in enumerate(kept)}
-        self.terms = kept
-        self.idf = np.array([np.log((1 + n) / (1 + sum(present[t]))) + 1 for t in kept])
+        self.terms = [t for t, _ in kept]
+        self.term_no = {t: i for i, t in enumerate(self.terms)}
+        self.idf = np.array([np.log((1 + n) / (1 + df)) + 1 for _, df in kept])
         vectors = [self.vector(c) for _, _, c in examples]
         # examples whose heaviest terms agree lie together, which keeps the blocks' bounds low
         order = sorted(range(n), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]) if len(vectors[i][0]) else -1, examples[i][0]))
@@ -166,6 +155,17 @@ class Index:
         return min(1.0, max(0.0, value)), evidence
 
 
+def dependent_terms(examples: DataFrame, chi_squared: float = CHI_SQUARED, most_terms: int = MOST_TERMS) -> list[tuple[str, int]]:
+    """(term, examples that have it) of the terms that depend most on the label, from (toxic, terms)."""
+    size = examples.agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
+    by_term = examples.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("have"), F.sum("toxic").alias("hit")).where("have >= 3")
+    n, t, have, hit = (F.col(c).cast("double") for c in ("n", "t", "have", "hit"))
+    gap = hit * (n - t) - (have - hit) * t
+    chi = n * gap * gap / (t * (n - t) * have * (n - have))
+    found = by_term.crossJoin(F.broadcast(size)).where("0 < t and t < n and have < n").withColumn("chi", chi).where(F.col("chi") >= chi_squared)  # size is one row
+    return [(r.term, r.have) for r in found.orderBy(F.desc("chi"), "term").limit(most_terms).collect()]
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> Index:
     """An index of a bounded sample of the labelled rows that may be learned from: crc32 of the id as text, mod 5, isn't 0.
 
@@ -177,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col:
     share = total.get(1, 0) / max(1, sum(total.values()))
     chosen = [r for t in (0, 1) for r in known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()]
     if not chosen:
-        return Index([], share, **options)
+        return Index([], share, [])
     # at most 2 * per_class rows of two numbers
     small = F.broadcast(docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in chosen], "doc_id long, toxic int"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(small, "doc_id")
@@ -187,9 +187,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col:
             found = [term_counts(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "terms": [list(c) for c in found], "counts": [list(c.values()) for c in found]})
 
-    rows = texts.mapInPandas(terms, "doc_id long, toxic int, terms array<string>, counts array<int>").collect()
-    rows.sort(key=lambda r: (r.doc_id, len(r.terms), r.terms))
-    return Index([(r.doc_id, r.toxic, dict(zip(r.terms, r.counts, strict=True))) for r in rows], share, **options)
+    examples = written(texts.mapInPandas(terms, "doc_id long, toxic int, terms array<string>, counts array<int>"), "examples")
+    kept = dependent_terms(examples, **options)
+    own = F.filter(F.arrays_zip("terms", "counts"), lambda x: x["terms"].isin([t for t, _ in kept]))
+    rows = examples.select("doc_id", "toxic", own.alias("own")).collect()
+    rows.sort(key=lambda r: (r.doc_id, len(r.own), r.own))
+    return Index([(r.doc_id, r.toxic, {x.terms: x.counts for x in r.own}) for r in rows], share, kept)
 
 
 def scorer(docs: DataFrame, index: Index):
