@@ -149,9 +149,9 @@ def _features(spark, sf):
     return images, windows, P.window_features(images, windows)
 
 
-@query(f"{FEATURES} select image_id, x1, y1, x2, y2, round(edge_mean, 2) as edge_mean, round(var_mean, 2) as var_mean from f")
+@query(f"{FEATURES} select image_id, x1, y1, x2, y2, round(edge_mean, 8) as edge_mean, round(var_mean, 8) as var_mean from f")
 def window_features(spark, sf):
-    return _features(spark, sf)[2].withColumns({c: F.round(c, 2) for c in ("edge_mean", "var_mean")})
+    return _features(spark, sf)[2].withColumns({c: F.round(c, 8) for c in ("edge_mean", "var_mean")})
 
 
 @query(f"{FEATURES} select image_id, x1 from f where edge_mean >= 270 and var_mean >= 100")
