@@ -31,7 +31,7 @@ from .common import chunks, free_name
 
 # The printable stand-ins of bytes in byte-level vocabularies keep these ranges as they are.
 PRINTABLE = ((33, 126), (161, 172), (174, 255))
-BATCH_CHARS = 16_000_000
+BATCH_CHARS = 4_000_000
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
 
 
