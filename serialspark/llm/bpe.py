@@ -212,8 +212,13 @@ def codes_column(spark: SparkSession, path: str, *fields: str):
     @F.pandas_udf(StructType([StructField(f, KINDS[f]) for f in fields]))
     def codes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            rows = [[make[f](ids, text) for f in fields] for ids, text in encode_batch(texts, shared.value)]
-            yield pd.DataFrame(dict(zip(fields, map(list, zip(*rows, strict=True)), strict=True)) if rows else {f: [] for f in fields})
+            # frames of one chunk each: the results of a whole batch aren't held at once
+            texts = list(texts)
+            for lo, hi in chunks(texts, BATCH_CHARS):
+                rows = [[make[f](ids, text) for f in fields] for ids, text in encode_batch(texts[lo:hi], shared.value)]
+                yield pd.DataFrame(dict(zip(fields, map(list, zip(*rows, strict=True)), strict=True)))
+            if not texts:
+                yield pd.DataFrame({f: [] for f in fields})
 
     return codes
 
