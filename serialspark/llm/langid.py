@@ -30,7 +30,7 @@ from .common import chunks, free_name, id_bucket
 
 UNKNOWN = "und"
 PER_LANGUAGE, TRAINING_WORDS, BUCKETS, STRETCH, ROUNDS, RATE, DECAY = 150, 400_000, 1 << 16, 16, 40, 0.5, 1e-6
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 2_000_000
 WORD = re.compile(r"[^\W\d_]+")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 PREDICTED = StructType().add("lang_pred", StringType()).add("score", DoubleType())
