@@ -29,6 +29,7 @@ from pyspark.sql.types import LongType
 
 from .common import written
 from .components import connected_components
+from .near_copies import keep_first  # noqa: F401
 
 SEED, SHINGLE, RADIUS, BLOCKS, PIVOTS, BUCKET_ROWS = 42, 3, 3, 5, 48, 4096
 
@@ -163,13 +164,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     out = fps.join(named, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those in the group of a smaller id; rows without an id stay, columns stay as they are.
-
-    Rows that share an id and a fingerprint's group all stay or all go.
-    """
-    found = near_duplicates(docs, id_col, text_col)
-    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "copies")
-    return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
