@@ -1,13 +1,13 @@
 """Toxicity scores from nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
 Terms are lower-cased words, beginnings of four and six letters, and beginnings that several words of a text
-share. Of those in the labelled sample, the
-ones whose presence depends on the label (chi-squared) are kept. A text's weights are (1 + ln tf) idf over
-kept terms, scaled to length 1. Examples lie in blocks; the index has the postings of each term and block and
+share. All terms of the labelled sample count; document frequencies are of all documents. A text's weights are
+(1 + ln tf) idf times a factor that rises from ``LEAST_FACTOR`` to 1 with the dependence of the term's presence
+on the label (chi-squared), scaled to length 1. Examples lie in blocks; the index has the postings of each term and block and
 their largest weight. A text's blocks are taken by falling upper bound, and the search ends when no block can
 still hold one of the ``k`` nearest, so the neighbours are exact. They vote with the square of their cosine;
 votes are calibrated by isotonic regression on the examples themselves, each left out of its own search and
-weighted by its class's share among all labelled rows. Texts without a kept term get the share of toxic ones
+weighted by its class's share among all labelled rows. Texts without a term of the sample get the share of toxic ones
 among such examples.
 
 The sample is bounded: at most ``per_class`` whole texts of each label, those of the smallest hash of the id.
@@ -18,6 +18,7 @@ every score is the share of toxic labels, or 0. An empty table gives an empty on
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,7 +30,8 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, Struc
 
 from .common import id_bucket, written
 
-PER_CLASS, NEIGHBOURS, BLOCK, CHI_SQUARED, MOST_TERMS, PRIOR_VOTES = 1500, 15, 64, 25.0, 2048, 0.5
+PER_CLASS, NEIGHBOURS, BLOCK, CHI_SQUARED, LEAST_FACTOR, PRIOR_VOTES = 1500, 15, 64, 25.0, 0.1, 0.5
+FIRST_BLOCKS, SCORED_ROWS = 8, 256
 PREFIXES = (4, 6)
 WORD = re.compile(r"[^\W\d_]+")
 EVIDENCE = ArrayType(StructType().add("doc_id", LongType()).add("toxic", LongType()).add("cosine", DoubleType()).add("terms", ArrayType(StringType())))
@@ -70,16 +72,17 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 class Index:
     """Examples as (doc_id, toxic, term counts), and the share of toxic rows among all labelled ones."""
 
-    def __init__(self, examples: list[tuple[int, int, dict[str, int]]], share: float, kept: list[tuple[str, int]], k: int = NEIGHBOURS):
-        """kept: the terms that count, with the number of examples that have them."""
+    def __init__(self, examples: list[tuple[int, int, dict[str, int]]], share: float, terms: list[str], have: np.ndarray, n_docs: int, k: int = NEIGHBOURS, chi_squared: float = CHI_SQUARED):
+        """terms: all terms of the examples; have: how many of the n_docs documents have them."""
         self.k, self.share = k, share
         n, toxic = len(examples), sum(t for _, t, _ in examples)
         self.trained = 0 < toxic < n
         if not self.trained:
             return
-        self.terms = [t for t, _ in kept]
+        self.terms = terms
         self.term_no = {t: i for i, t in enumerate(self.terms)}
-        self.idf = np.array([np.log((1 + n) / (1 + df)) + 1 for _, df in kept])
+        chi = dependence(examples, self.term_no)
+        self.idf = (np.log((1 + n_docs) / (1 + have)) + 1) * (LEAST_FACTOR + (1 - LEAST_FACTOR) * np.minimum(chi / chi_squared, 1))
         vectors = [self.vector(c) for _, _, c in examples]
         # examples whose heaviest terms agree lie together, which keeps the blocks' bounds low
         order = sorted(range(n), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]) if len(vectors[i][0]) else -1, examples[i][0]))
@@ -97,44 +100,76 @@ class Index:
         self.y = (self.y * n + share) / (n + 1)
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """(kept terms, weights) of a text, rising by term."""
+        """(known terms, weights) of a text, rising by term."""
         found = sorted((no, c) for t, c in counts.items() if (no := self.term_no.get(t)) is not None)
         terms = np.array([no for no, _ in found], np.int64)
         weight = (1 + np.log(np.array([c for _, c in found], float))) * self.idf[terms]
         return terms, weight / np.sqrt((weight**2).sum()) if len(found) else weight
 
     def _post(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Postings sorted by term, block and example; where each term and block begins; its largest weight."""
+        """Postings sorted by term, block and example."""
         self.blocks = -(-len(vectors) // BLOCK)
         term = np.concatenate([t for t, _ in vectors])
         example = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
         weight = np.concatenate([w for _, w in vectors])
-        cell = term * self.blocks + example // BLOCK
-        order = np.lexsort((example, cell))
-        self.example, self.weight = example[order], weight[order]
-        self.start = np.searchsorted(cell[order], np.arange(len(self.terms) * self.blocks + 1))
-        self.most = np.zeros(len(self.terms) * self.blocks)
-        np.maximum.at(self.most, cell, weight)
-        self.most = self.most.reshape(len(self.terms), self.blocks)
+        order = np.lexsort((example, term))
+        self.example, self.weight = example[order].astype(np.int32), weight[order]
+        self.postings = np.bincount(term, minlength=len(self.terms)).astype(np.int32)
+        self._derive()
+
+    def _derive(self) -> None:
+        """Where each term and block begins, its largest weight, and each example's terms; all follow from the postings."""
+        term = np.repeat(np.arange(len(self.terms)), self.postings)
+        cell = term * self.blocks + self.example // BLOCK
+        self.start = np.searchsorted(cell, np.arange(len(self.terms) * self.blocks + 1)).astype(np.int32)
+        most = np.zeros(len(self.terms) * self.blocks)
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        most[cell[first]] = np.maximum.reduceat(self.weight, first)
+        self.most = most.reshape(len(self.terms), self.blocks)
+        order = np.argsort(self.example, kind="stable")
+        self.terms_of = np.split(term[order], np.cumsum(np.bincount(self.example, minlength=len(self.toxic)))[:-1])
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("start", "most", "terms_of", "term_no")}
+
+    def __setstate__(self, state: dict) -> None:
+        """Executors get the postings alone; the rest is many times their size."""
+        self.__dict__.update(state)
+        if self.trained:
+            self.term_no = {t: i for i, t in enumerate(self.terms)}
+            self._derive()
 
     def nearest(self, vector: tuple[np.ndarray, np.ndarray], leave_out: int = -1) -> list[tuple[float, int]]:
         """The k examples of the largest cosine above 0, as (cosine, example), best first."""
         terms, weight = vector
         bound = weight @ self.most[terms]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == self.k and bound[b] < best[-1][0] - 1e-12:
+        for blocks in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
+            if len(best) == self.k:  # what can't hold one of the nearest is left out
+                blocks = blocks[bound[blocks] >= best[-1][0] - 1e-12]
+            if not len(blocks):
                 break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weight.tolist(), strict=True):
-                lo, hi = self.start[t * self.blocks + b], self.start[t * self.blocks + b + 1]
-                score[self.example[lo:hi] - b * BLOCK] += w * self.weight[lo:hi]
-            if leave_out // BLOCK == b and leave_out >= 0:
-                score[leave_out % BLOCK] = 0
-            own = [(round(float(score[i]), 12), b * BLOCK + i) for i in np.flatnonzero(score > 0).tolist()]
+            score = self._scores(terms, weight, np.sort(blocks))
+            if leave_out >= 0:
+                score[leave_out] = 0
+            found = np.flatnonzero(score > 0)
+            if len(found) > self.k:
+                found = found[score[found] >= np.partition(score[found], -self.k)[-self.k] - 1e-11]
+            own = [(round(float(score[i]), 12), i) for i in found.tolist()]
             best = sorted([*best, *own], key=lambda x: (-x[0], x[1]))[: self.k]
         return best
 
+    def _scores(self, terms: np.ndarray, weight: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """The cosine of all examples in the blocks; 0 for others."""
+        cells = terms[:, None] * self.blocks + blocks[None, :]
+        lo = self.start[cells].astype(np.int64)
+        n = self.start[cells + 1] - lo
+        per_term, lo, n = n.sum(axis=1), lo.ravel(), n.ravel()
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.example[at], weights=np.repeat(weight, per_term) * self.weight[at], minlength=len(self.toxic))
+
     def _votes(self, near: list[tuple[float, int]]) -> float:
         total = sum(c * c for c, _ in near)
         return (sum(c * c for c, i in near if self.toxic[i]) + PRIOR_VOTES * self.share) / (total + PRIOR_VOTES)
@@ -150,20 +185,44 @@ class Index:
         value = float(np.interp(self._votes(near), self.x, self.y))
         evidence = []
         for c, i in near[:5]:
-            shared = [self.terms[t] for t in vector[0].tolist() if (self.example[self.start[t * self.blocks + i // BLOCK] : self.start[t * self.blocks + i // BLOCK + 1]] == i).any()]
+            shared = [self.terms[t] for t in np.intersect1d(vector[0], self.terms_of[i], assume_unique=True).tolist()]
             evidence.append({"doc_id": int(self.doc_ids[i]), "toxic": int(self.toxic[i]), "cosine": min(1.0, c), "terms": shared})
         return min(1.0, max(0.0, value)), evidence
 
 
-def dependent_terms(examples: DataFrame, chi_squared: float = CHI_SQUARED, most_terms: int = MOST_TERMS) -> list[tuple[str, int]]:
-    """(term, examples that have it) of the terms that depend most on the label, from (toxic, terms)."""
-    size = examples.agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
-    by_term = examples.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("have"), F.sum("toxic").alias("hit")).where("have >= 3")
-    n, t, have, hit = (F.col(c).cast("double") for c in ("n", "t", "have", "hit"))
+def dependence(examples: list[tuple[int, int, dict[str, int]]], term_no: dict[str, int]) -> np.ndarray:
+    """Chi-squared of each term's presence against the label; 0 for terms of all examples."""
+    n, t = float(len(examples)), float(sum(toxic for _, toxic, _ in examples))
+    have, hit = np.zeros(len(term_no)), np.zeros(len(term_no))
+    for _, toxic, counts in examples:
+        own = [term_no[x] for x in counts]
+        have[own] += 1
+        hit[own] += toxic
     gap = hit * (n - t) - (have - hit) * t
-    chi = n * gap * gap / (t * (n - t) * have * (n - have))
-    found = by_term.crossJoin(F.broadcast(size)).where("0 < t and t < n and have < n").withColumn("chi", chi).where(F.col("chi") >= chi_squared)  # size is one row
-    return [(r.term, r.have) for r in found.orderBy(F.desc("chi"), "term").limit(most_terms).collect()]
+    below = t * (n - t) * have * (n - have)
+    return np.divide(n * gap * gap, below, out=np.zeros_like(gap), where=below > 0)
+
+
+def document_counts(docs: DataFrame, terms: list[str], text_col: str = "text") -> tuple[np.ndarray, int]:
+    """(how many documents have each of the terms, how many documents there are); counted in each task, then added."""
+    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = shared.value
+        have, n = np.zeros(len(number) + 1, np.int64), 0
+        for pdf in batches:
+            for text in pdf["text"]:
+                have[[no for t in term_counts(text) if (no := number.get(t)) is not None]] += 1
+            n += len(pdf)
+        have[-1] = n
+        found = np.flatnonzero(have)
+        yield pd.DataFrame({"term": found, "have": have[found]})
+
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(count, "term long, have long").groupBy("term").agg(F.sum("have").alias("have")).collect()
+    have = np.zeros(len(terms) + 1, np.int64)
+    for r in rows:
+        have[r.term] = r.have
+    return have[:-1], int(have[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> Index:
@@ -177,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col:
     share = total.get(1, 0) / max(1, sum(total.values()))
     chosen = [r for t in (0, 1) for r in known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()]
     if not chosen:
-        return Index([], share, [])
+        return Index([], share, [], np.zeros(0), 0)
     # at most 2 * per_class rows of two numbers
     small = F.broadcast(docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in chosen], "doc_id long, toxic int"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(small, "doc_id")
@@ -188,11 +247,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "terms": [list(c) for c in found], "counts": [list(c.values()) for c in found]})
 
     examples = written(texts.mapInPandas(terms, "doc_id long, toxic int, terms array<string>, counts array<int>"), "examples")
-    kept = dependent_terms(examples, **options)
-    own = F.filter(F.arrays_zip("terms", "counts"), lambda x: x["terms"].isin([t for t, _ in kept]))
-    rows = examples.select("doc_id", "toxic", own.alias("own")).collect()
-    rows.sort(key=lambda r: (r.doc_id, len(r.own), r.own))
-    return Index([(r.doc_id, r.toxic, {x.terms: x.counts for x in r.own}) for r in rows], share, kept)
+    rows = [(r.doc_id, r.toxic, dict(zip(map(sys.intern, r.terms), r.counts, strict=True))) for r in examples.toLocalIterator()]
+    rows.sort(key=lambda r: (r[0], len(r[2]), sorted(r[2].items())))
+    known_terms = sorted({t for _, _, counts in rows for t in counts})
+    return Index(rows, share, known_terms, *document_counts(docs, known_terms, text_col), **options)
 
 
 def scorer(docs: DataFrame, index: Index):
@@ -202,7 +260,8 @@ def scorer(docs: DataFrame, index: Index):
     @F.pandas_udf(SCORED)
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([shared.value.score(t) for t in texts], columns=SCORED.names)
+            for i in range(0, len(texts), SCORED_ROWS):  # evidence is far larger than the texts' own memory
+                yield pd.DataFrame([shared.value.score(t) for t in texts.iloc[i : i + SCORED_ROWS]], columns=SCORED.names)
 
     return score
 
