@@ -6,11 +6,13 @@ times the item's length from it.
 
 The CGK walk reads a sequence with a pointer that advances, after each step, by a random bit that depends on
 the step and on the word read; sequences at a small edit distance get outputs at a small Hamming distance.
-Items of about one length form a class. Windows of that size start at every ``stride``-th word of a document;
+Items of about one length form a class. Windows of that size start at every ``stride``-th word of a document,
+counted from its first, or closer where the class has shorter items, so that a copy of any item holds a start;
 of the items, the suffixes from each of the first ``stride`` words are embedded too, so that one of them lies
 flush with a window. Each repetition has a walk and a few sampled steps of its own; the words put out there
 are the bucket key. Repetitions are added until copies of the items with as many random edits as are allowed
-meet their item in at least ``recall`` of the cases. Windows that hold too few of the items' word trigrams to
+meet their item in at least ``recall`` of the cases; a class that misses that after ``MOST_REPETITIONS`` has all
+its items aligned at all windows. Windows that hold too few of the items' word trigrams to
 be within the distance (by the q-gram lemma, so without loss) aren't embedded. Where an item and a window
 meet, the item is aligned with the words around by Myers' bit-vector algorithm, which is exact.
 
@@ -75,7 +77,9 @@ class SizeClass:
     gram: int
     least_grams: int
     window: int
+    stride: int
     steps: int = 0
+    exact: bool = False
     turns: list[np.ndarray] = field(default_factory=list)
     sampled: list[np.ndarray] = field(default_factory=list)
     keys: list[np.ndarray] = field(default_factory=list)
@@ -135,7 +139,7 @@ class Index:
         sizes = [len(self.words[i]) for i in own]
         shared = lambda q: min(n - q + 1 - q * self.edits(n) for n in sizes)
         gram = 3 if min(sizes) >= 8 and shared(3) > 0 else 1
-        c = SizeClass(own, min(sizes), max(sizes), gram, max(shared(gram), 1), max(n + self.edits(n) for n in sizes))
+        c = SizeClass(own, min(sizes), max(sizes), gram, max(shared(gram), 1), max(n + self.edits(n) for n in sizes), min(self.stride, *[n - self.edits(n) for n in sizes]))
         c.steps = max(1, 3 * c.shortest // 2)
         tries = [i for _ in range(max(1, 400 // len(own))) for i in own]
         copies = [self._edited(self.words[i], rng) for i in tries]
@@ -143,16 +147,17 @@ class Index:
         while met.mean() < recall and len(c.keys) < MOST_REPETITIONS or not c.keys:
             turns = rng.integers(0, 2, (c.steps, 256))
             sampled = np.sort(rng.choice(c.steps, min(samples, c.steps), replace=False))
-            offsets = [(i, o) for i in own for o in range(min(self.stride, len(self.words[i])))]
+            offsets = [(i, o) for i in own for o in range(c.stride)]
             keys = self._keys([self.words[i][o:] for i, o in offsets], turns, sampled)
             by_key = np.argsort(keys, kind="stable")
             c.turns.append(turns), c.sampled.append(sampled), c.keys.append(keys[by_key]), c.owners.append(np.array([i for i, _ in offsets])[by_key])
-            starts = [int(rng.integers(0, self.stride)) for _ in copies]
-            seen = self._keys([w[o:] if len(w) > o else w for w, o in zip(copies, starts, strict=True)], turns, sampled)
+            starts = [int(rng.integers(0, c.stride)) for _ in copies]
+            seen = self._keys([w[o:] for w, o in zip(copies, starts, strict=True)], turns, sampled)
             own_keys = defaultdict(set)
             for (i, _), k in zip(offsets, keys.tolist(), strict=True):
                 own_keys[i].add(k)
             met |= np.array([k in own_keys[i] for i, k in zip(tries, seen.tolist(), strict=True)])
+        c.exact = bool(met.mean() < recall)
         return c
 
     def _keys(self, rows: list[np.ndarray], turns: np.ndarray, sampled: np.ndarray) -> np.ndarray:
@@ -194,15 +199,21 @@ class Index:
                 hit &= ids[j : j + len(hit)] > 0
             flags[q] = np.concatenate(([0], np.cumsum(hit), np.full(gap, hit.sum())))
         met: dict[tuple[int, int], list[int]] = {}
-        base = np.arange(0, len(ids), self.stride)
         for c in self.classes:
             # every window that overlaps a run within the distance, from its first words on, holds that many grams or begins up to a stride later
             seen = flags[c.gram]
-            lo = np.maximum(base - self.stride + 1, 0)
+            n_starts = -(-np.array(sizes) // c.stride)
+            base = np.repeat(first[:-1], n_starts) + c.stride * (np.arange(n_starts.sum()) - np.repeat(np.cumsum(n_starts) - n_starts, n_starts))
+            lo = np.maximum(base - c.stride + 1, 0)
             starts = base[seen[np.minimum(base + c.window, len(ids))] - seen[lo] >= c.least_grams]
             if not len(starts):
                 continue
             text_of = np.searchsorted(first, starts, side="right") - 1
+            if c.exact:
+                for t, at in zip(text_of.tolist(), starts.tolist(), strict=True):
+                    for i in c.items:
+                        met.setdefault((t, i), []).append(at)
+                continue
             for turns, sampled, keys, owners in zip(c.turns, c.sampled, c.keys, c.owners, strict=True):
                 key = embed(ids, starts, turns, sampled)
                 a, b = np.searchsorted(keys, key, side="left"), np.searchsorted(keys, key, side="right")
@@ -221,7 +232,7 @@ class Index:
             if best:
                 out[t].append((self.ids[i], best[0], 1 - best[0] / n, best[1], best[2]))
         for found in out:
-            found.sort()
+            found.sort(key=lambda m: (m[0] is not None, m[0] or 0, *m[1:]))
         return out
 
     @staticmethod
@@ -243,7 +254,7 @@ class Index:
 def leaks_columns(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, **options) -> list:
     """Functions of a text column, one for each block of items; the size of a block is bounded, whatever the benchmark's."""
     spark = benchmark.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-size // block_chars)
     out = []
