@@ -27,12 +27,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import chunks, free_name
+from .common import chunks, free_name, gathered
 
 # The printable stand-ins of bytes in byte-level vocabularies keep these ranges as they are.
 PRINTABLE = ((33, 126), (161, 172), (174, 255))
 BATCH_CHARS = 4_000_000
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
+SPECIAL = "\n"  # no word holds white space, so this marks pieces that are special tokens
+# Capitals whose small forms Python's tables don't have, as (first, last, distance); a final sigma isn't told from others.
+NEWER_CAPITALS = ((0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27))
+LOWER = {c: c + by for first, last, by in NEWER_CAPITALS for c in range(first, last + 1)} | {ord("Σ"): "σ"}
+
+
+# Letters and numbers that the regex module knows and the tokenizers library (Unicode 16) doesn't, as ranges.
+NEWER_LETTERS = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1),
+    (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DF1, 0x11DF1), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3),
+    (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81),
+    (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD),
+    (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+NEWER_NUMBERS = ((0x11DE0, 0x11DE9), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16FF4, 0x16FF6))
+
+
+# Marks that Python's tables reorder or compose and the library's don't, as ranges.
+NEWER_MARKS = (
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC),
+    (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0),
+    (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE),
+    (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+)
+NEWER_MARK = regex.compile(f"([{''.join(f'{chr(a)}-{chr(b)}' for a, b in NEWER_MARKS)}])")
+
+
+def composed(text: str) -> str:
+    """Normal form C with the library's tables: newer marks stay where they are and part what is around them."""
+    if not NEWER_MARK.search(text):
+        return unicodedata.normalize("NFC", text)
+    return "".join([part if i % 2 else unicodedata.normalize("NFC", part) for i, part in enumerate(NEWER_MARK.split(text))])
+
+
+def library_pattern(pattern: str) -> regex.Pattern:
+    """The split pattern with the library's classes of letters, numbers and white space."""
+    less = lambda name, ranges: rf"[\p{{{name}}}--[{''.join(f'{chr(a)}-{chr(b)}' for a, b in ranges)}]]"
+    return regex.compile(pattern.replace(r"\p{L}", less("L", NEWER_LETTERS)).replace(r"\p{N}", less("N", NEWER_NUMBERS)).replace(r"\s", r"\p{White_Space}"), regex.V1)
 
 
 def byte_symbols() -> list[str]:
@@ -48,8 +86,9 @@ class Vocabulary:
     def __init__(self, source: str):
         spec = json.loads(source)
         model, steps = spec["model"], spec["pre_tokenizer"]["pretokenizers"]
-        known = {"NFC", "Replace", "Lowercase"}
-        if model["type"] != "BPE" or {n["type"] for n in spec["normalizer"]["normalizers"]} != known or [s["type"] for s in steps] != ["Split", "ByteLevel"] or spec["decoder"]:
+        known = ["NFC", "Replace", "Lowercase"]
+        plain = [n["type"] for n in spec["normalizer"]["normalizers"]] == known and [s["type"] for s in steps] == ["Split", "ByteLevel"] and not any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
+        if model["type"] != "BPE" or not plain or spec["decoder"] or any(model.get(k) for k in ("dropout", "unk_token", "ignore_merges", "byte_fallback", "continuing_subword_prefix")):
             raise ValueError("this tokenizer file needs steps that are not implemented")
         ids, end = model["vocab"], model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -66,23 +105,23 @@ class Vocabulary:
         keys = self.left << 32 | self.right
         self.by_key = np.argsort(keys, kind="stable")
         self.keys = keys[self.by_key]
-        self.pattern = regex.compile(steps[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
+        self.pattern = library_pattern(steps[0]["pattern"]["Regex"])
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def pieces(self, text: str) -> list[str]:
-        """Runs of the normalised text that no word crosses; special tokens, found in the raw text, alone."""
+        """Runs of the normalised text that no word crosses; special tokens, found in the raw text only, alone and with a mark."""
         if not (self.split and any(s in text for s in self.special)):
             return self._plain_pieces(text)
         parts = self.split.split(text)
-        return [x for part in parts for x in ([part] if part in self.special else self._plain_pieces(part))]
+        return [x for part in parts for x in ([SPECIAL + part] if part in self.special else self._plain_pieces(part))]
 
     def _plain_pieces(self, text: str) -> list[str]:
-        plain = (text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")).lower()
+        plain = (text if text.isascii() else composed(text).translate(LOWER)).lower()
         # these are white space to str.split, but not to the pattern
         return self.pattern.findall(plain) if ODD_SPACE.search(plain) else plain.split()
 
     def words(self, piece: str) -> list[str]:
-        return [piece] if piece in self.special else self.pattern.findall(piece)
+        return [piece] if piece.startswith(SPECIAL) else self.pattern.findall(piece)
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The merge rank of each pair of symbols, -1 for none."""
@@ -92,7 +131,7 @@ class Vocabulary:
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words one after the other, number of ids of each word)."""
-        special = np.array([self.special.get(w, -1) for w in words], np.int64)
+        special = np.array([self.special[w[len(SPECIAL) :]] if w.startswith(SPECIAL) else -1 for w in words], np.int64)
         blobs = [b"" if s >= 0 else w.encode("utf-8", "surrogatepass") for w, s in zip(words, special.tolist(), strict=True)]
         size = np.maximum(np.fromiter(map(len, blobs), np.int64, len(blobs)), special >= 0)  # a special token takes one place
         end = np.cumsum(size)
@@ -166,12 +205,6 @@ def load(path: str) -> Vocabulary:
         return Vocabulary(f.read())
 
 
-def gathered(rows: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The places start[r] .. start[r] + size[r] - 1 of each row r, one after the other."""
-    n = size[rows]
-    return np.arange(int(n.sum())) + np.repeat(start[rows] - (np.cumsum(n) - n), n)
-
-
 def encode_batch(texts, vocabulary: Vocabulary) -> Iterator[tuple[np.ndarray, str]]:
     """(token ids, decoded text) of each text. Pieces and words that recur are split and merged once."""
     texts = list(texts)
@@ -182,7 +215,7 @@ def encode_batch(texts, vocabulary: Vocabulary) -> Iterator[tuple[np.ndarray, st
         words = [[word_no[w] for w in vocabulary.words(p)] for p in piece_no]
         ids, size = vocabulary.encode_words(list(word_no))
         flat = np.fromiter(chain.from_iterable(words), np.int64)
-        ids = ids[gathered(flat, np.cumsum(size) - size, size)]
+        ids = ids[gathered((np.cumsum(size) - size)[flat], size[flat])]
         each = np.fromiter(map(len, words), np.int64, len(words))
         size = np.bincount(np.repeat(np.arange(len(words)), each), weights=size[flat], minlength=len(words)).astype(np.int64)
         start = np.cumsum(size) - size
@@ -191,7 +224,7 @@ def encode_batch(texts, vocabulary: Vocabulary) -> Iterator[tuple[np.ndarray, st
         decoded = [" ".join(tokens[s : s + n]) for s, n in zip(start.tolist(), size.tolist(), strict=True)]
         for row in rows:
             row = row[size[row] > 0]
-            yield ids[gathered(row, start, size)], " ".join([decoded[p] for p in row.tolist()])
+            yield ids[gathered(start[row], size[row])], " ".join([decoded[p] for p in row.tolist()])
 
 
 KINDS = {"n_tokens": LongType(), "ids": ArrayType(IntegerType()), "ids_sha256": StringType(), "decoded": StringType(), "decoded_sha256": StringType()}

@@ -2,30 +2,59 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+class _Letters(dict):
+    """A table for str.translate that keeps letters and makes spaces of all else; filled as characters come up."""
+
+    def __missing__(self, c: int) -> int:
+        self[c] = c if chr(c).isalpha() else 32
+        return self[c]
+
+
+_LETTERS = _Letters()
+
+
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters, lower-cased. Digits, fractions and other numerals are no letters."""
+    return text.lower().translate(_LETTERS).split() if text else []
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for all executors; a local one only where none is set."""
+    """The folder that the cluster names for all executors. On a local master a temporary one serves where none is set; elsewhere that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+_tables: list[str] = []  # written by this driver and not yet dropped
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A place in the shared folder that drop_tables will delete."""
+    _tables.append(f"{shared_dir(spark)}/serialspark/{name}-{uuid.uuid4().hex}")
+    return _tables[-1]
+
+
 def written(df: DataFrame, name: str, *partition_by: str, codec: str = "zstd") -> DataFrame:
     """Writes df as a table in the shared folder and reads it back, so later steps don't compute it again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/serialspark/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     writer = df.write.option("compression", codec)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -33,6 +62,21 @@ def written(df: DataFrame, name: str, *partition_by: str, codec: str = "zstd") -
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark_tables() -> int:
+    """A mark for drop_tables: what is written from here on."""
+    return len(_tables)
+
+
+def drop_tables(spark: SparkSession, since: int = 0) -> int:
+    """Deletes the intermediate tables written since the mark; results that were not stored before can't be read any more. Returns how many."""
+    gone = _tables[since:]
+    del _tables[since:]
+    for path in gone:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(gone)
+
+
 def id_bucket(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, mod n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
@@ -46,14 +90,19 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
-def chunks(texts, most: int):
-    """(start, end) of runs of texts with at most so many characters each, one text at least."""
+def chunks(texts, most: int, rows: int = sys.maxsize):
+    """(start, end) of runs of at most so many texts with at most so many characters, one text at least."""
     start, size = 0, 0
     for i, t in enumerate(texts):
-        n = len(t) if isinstance(t, str) else 0
-        if size and size + n > most:
+        n = len(t) if isinstance(t, (str, bytes)) else 0
+        if i > start and (size + n > most or i - start >= rows):
             yield start, i
             start, size = i, 0
         size += n
     if len(texts) > start:
         yield start, len(texts)
+
+
+def gathered(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start .. start + size - 1 of each row, one after the other."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)

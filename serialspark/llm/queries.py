@@ -4,25 +4,33 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontam, langid, media, pii, simhash, token_counts, toxicity, url_filter, warc
 from .common import read
 
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+#: Another folder of vocabulary files may be named.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR")
+
 #: The keyed pseudonyms' secret; a deployment passes its own.
 PII_KEY = os.environ.get("PII_KEY", "an example key")
 #: Fixed value: the split pattern that belongs to the byte-level vocabulary.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def vocabulary(name: str) -> str:
+    """Where the vocabulary file of that name lies."""
+    return f"{TOKENIZERS}/{name}" if TOKENIZERS else public_tokenizers.path(name)
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = token_counts.read_ranks(f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    ranks = token_counts.read_ranks(vocabulary("byte_bpe_50k.tiktoken"))
     return token_counts.counts(read(spark, sf_dir, "documents"), ranks, BYTE_PATTERN)
 
 
@@ -56,7 +64,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return bpe.digests(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,7 +76,7 @@ def test_keep_first(spark):
 def test_bpe(spark, given):
     from tokenizers import Tokenizer
 
-    path = f"{queries.TOKENIZERS}/word_bpe_49k.json"
+    path = queries.vocabulary("word_bpe_49k.json")
     theirs = Tokenizer.from_file(path)
     theirs.no_truncation(), theirs.no_padding()
     rnd = random.Random(3)
@@ -116,7 +116,7 @@ def test_media(spark):
 def test_token_counts(spark, given, block):
     import tiktoken
 
-    ranks = token_counts.read_ranks(f"{queries.TOKENIZERS}/byte_bpe_50k.tiktoken")
+    ranks = token_counts.read_ranks(queries.vocabulary("byte_bpe_50k.tiktoken"))
     codec = tiktoken.Encoding("t", pat_str=queries.BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
     rows = [r for r in ODD if len(r[1] or "") < 1000] + list(given[["doc_id", "text"]].head(12).assign(doc_id=range(50, 62)).itertuples(index=False, name=None))
     out = token_counts.counts(docs(spark, rows).repartition(2), ranks, queries.BYTE_PATTERN, block_tokens=block).collect()
