@@ -7,39 +7,34 @@ languages, and forward-backward gives every word's distribution. A text's langua
 largest share of its words; the score is that share. Training sequences join stretches of several documents,
 so that the model learns to switch within a text.
 
-The model is fitted on a bounded sample: about ``per_language`` whole texts of each language, chosen by a hash
-of the id, at most twice as many. Null texts and texts without a letter get ``und`` and score 0, as do all
+The model is fitted on a bounded sample: at most ``per_language`` texts of each language, chosen by a hash of the
+id, and of their stretches of ``STRETCH`` words at most ``TRAINING_WORDS`` words, as many of each language, at
+random. Null texts and texts without a letter get ``und`` and score 0, as do all
 texts if there is nothing to learn from. Ties go to the language first in order. Whole texts are labelled. An
 empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from .common import chunks, free_name, id_bucket
+from .common import chunks, free_name, id_bucket, words_of
 
 UNKNOWN = "und"
-PER_LANGUAGE, TRAINING_WORDS, BUCKETS, STRETCH, ROUNDS, RATE, DECAY = 150, 400_000, 1 << 16, 16, 40, 0.5, 1e-6
+PER_LANGUAGE, MOST_LANGUAGES, TRAINING_WORDS, BUCKETS, STRETCH, ROUNDS, RATE, DECAY = 150, 1000, 400_000, 1 << 16, 16, 40, 0.5, 1e-6
 BATCH_CHARS = 2_000_000
-WORD = re.compile(r"[^\W\d_]+")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 PREDICTED = StructType().add("lang_pred", StringType()).add("score", DoubleType())
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
-
-
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(feature numbers of all words one after the other, number of features of each word)."""
     if not words:
@@ -154,7 +149,7 @@ def train(rows: list[tuple[str, str]], rounds: int = ROUNDS, most_words: int = T
     stretches: list[tuple[int, list[int]]] = []
     for lang, text in rows:
         ids = [number[w] for w in words_of(text)]
-        stretches += [(languages.index(lang), ids[i : i + STRETCH]) for i in range(0, len(ids) - STRETCH + 1, STRETCH)] or ([(languages.index(lang), ids)] if ids else [])
+        stretches += [(languages.index(lang), ids[i : i + STRETCH]) for i in range(0, len(ids), STRETCH)]
     if not stretches:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0), np.float32))
     by_language = defaultdict(list)
@@ -201,23 +196,23 @@ def train(rows: list[tuple[str, str]], rounds: int = ROUNDS, most_words: int = T
     return Model(languages, weights.astype(np.float32), np.exp(transition - transition.max()).astype(np.float32))
 
 
-def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """About per_language (language, text) rows of each language, at most twice as many, chosen by a hash of the id."""
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_languages: int = MOST_LANGUAGES) -> list[tuple[str, str]]:
+    """At most per_language (language, text) rows of each language, those of the smallest hashes of the id; an id counts once in a language, with the first of its texts.
+
+    What reaches the driver is bounded by per_language and by most_languages; more languages raise ValueError.
+    """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    sizes = {r.lang: r.ids for r in known.groupBy("lang").agg(F.approx_count_distinct("id").alias("ids")).limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     if not sizes:
         return []
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    limit = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, per_language / n) * (1 << 30)))])
-    rows = known.where(draw < F.element_at(limit, F.col("lang"))).select("lang", draw.alias("draw"), "id", "text").collect()
-    rows.sort(key=lambda r: (r.lang, r.draw, r.id, r.text))
-    taken: dict[str, int] = defaultdict(int)
-    out = []
-    for r in rows:
-        taken[r.lang] += 1
-        if taken[r.lang] <= 2 * per_language:
-            out.append((r.lang, r.text))
-    return out
+    # about three times the wanted ids pass; the exact bound follows
+    limit = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, (3 * per_language + 30) / n) * (1 << 30)))])
+    near = known.where(draw < F.element_at(limit, F.col("lang"))).groupBy("lang", "id").agg(F.min("text").alias("text"), F.first(draw).alias("draw"))
+    first = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id"))).where(F.col("place") <= per_language)
+    return [(r.lang, r.text) for r in first.sort("lang", "draw", "id").select("lang", "text").collect()]
 
 
 def learnable(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
