@@ -12,9 +12,15 @@ of the items, the suffixes from each of the first ``stride`` words are embedded
 flush with a window. Each repetition has a walk and a few sampled steps of its own; the words put out there
 are the bucket key. Repetitions are added until copies of the items with as many random edits as are allowed
 meet their item in at least ``recall`` of the cases; a class that misses that after ``MOST_REPETITIONS`` has all
-its items aligned at all windows. Windows that hold too few of the items' word trigrams to
-be within the distance (by the q-gram lemma, so without loss) aren't embedded. Where an item and a window
-meet, the item is aligned with the words around by Myers' bit-vector algorithm, which is exact.
+its items aligned at all windows. Walks stray from each other as they get longer, so items of more than
+``LONGEST`` words are looked for by pieces of about equal length: of an item's edits, some piece has no more
+than its share. A walk's steps follow from a hash of step and word, so no tables are kept. Windows that hold too
+few of the items' word trigrams to be within the distance (by the q-gram lemma, so without loss) aren't
+embedded. Where an item and a window meet, the whole item is aligned with the words around by Myers' bit-vector
+algorithm, which is exact.
+
+The benchmark is taken in blocks of at most ``block_chars`` characters (or one item); each block has its own
+index and its own job over the documents, so neither driver nor executors hold more than a block.
 
 Items without words are left out. Null and empty texts hold no item. Whole texts are searched; items that
 repeat each other are all reported. With an empty benchmark nothing is found. Other columns play no part.
@@ -26,16 +32,17 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructType
 
-from .common import chunks, free_name
+from .common import chunks, free_name, written
 
-SIMILARITY, RECALL, STRIDE, SAMPLES, MOST_REPETITIONS, BLOCK_CHARS, SEED = 0.8, 0.99, 4, 2, 64, 4_000_000, 20
+SIMILARITY, RECALL, STRIDE, SAMPLES, MOST_REPETITIONS, LONGEST, BLOCK_CHARS, SEED = 0.8, 0.99, 4, 2, 64, 128, 4_000_000, 20
 BATCH_CHARS = 8_000_000
 WORD = re.compile(r"\w+")
 FILTER_BITS = 22
@@ -69,9 +76,9 @@ def best_match(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
 
 @dataclass
 class SizeClass:
-    """Items of about one length, with the buckets of each repetition."""
+    """Pieces of about one length, with the buckets of each repetition."""
 
-    items: list[int]
+    pieces: list[int]
     shortest: int
     longest: int
     gram: int
@@ -80,22 +87,24 @@ class SizeClass:
     stride: int
     steps: int = 0
     exact: bool = False
-    turns: list[np.ndarray] = field(default_factory=list)
+    salts: list[np.ndarray] = field(default_factory=list)
     sampled: list[np.ndarray] = field(default_factory=list)
     keys: list[np.ndarray] = field(default_factory=list)
     owners: list[np.ndarray] = field(default_factory=list)
 
 
-def embed(ids: np.ndarray, starts: np.ndarray, turns: np.ndarray, sampled: np.ndarray) -> np.ndarray:
-    """The bucket key of the walk from each start: a hash of the words put out at the sampled steps."""
+def embed(ids: np.ndarray, starts: np.ndarray, salts: np.ndarray, sampled: np.ndarray) -> np.ndarray:
+    """The bucket key of the walk from each start: a hash of the words put out at the sampled steps. salts: a random number for each step."""
     at, key = starts.copy(), np.zeros(len(starts), np.uint64)
-    wanted = set(sampled.tolist())
+    wanted, words, last = set(sampled.tolist()), ids.astype(np.uint64), len(ids) - 1
     for step in range(int(sampled.max()) + 1):
-        w = ids[np.minimum(at, len(ids) - 1)]
+        w = words[np.minimum(at, last)]
         if step in wanted:
-            key = (key ^ w.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            key = (key ^ w) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
-        at += turns[step][w & 255]
+        turn = (w + salts[step]) * np.uint64(0xD6E8FEB86659FD93)
+        turn = (turn ^ (turn >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        at += (turn >> np.uint64(63)).astype(np.int64)
     return key
 
 
@@ -106,24 +115,28 @@ class Index:
         self.vocabulary: dict[str, int] = {}
         self.similarity, self.stride = similarity, stride
         self.ids, self.words = [], []
+        self.pieces, self.item_of = [], []
         for item_id, text in items:
             if words := words_of(text):
                 self.ids.append(item_id)
                 self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64))
+                parts = np.array_split(self.words[-1], -(-len(words) // LONGEST))
+                self.pieces += parts
+                self.item_of += [len(self.words) - 1] * len(parts)
         self.filters: dict[int, np.ndarray] = {}
         self.classes = []
         rng = np.random.default_rng(SEED)
-        by_size = sorted(range(len(self.words)), key=lambda i: len(self.words[i]))
+        by_size = sorted(range(len(self.pieces)), key=lambda i: len(self.pieces[i]))
         while by_size:
-            n = len(self.words[by_size[0]])
-            own = [i for i in by_size if len(self.words[i]) <= max(n * 5 // 4, n) and (len(self.words[i]) >= 8) == (n >= 8)]
+            n = len(self.pieces[by_size[0]])
+            own = [i for i in by_size if len(self.pieces[i]) <= max(n * 5 // 4, n) and (len(self.pieces[i]) >= 8) == (n >= 8)]
             by_size = by_size[len(own) :]
             self.classes.append(self._size_class(own, rng, recall, samples))
         for q in {c.gram for c in self.classes}:
             self.filters[q] = np.zeros(1 << FILTER_BITS, bool)
             for c in self.classes:
-                for i in c.items if c.gram == q else ():
-                    self.filters[q][self._gram_hash(self.words[i], q)] = True
+                for i in c.pieces if c.gram == q else ():
+                    self.filters[q][self._gram_hash(self.pieces[i], q)] = True
 
     def edits(self, n: int) -> int:
         """The most edits that leave an item of n words similar enough."""
@@ -136,34 +149,36 @@ class Index:
         return h >> np.uint64(64 - FILTER_BITS)
 
     def _size_class(self, own: list[int], rng: np.random.Generator, recall: float, samples: int) -> SizeClass:
-        sizes = [len(self.words[i]) for i in own]
+        sizes = [len(self.pieces[i]) for i in own]
         shared = lambda q: min(n - q + 1 - q * self.edits(n) for n in sizes)
         gram = 3 if min(sizes) >= 8 and shared(3) > 0 else 1
         c = SizeClass(own, min(sizes), max(sizes), gram, max(shared(gram), 1), max(n + self.edits(n) for n in sizes), min(self.stride, *[n - self.edits(n) for n in sizes]))
         c.steps = max(1, 3 * c.shortest // 2)
+        offsets = [(i, o) for i in own for o in range(c.stride)]
+        place, rows = {x: r for r, x in enumerate(offsets)}, self._rows([self.pieces[i][o:] for i, o in offsets], c.steps + 1)
         tries = [i for _ in range(max(1, 400 // len(own))) for i in own]
-        copies = [self._edited(self.words[i], rng) for i in tries]
+        copies = [self._edited(self.pieces[i], rng) for i in tries]
         met = np.zeros(len(copies), bool)
         while met.mean() < recall and len(c.keys) < MOST_REPETITIONS or not c.keys:
-            turns = rng.integers(0, 2, (c.steps, 256))
             sampled = np.sort(rng.choice(c.steps, min(samples, c.steps), replace=False))
-            offsets = [(i, o) for i in own for o in range(c.stride)]
-            keys = self._keys([self.words[i][o:] for i, o in offsets], turns, sampled)
+            salts = rng.integers(0, 1 << 63, int(sampled.max()) + 1, np.uint64)
+            keys = embed(*rows, salts, sampled)
             by_key = np.argsort(keys, kind="stable")
-            c.turns.append(turns), c.sampled.append(sampled), c.keys.append(keys[by_key]), c.owners.append(np.array([i for i, _ in offsets])[by_key])
-            starts = [int(rng.integers(0, c.stride)) for _ in copies]
-            seen = self._keys([w[o:] for w, o in zip(copies, starts, strict=True)], turns, sampled)
-            own_keys = defaultdict(set)
-            for (i, _), k in zip(offsets, keys.tolist(), strict=True):
-                own_keys[i].add(k)
-            met |= np.array([k in own_keys[i] for i, k in zip(tries, seen.tolist(), strict=True)])
+            c.salts.append(salts), c.sampled.append(sampled), c.keys.append(keys[by_key]), c.owners.append(np.array([i for i, _ in offsets])[by_key])
+            starts = rng.integers(0, c.stride, len(copies)).tolist()
+            seen = embed(*self._rows([w[o:] for w, o in zip(copies, starts, strict=True)], c.steps + 1), salts, sampled)
+            for o in range(c.stride):
+                met |= keys[[place[i, o] for i in tries]] == seen
         c.exact = bool(met.mean() < recall)
         return c
 
-    def _keys(self, rows: list[np.ndarray], turns: np.ndarray, sampled: np.ndarray) -> np.ndarray:
-        reach = turns.shape[0] + 1
-        flat = np.concatenate([np.concatenate((r[:reach], np.zeros(reach - len(r[:reach]), np.int64))) for r in rows])
-        return embed(flat, np.arange(len(rows)) * reach, turns, sampled)
+    @staticmethod
+    def _rows(rows: list[np.ndarray], reach: int) -> tuple[np.ndarray, np.ndarray]:
+        """(the rows one after the other, cut or filled with foreign words to that reach; where each begins)."""
+        flat = np.zeros((len(rows), reach), np.int64)
+        for to, r in zip(flat, rows, strict=True):
+            to[: len(r)] = r[:reach]
+        return flat.ravel(), np.arange(len(rows)) * reach
 
     def _edited(self, words: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         """The words after as many edits as are allowed: substitutions, insertions and deletions alike; what follows is foreign."""
@@ -211,14 +226,14 @@ class Index:
             text_of = np.searchsorted(first, starts, side="right") - 1
             if c.exact:
                 for t, at in zip(text_of.tolist(), starts.tolist(), strict=True):
-                    for i in c.items:
+                    for i in {self.item_of[p] for p in c.pieces}:
                         met.setdefault((t, i), []).append(at)
                 continue
-            for turns, sampled, keys, owners in zip(c.turns, c.sampled, c.keys, c.owners, strict=True):
-                key = embed(ids, starts, turns, sampled)
+            for salts, sampled, keys, owners in zip(c.salts, c.sampled, c.keys, c.owners, strict=True):
+                key = embed(ids, starts, salts, sampled)
                 a, b = np.searchsorted(keys, key, side="left"), np.searchsorted(keys, key, side="right")
                 for w in np.flatnonzero(b > a).tolist():
-                    for i in set(owners[a[w] : b[w]].tolist()):
+                    for i in {self.item_of[p] for p in owners[a[w] : b[w]].tolist()}:
                         met.setdefault((int(text_of[w]), i), []).append(int(starts[w]))
         for (t, i), at in met.items():
             item = self.words[i]
@@ -251,19 +266,19 @@ class Index:
             yield lo, hi
 
 
-def leaks_columns(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, **options) -> list:
-    """Functions of a text column, one for each block of items; the size of a block is bounded, whatever the benchmark's."""
+def searches(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, **options) -> Iterator:
+    """(a function of a text column, whether more come) for each block of items, made when it is asked for; the block before is given up then."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-size // block_chars)
-    out = []
     for b in range(blocks):
-        rows = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).sort("item_id", "text").collect()]
-        shared = spark.sparkContext.broadcast(Index(rows, **options))
-
-        out.append(_search_column(shared))
-    return out
+        rows = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).sort("item_id", "text").collect()]
+        if rows:
+            shared = spark.sparkContext.broadcast(Index(rows, **options))
+            yield _search_column(shared), b + 1 < blocks
+            if b + 1 < blocks:
+                shared.unpersist()
 
 
 def _search_column(shared):
@@ -278,21 +293,21 @@ def _search_column(shared):
     return leaks
 
 
-def leaks_of(text: Column, functions: list) -> Column:
-    """All leaks of a text, by item."""
-    if not functions:
-        return F.array().cast(LEAKS)
-    return F.array_sort(F.concat(*[f(text) for f in functions]))
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(doc_id, item_id, distance, similarity, first_word, n_words) of each item that a document holds."""
-    found = leaks_of(F.col(text_col).cast("string"), leaks_columns(benchmark, **options))
-    return docs.select(F.col(id_col).alias("doc_id"), F.explode(found).alias("leak")).select("doc_id", "leak.*")
+    """(doc_id, item_id, distance, similarity, first_word, n_words) of each item that a document holds. Blocks but the last are searched and stored at once."""
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    found = []
+    for search, more in searches(benchmark, **options):
+        part = own.select("doc_id", F.explode(search("text")).alias("leak")).select("doc_id", "leak.*")
+        found.append(written(part, "leaks") if more else part)
+    none = own.limit(0).select("doc_id", F.explode(F.array().cast(LEAKS)).alias("leak")).select("doc_id", "leak.*")
+    return reduce(DataFrame.unionByName, found) if found else none
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """docs without those that hold a benchmark item; all columns stay as they are."""
+    """docs without those that hold a benchmark item; all columns stay as they are, whatever their names."""
     name = free_name(docs, "_leaks")
-    found = leaks_of(F.col(f"`{text_col}`").cast("string"), leaks_columns(benchmark, **options))
-    return docs.withColumn(name, F.size(found)).where(F.col(name) == 0).drop(name)
+    for search, more in searches(benchmark, **options):
+        docs = docs.withColumn(name, F.size(search(F.col(f"`{text_col}`").cast("string")))).where(F.col(name) == 0).drop(name)
+        docs = written(docs, "leak_free") if more else docs
+    return docs
