@@ -1,11 +1,12 @@
 """Texts or pixels as small images: Netpbm and BMP bytes, area-resized NPY tiles, difference hashes.
 
-A payload of 8-bit samples is kept as a binary grey map (P5), a binary colour map (P6) or a 24-bit BMP.
+A payload of 8-bit samples is kept as a binary grey map (P5), a binary colour map (P6) or a 24-bit BMP; the
+kind is a parameter.
 Images decode to numpy arrays; tiles are area means taken from an integral image, so every sample counts in
 proportion to how much of it a tile's cell covers; a difference hash has one bit for each two cells side by
 side, set where the left one is brighter.
 
-Null texts count as empty. Equal payloads give equal files, tiles and hashes. A file that can't be decoded
+Null texts count as empty, null ids stay null. Equal payloads give equal files, tiles and hashes. A file that can't be decoded
 raises ValueError. An empty table gives an empty one.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import os
 import re
 import struct
 import zlib
@@ -20,14 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructType
 
-from .common import written
+from .common import chunks, free_name, written
 
 UNIT, PAD, TILE = 576, b"\xff", (9, 8)
-KINDS = ("pgm", "ppm", "bmp")
+KINDS, KIND, BATCH_BYTES = ("pgm", "ppm", "bmp"), "ppm", 8_000_000
 WIDTH = {"pgm": 24, "ppm": 8, "bmp": 24}  # samples in a row divide UNIT: 24, 3 * 8 and 3 * 24 - the last fills whole BMP rows
 
 
@@ -70,23 +73,18 @@ def decode(data: bytes) -> np.ndarray:
 
 
 def resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Area means (height, width) of the image's grey values, rounded half up, from its integral image."""
-    grey = image.sum(axis=2, dtype=np.float64) / image.shape[2]
-    total = np.zeros((grey.shape[0] + 1, grey.shape[1] + 1))
-    np.cumsum(np.cumsum(grey, axis=0), axis=1, out=total[1:, 1:])
-
-    def between(axis: int, cells: int) -> np.ndarray:
-        """The integral at the cells' edges, linear between samples, along an axis."""
-        nonlocal total
-        at = np.arange(cells + 1) * (total.shape[axis] - 1) / cells
-        lo = np.minimum(at.astype(int), total.shape[axis] - 2)
-        part = (at - lo).reshape((-1, 1) if axis == 0 else (1, -1))
-        return np.take(total, lo, axis) * (1 - part) + np.take(total, lo + 1, axis) * part
-
-    total = between(0, height)
-    total = between(1, width)
+    """Area means (height, width) of the image's grey values, rounded half up, from its integral image; in integers, so ties are exact."""
+    rows, columns, channels = image.shape
+    total = np.zeros((rows + 1, columns + 1), np.int64)
+    np.cumsum(np.cumsum(image.sum(axis=2, dtype=np.int64), axis=0), axis=1, out=total[1:, 1:])
+    for axis, size, cells in ((0, rows, height), (1, columns, width)):
+        # the integral at the cells' edges, linear between samples, times the number of cells
+        at, part = np.divmod(np.arange(cells + 1) * size, cells)
+        part = part.reshape((-1, 1) if axis == 0 else (1, -1))
+        total = np.take(total, at, axis) * (cells - part) + np.take(total, np.minimum(at + 1, size), axis) * part
     sums = total[1:, 1:] - total[:-1, 1:] - total[1:, :-1] + total[:-1, :-1]
-    return np.floor(sums / (grey.shape[0] * grey.shape[1] / (width * height)) + 0.5).clip(0, 255).astype(np.uint8)
+    area = rows * columns * channels
+    return ((2 * sums + area) // (2 * area)).astype(np.uint8)
 
 
 def difference_hash(tile: np.ndarray) -> str:
@@ -103,25 +101,30 @@ MEDIA = StructType().add("n_bytes", LongType()).add("media_kind", StringType()).
 FEATURES = StructType().add("payload_bytes", LongType()).add("payload_sha256", StringType()).add("tail_crc32", LongType()).add("media_bytes", LongType()).add("media_sha256", StringType()).add("feature", StringType()).add("tile", BinaryType())
 
 
-@F.pandas_udf(MEDIA)
-def media_column(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """A text's bytes as an image file; the payload's length picks the format."""
-    for batch in texts:
-        rows = []
-        for t in batch:
-            data = (t or "").encode("utf-8", "surrogatepass")
-            payload = padded(data)
-            kind = KINDS[len(payload) // UNIT % len(KINDS)]
-            rows.append((len(data), kind, encode(payload, kind)))
-        yield pd.DataFrame(rows, columns=MEDIA.names)
+def media_column(kind: str = KIND):
+    """A function of a text column: the text's bytes as an image file of that kind."""
+    if kind not in KINDS:
+        raise ValueError(f"{kind} is none of {KINDS}")
+
+    @F.pandas_udf(MEDIA)
+    def media(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = list(batch)
+            for lo, hi in chunks(texts, BATCH_BYTES):  # the files of a whole batch aren't held at once
+                data = [(t or "").encode("utf-8", "surrogatepass") for t in texts[lo:hi]]
+                yield pd.DataFrame([(len(d), kind, encode(padded(d), kind)) for d in data], columns=MEDIA.names)
+            if not texts:
+                yield pd.DataFrame([], columns=MEDIA.names)
+
+    return media
 
 
 @F.pandas_udf(FEATURES)
 def features_column(media: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """What a stored image file holds: its payload's digests, its tile as NPY bytes, the tile's difference hash."""
     for batch in media:
-        rows = []
-        for m in batch:
+        files, rows = list(batch), []
+        for m in files:
             image = decode(m)
             payload = image.tobytes()
             tile = resize(image, *TILE)
@@ -129,13 +132,39 @@ def features_column(media: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=FEATURES.names)
 
 
-def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = KIND) -> DataFrame:
     """Writes (doc_id, n_bytes, media_kind, media) as a table in the shared folder and returns it as read back."""
-    media = docs.select(F.col(id_col).alias("doc_id"), media_column(F.col(text_col).cast("string")).alias("m"))
+    media = docs.select(F.col(id_col).alias("doc_id"), media_column(kind)(F.col(f"`{text_col}`").cast("string")).alias("m"))
     return written(media.select("doc_id", "m.*"), "media")
 
 
 def tiles(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """The rows of a media table without the files, with features, and tiles as NPY bytes."""
-    found = media.withColumn("found", features_column(F.col(media_col)))
-    return found.select(*[c for c in media.columns if c != media_col], "found.*")
+    """The rows of a media table without the files, with features, and tiles as NPY bytes; columns of those names are replaced."""
+    found = free_name(media, "_features")
+    kept = [F.col(f"`{c}`") for c in media.columns if c != media_col and c.lower() not in FEATURES.names]
+    return media.withColumn(found, features_column(F.col(f"`{media_col}`"))).select(*kept, f"{found}.*")
+
+
+def write_tiles(found: DataFrame, folder: str, id_col: str = "doc_id", tile_col: str = "tile") -> DataFrame:
+    """Stacks tiles as NPY files of (tiles, height, width) in a folder that all executors share; returns (doc_id, file, row) of each.
+
+    A file holds one Arrow batch of a partition and is named by both, so a task that runs again replaces its own
+    files; each appears under its name only when it is whole.
+    """
+    place = folder.removeprefix("file:")
+    if "://" in place:
+        raise ValueError("NPY files need a folder that tasks can open")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(place, exist_ok=True)
+        task = TaskContext.get()
+        for no, pdf in enumerate(b for b in batches if len(b)):
+            name = f"{place}/tiles-{task.partitionId():06d}-{no:05d}.npy"
+            part = f"{name}.{task.taskAttemptId()}"
+            with open(part, "wb") as f:
+                np.lib.format.write_array(f, np.stack([np.load(io.BytesIO(t)) for t in pdf["tile"]]))
+            os.replace(part, name)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "file": name, "row": range(len(pdf))})
+
+    rows = found.select(F.col(id_col).cast("long").alias("doc_id"), F.col(tile_col).alias("tile"))
+    return written(rows.mapInPandas(write, "doc_id long, file string, row long"), "tile_files")
