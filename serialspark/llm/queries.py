@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,8 @@ from .common import read
 #: Another folder of vocabulary files may be named.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR")
 
-#: The keyed pseudonyms' secret; a deployment passes its own.
-PII_KEY = os.environ.get("PII_KEY", "an example key")
+#: The keyed pseudonyms' secret. Values stay linked across runs only if a deployment names one; else each driver draws its own.
+PII_KEY = os.environ.get("PII_KEY") or secrets.token_hex(32)
 #: Fixed value: the split pattern that belongs to the byte-level vocabulary.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -90,7 +91,7 @@ WITH split AS (
 held AS (
   SELECT page_id, host, path, list_sort(list_distinct(list_filter(list_concat(['s:' || scheme],
     list_transform(string_split(host, '.'), lambda x: 'h:' || x), list_transform(string_split(lower(path), '/'), lambda x: 'p:' || x)),
-    lambda x: length(x) > 2 AND NOT regexp_matches(x, '[0-9]')))) AS tokens FROM split),
+    lambda x: length(x) > 2 AND NOT regexp_matches(x, '^p:[0-9]+([.][a-z]+)?$')))) AS tokens FROM split),
 marks AS (SELECT doc_id, bool_or(coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
 numbered AS (SELECT page_id, tokens, try_cast(nullif(regexp_extract(path, '/([0-9]{{1,18}})(\\.[a-z]+)?/?$', 1), '') AS BIGINT) AS doc_id FROM held),
 baskets AS (SELECT page_id, tokens, bad FROM numbered JOIN marks USING (doc_id)),
@@ -102,7 +103,7 @@ sets AS (
 good AS (
   SELECT s FROM sets JOIN baskets USING (page_id) GROUP BY s
   HAVING count(*) FILTER (bad) >= ceil(greatest({url_filter.MIN_SUPPORT}, {url_filter.MIN_COUNT} / (SELECT count(*) FROM baskets)::DOUBLE) * (SELECT count(*) FROM baskets))
-     AND count(*) FILTER (bad) >= {url_filter.MIN_CONFIDENCE} * count(*)),
+     AND count(*) FILTER (bad) >= {url_filter.MIN_LIFT} * (SELECT count(*) FILTER (bad) FROM baskets) / (SELECT count(*) FROM baskets)::DOUBLE * count(*)),
 hit AS (SELECT DISTINCT page_id FROM sets JOIN good USING (s)),
 ruled AS (
   SELECT page_id, host, path, CASE

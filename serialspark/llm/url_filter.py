@@ -1,14 +1,15 @@
 """URL filtering by association rules that FP-growth mines from labelled URLs, with fixed rules before them.
 
-A URL's tokens are its scheme, the labels of its host and the directories of its path; those with digits are
+A URL's tokens are its scheme, the labels of its host and the directories of its path; numbers in the path are
 left out, as they name single pages. FP-growth runs over the tokens of labelled URLs, bad ones with a mark of
-their own; rules from tokens to the mark are pruned by support, confidence and length. Each rule stands in an
+their own; rules from tokens to the mark are pruned by support, by confidence relative to the share of bad URLs
+(lift) and by length. Each rule stands in an
 inverted index under its rarest token; URLs meet it there and must hold all its other tokens. Fixed rules
 (host, path prefix, verdict) come first, the longest that fits wins. Only SQL functions and Spark's own
 FP-growth are used.
 
 A null URL, or one without "://", has an empty host and path, fits no rule and is allowed. Repeated URLs get
-the same verdict; without labelled URLs no rule is mined. An empty table gives an empty one.
+the same verdict; without labelled URLs no rule is mined. Other columns play no part, whatever their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 BAD = "!bad"
-MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MAX_TOKENS = 0.001, 5, 0.6, 3
+MIN_SUPPORT, MIN_COUNT, MIN_LIFT, MAX_TOKENS = 0.001, 5, 2.0, 3
 FIXED_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -40,18 +41,18 @@ def tokens_of(url: Column) -> Column:
     scheme = F.translate(F.regexp_extract(url, "(?s)^(.*?)://", 1), UPPER, LOWER)
     mark = lambda kind: lambda x: F.concat(F.lit(kind), x)
     found = F.concat(F.transform(F.array(scheme), mark("s:")), F.transform(F.split(host_of(url), r"\."), mark("h:")), F.transform(F.split(F.translate(path_of(url), UPPER, LOWER), "/"), mark("p:")))
-    return F.array_sort(F.array_distinct(F.filter(found, lambda x: (F.length(x) > 2) & ~x.rlike("[0-9]"))))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda x: (F.length(x) > 2) & ~x.rlike(r"^p:[0-9]+(\.[a-z]+)?$"))))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_lift: float = MIN_LIFT, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Rules (rule_id, tokens, confidence, support, anchor) from labelled (url, bad boolean); anchor is the rarest token."""
     spark = labelled.sparkSession
     baskets = written(labelled.select(F.concat(tokens_of(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")), "baskets")
-    n = baskets.count()
+    n, bad = baskets.agg(F.count("*"), F.count_if(F.array_contains("items", BAD))).first()
     empty = "rule_id long, tokens array<string>, confidence double, support double, anchor string"
-    if n < min_count:
+    if bad < min_count:
         return spark.createDataFrame([], empty)
-    fit = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min_confidence).fit(baskets)
+    fit = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min(1.0, min_lift * bad / n)).fit(baskets)
     rules = fit.associationRules.where((F.col("consequent") == F.array(F.lit(BAD))) & (F.size("antecedent") <= max_tokens))
     rules = written(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "rules")
     seen = baskets.select(F.explode("items").alias("token")).groupBy("token").count()
