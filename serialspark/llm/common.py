@@ -77,6 +77,21 @@ def drop_tables(spark: SparkSession, since: int = 0) -> int:
     return len(gone)
 
 
+def join_counted(big: DataFrame, small: DataFrame, key: str, n: str) -> DataFrame:
+    """big left-joined with small (one row a key; n: how many rows of big have it; n is dropped), with hot keys taken out of the shuffle.
+
+    Keys that hold over a thousandth of the rows counted (and over 10,000 rows) are fewer than a thousand, so they are
+    broadcast; all others are joined by a shuffle in which no key is hot. big is read twice where there are hot keys.
+    """
+    total = small.agg(F.sum(n)).first()[0] or 0
+    least = max(10_000, total // 1000)
+    hot = F.broadcast(small.where(F.col(n) > least).drop(n))
+    rest = small.where(F.col(n) <= least).drop(n)
+    if hot.isEmpty():
+        return big.join(rest, key, "left")
+    return big.join(hot, key).unionByName(big.join(hot.select(key), key, "left_anti").join(rest, key, "left"))
+
+
 def id_bucket(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, mod n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
