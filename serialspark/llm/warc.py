@@ -4,7 +4,7 @@ Headers alone (page, payload digest, length) are shuffled by digest to choose, f
 ``min_bytes`` bytes that occurs more than once, the record with the largest page id as the response; the
 others become revisit records without a payload, which name that response. Records get fresh headers and are
 written as gzipped archives through Spark's text writer, whose line separator is the blank lines that end a
-record. Reading takes records by their Content-Length and joins revisits to their responses.
+record; a file holds about ``FILE_BYTES`` of payload. Reading unzips piece by piece, takes records by their Content-Length and joins revisits to their responses.
 
 A null payload counts as empty, a null URL as an empty one; line ends in a URL become spaces. Rows of one
 page id and payload repeat each other: all are responses if the id is the largest. A row with a null id is a
@@ -23,8 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import shared_dir, written
+from .common import join_counted, new_path, written
 
+FILE_BYTES = 64_000_000
 VERSION, END, DATE = "WARC/1.1", "\r\n\r\n", "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -44,12 +45,14 @@ def _record_id(page_id: Column, digest: Column) -> Column:
 
 
 def plan_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """pages (page_id, url, payload) with digest, payload_bytes and refers_to, the response's page id of a revisit."""
-    digested = pages.withColumn("digest", payload_digest("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    heads = written(digested.select("page_id", "digest", "payload_bytes"), "warc_heads")
-    many = heads.where(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    many = written(many.select("digest", "first"), "warc_groups")
-    found = digested.join(many, "digest", "left")
+    """pages (page_id, url, payload) with digest, payload_bytes and refers_to, the response's page id of a revisit.
+
+    Digests are computed once and stored with the pages; groups are chosen from headers alone.
+    """
+    digested = written(pages.withColumn("digest", payload_digest("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long")), "warc_digests")
+    heads = digested.where(F.col("payload_bytes") >= min_bytes).select("page_id", "digest")
+    many = written(heads.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "warc_groups")
+    found = join_counted(digested, many, "digest", "n")
     return found.withColumn("refers_to", F.when(F.col("page_id") < F.col("first"), F.col("first"))).drop("first")
 
 
@@ -76,35 +79,62 @@ def records(planned: DataFrame, date: str = DATE) -> DataFrame:
     return planned.select(F.concat(F.array_join(lines, "\r\n"), F.lit(END), F.when(revisit, "").otherwise(F.col("payload"))).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 20_000) -> None:
-    """Writes pages (page_id, url, payload text) as deduplicated archives under path."""
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
+    """Writes pages (page_id, url, payload text) as deduplicated archives under path, of about file_bytes of payload each."""
     pages = pages.withColumn("payload", F.coalesce("payload", F.lit("")))
-    out = records(plan_revisits(pages, min_bytes))
-    out.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    planned = plan_revisits(pages, min_bytes)
+    mean = pages.agg(F.avg(F.octet_length("payload"))).first()[0] or 0
+    most = int(max(1, file_bytes // (mean + 500)))
+    records(planned).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+
+
+def unzipped(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """An archive's bytes piece by piece, gzipped (in any number of members) or not."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    unzip = zlib.decompressobj(31)
+    for at in range(0, len(data), step):
+        left = data[at : at + step]
+        while left:
+            out = unzip.decompress(left, 4 * step)
+            if out:
+                yield out
+            left = unzip.unconsumed_tail
+            if unzip.eof:
+                left, unzip = unzip.unused_data, zlib.decompressobj(31)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, payload) of each record in an archive's bytes, gzipped or not."""
-    if data[:2] == b"\x1f\x8b":
-        parts, left = [], data
-        while left:
-            unzip = zlib.decompressobj(31)
-            parts.append(unzip.decompress(left))
-            left = unzip.unused_data
-        data = b"".join(parts)
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode("utf-8", "surrogatepass").split("\r\n")
+    """(headers, payload) of each record in an archive's bytes, gzipped or not; no more than a record and a piece are held unzipped."""
+    held, pieces, passed = bytearray(), unzipped(data), 0
+
+    def have(n: int) -> bool:
+        while len(held) < n:
+            piece = next(pieces, None)
+            if piece is None:
+                return False
+            held.extend(piece)
+        return True
+
+    while have(1):
+        seen = 0
+        while (end := held.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(held)
+            if not have(seen + 1):
+                raise ValueError("cut off")
+        version, *lines = held[:end].decode("utf-8", "surrogatepass").split("\r\n")
         if not version.startswith("WARC/"):
-            raise ValueError(f"no record begins at byte {at}")
+            raise ValueError(f"no record begins at byte {passed}")
         headers = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines)
-        start = end + 4
-        at = start + int(headers["Content-Length"])
-        if at > len(data):
+        size = end + 4 + int(headers["Content-Length"])
+        if not have(size):
             raise ValueError("cut off")
-        yield headers, data[start:at]
-        at += 4
+        payload = bytes(held[end + 4 : size])
+        have(size + 4)
+        del held[: size + 4]
+        passed += size + 4
+        yield headers, payload
 
 
 RECORD = "page_id long, url string, record_id string, record_type string, refers_to_id string, payload_digest string, payload_bytes long"
@@ -150,9 +180,6 @@ def resolve(found: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, path: str | None = None, min_bytes: int = 0) -> DataFrame:
     """Writes pages (page_id, url, html) as archives, reads them back and resolves their revisits."""
     spark = pages.sparkSession
-    if path is None:
-        import uuid
-
-        path = f"{shared_dir(spark)}/serialspark/warc-{uuid.uuid4().hex}"
+    path = path or new_path(spark, "warc")
     write_archives(pages.select("page_id", "url", F.col("html").cast("string").alias("payload")), path, min_bytes)
     return resolve(read_archives(spark, path))
