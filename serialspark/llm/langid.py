@@ -30,7 +30,7 @@ from .common import chunks, free_name, id_bucket, words_of
 
 UNKNOWN = "und"
 PER_LANGUAGE, MOST_LANGUAGES, TRAINING_WORDS, BUCKETS, STRETCH, ROUNDS, RATE, DECAY = 150, 1000, 400_000, 1 << 16, 16, 40, 0.5, 1e-6
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 PREDICTED = StructType().add("lang_pred", StringType()).add("score", DoubleType())
 
