@@ -72,11 +72,15 @@ def drop_tables(spark: SparkSession, since: int = 0) -> int:
     gone = _tables[since:]
     del _tables[since:]
     for path in gone:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        delete(spark, path)
     return len(gone)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def join_counted(big: DataFrame, small: DataFrame, key: str, n: str) -> DataFrame:
     """big left-joined with small (one row a key; n: how many rows of big have it; n is dropped), with hot keys taken out of the shuffle.
 
