@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from serialspark import schemas as S
@@ -14,9 +14,13 @@ def once(value: Column, use) -> Column:
 
 
 def steps(logits: Column, classes: int) -> Column:
-    """A flat row-major array cut into one array for each step."""
-    n = F.floor(F.size(logits) / classes).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda t: F.slice(logits, t * classes + 1, classes))
+    """A flat row-major array cut into one array for each step; the array itself may be an expression, computed once."""
+
+    def cut(flat: Column) -> Column:
+        n = F.floor(F.size(flat) / classes).cast("int")
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda t: F.slice(flat, t * classes + 1, classes))
+
+    return once(logits, cut)
 
 
 def softmax(step: Column) -> Column:
@@ -105,6 +109,11 @@ def dispatched(logits: Column, classes: Column) -> Column:
     return F.when((classes == S.CTC_BLANK + 1) & whole & (F.size(logits) > 0), ctc).when((classes == S.FIXED_EMPTY + 1) & (F.size(logits) == S.FIXED_LENGTH * (S.FIXED_EMPTY + 1)), fixed)
 
 
+def with_reading(rows: DataFrame, logits: Column, classes: Column, column: str = "d") -> DataFrame:
+    """rows with what dispatched gives. The generator keeps Catalyst from decoding again wherever the result is used."""
+    return rows.select("*", F.explode(F.array(dispatched(logits, classes))).alias(column))
+
+
 def weighted_cross_entropy(logits: Column, target: Column, empty_weight: float) -> Column:
     """(loss, weight): the summed weighted negative log score of the target ids and the sum of weights."""
     pairs = F.zip_with(steps(logits, S.FIXED_EMPTY + 1), target, lambda r, i: F.struct(F.when(i == S.FIXED_EMPTY, empty_weight).otherwise(1.0).alias("w"), (F.ln(F.aggregate(r, F.lit(0.0), lambda a, v: a + F.exp(v - F.array_max(r)))) + F.array_max(r) - F.element_at(r, i + 1)).alias("nll")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -51,6 +51,24 @@ def accepted(pred: Column, confidence: Column | None = None, threshold: float |
     return ok if threshold is None else ok & F.coalesce(confidence >= threshold, F.lit(False))
 
 
+def vendor_pattern(vendor: str, patterns: dict[str, str]) -> str:
+    """The strict pattern of a vendor; ValueError for one that isn't known."""
+    if vendor not in patterns:
+        raise ValueError(f"unknown vendor {vendor!r}; known: {sorted(patterns)}")
+    return patterns[vendor]
+
+
+def vendors_of(rows: DataFrame, text: Column, patterns: dict[str, str], column: str = "vendor") -> DataFrame:
+    """rows once for each vendor whose strict pattern the text fits; without a join, as patterns are a handful."""
+    fitting = F.filter(F.array(*[F.when(text.rlike(p), name) for name, p in patterns.items()]), lambda v: v.isNotNull())
+    return rows.withColumn(column, F.explode(fitting))
+
+
+def known_vendor(vendor: Column, patterns: dict[str, str]) -> Column:
+    """The vendor itself, or an error for rows that name one that isn't known; null stays null."""
+    return F.when(vendor.isNull() | vendor.isin(*patterns), vendor).otherwise(F.raise_error(F.concat(F.lit("unknown vendor "), vendor)))
+
+
 def error_rate(pred: Column, truth: Column) -> Column:
     """Levenshtein distance by the truth's length; against an empty truth 1 for any output, else 0."""
     n = F.length(truth)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ CORNERS = B.CORNERS
 def nms_by_text(detections: DataFrame, threshold: float = 0.3, keys: Sequence[str] = ("image_id", "text")) -> DataFrame:
     """Of each key's boxes, by falling confidence, those that no kept one overlaps by the threshold or more.
 
-    A group is one image's readings of one text, so it stays small however many images there are.
+    A group is one image's readings of one text, so it stays small however many images there are; nms_streamed takes
+    keys of any size.
     """
     others = [c for c in detections.columns if c not in keys]
     first = [F.struct((-F.col("conf")).alias("rank"), F.col("det_id").alias("rank_id"), *others)]
@@ -28,6 +30,29 @@ def nms_by_text(detections: DataFrame, threshold: float = 0.3, keys: Sequence[st
     return out.select(*[F.col(c) if c in keys else F.col(f"d.{c}") for c in detections.columns])
 
 
+def nms_streamed(detections: DataFrame, threshold: float = 0.3, keys: Sequence[str] = ("image_id", "text")) -> DataFrame:
+    """As nms_by_text for keys of any size: a key's boxes pass by in falling confidence and only the kept ones are held."""
+    order = [F.col(k) for k in keys] + [F.desc("conf"), F.asc("det_id")]
+    rows = detections.repartition(*keys).sortWithinPartitions(*order)
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, kept = None, np.zeros((0, 4))
+        for pdf in batches:
+            chosen = np.zeros(len(pdf), bool)
+            own, boxes = list(zip(*[pdf[k] for k in keys], strict=True)), pdf[list(CORNERS)].to_numpy(float)
+            for i, (key, b) in enumerate(zip(own, boxes, strict=True)):
+                if key != at:
+                    at, kept = key, np.zeros((0, 4))
+                side = np.minimum(kept[:, 2:], b[2:]) - np.maximum(kept[:, :2], b[:2])
+                inter = np.maximum(side, 0).prod(axis=1)
+                union = np.maximum(kept[:, 2:] - kept[:, :2], 0).prod(axis=1) + np.maximum(b[2:] - b[:2], 0).prod() - inter
+                if not (np.divide(inter, union, out=np.zeros(len(kept)), where=union > 0) >= threshold).any():
+                    chosen[i], kept = True, np.vstack((kept, b))
+            yield pdf[chosen]
+
+    return rows.mapInPandas(keep, rows.schema)
+
+
 def ranked(detections: DataFrame, key: str = "image_id") -> DataFrame:
     return detections.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("conf"), "det_id")))
 
@@ -116,43 +141,43 @@ def coverage(truth: DataFrame, windows: DataFrame, threshold: float = 0.5) -> Da
     return out.withColumn("contained_9", F.col("best_containment") >= 0.9)
 
 
+def coverage_summary(covered: DataFrame, *keys: str) -> DataFrame:
+    """Ratios of coverage's rows, for each key and over all (null keys): how many truth boxes are covered, contained, read."""
+    rate = lambda c: F.avg(F.col(c).cast("int").cast("double")).alias(c)
+    measures = [F.count("*").alias("n"), *[rate(c) for c in ("covered_3", "covered_5", "covered_7", "contained_9", "recognised")], F.avg("best_iou").alias("mean_iou"), F.avg("best_containment").alias("mean_containment")]
+    return covered.groupingSets([list(keys), []], *keys).agg(*measures)
+
+
 def consensus(primary: DataFrame, secondary: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Rows (image_id, text, det_id, other_id, iou, kind) of two engines' boxes.
 
     Primaries go in order of det_id; each takes the free secondary of its text and image with the best overlap of at
     least the threshold, the earliest of equal ones. kind is both, primary_only or secondary_only.
     """
-    schema = "image_id long, text string, det_id long, other_id long, iou double, kind string"
-    side = lambda d: F.struct("det_id", *[F.col(c).cast("long").alias(c) for c in CORNERS])
+    side = lambda d: F.struct(F.col("det_id").cast("long").alias("det_id"), *[F.col(c).cast("long").alias(c) for c in CORNERS])
     grouped = lambda df, n: df.groupBy("image_id", "text").agg(F.sort_array(F.collect_list(side(df))).alias(n))
     both = grouped(primary, "a").join(grouped(secondary, "b"), ["image_id", "text"], "full")
-
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for image, text, a, b in zip(pdf["image_id"], pdf["text"], pdf["a"], pdf["b"], strict=True):
-                free = list(b) if b is not None else []
-                for p in a if a is not None else ():
-                    best, at = 0.0, None
-                    for j, s in enumerate(free):
-                        v = _iou(p, s)
-                        if v >= threshold and v > best:
-                            best, at = v, j
-                    if at is None:
-                        rows.append((image, text, p["det_id"], None, None, "primary_only"))
-                    else:
-                        rows.append((image, text, p["det_id"], free.pop(at)["det_id"], best, "both"))
-                rows += [(image, text, None, s["det_id"], None, "secondary_only") for s in free]
-            yield pd.DataFrame(rows, columns=["image_id", "text", "det_id", "other_id", "iou", "kind"]).astype({"det_id": "Int64", "other_id": "Int64"})
-
-    return both.mapInPandas(match, schema)
-
-
-def _iou(a: dict, b: dict) -> float:
-    w, h = min(a["x2"], b["x2"]) - max(a["x1"], b["x1"]), min(a["y2"], b["y2"]) - max(a["y1"], b["y1"])
-    inter = max(w, 0) * max(h, 0)
-    union = (a["x2"] - a["x1"]) * (a["y2"] - a["y1"]) + (b["x2"] - b["x1"]) * (b["y2"] - b["y1"]) - inter
-    return inter / union if union else 0.0
+    none = F.array().cast("array<struct<det_id:bigint,x1:bigint,y1:bigint,x2:bigint,y2:bigint>>")
+    corners = lambda d: [d[c] for c in CORNERS]
+    row = lambda det, other, iou, kind: F.struct(det.cast("long").alias("det_id"), other.cast("long").alias("other_id"), iou.cast("double").alias("iou"), F.lit(kind).alias("kind"))
+    null = F.lit(None)
+
+    def step(s: Column, p: Column) -> Column:
+        # the best free one: the largest overlap, of equal ones the smallest id
+        near = F.filter(F.transform(s["free"], lambda q: F.struct(B.iou(corners(p), corners(q)).alias("iou"), (-q["det_id"]).alias("id"))), lambda c: (c["iou"] >= threshold) & (c["iou"] > 0))
+        return _with(F.array_max(near), lambda best: F.struct(
+            F.when(best.isNull(), s["free"]).otherwise(F.filter(s["free"], lambda q: q["det_id"] != -best["id"])).alias("free"),
+            F.concat(s["rows"], F.array(F.when(best.isNull(), row(p["det_id"], null, null, "primary_only")).otherwise(row(p["det_id"], -best["id"], best["iou"], "both")))).alias("rows"),
+        ))
+
+    start = F.struct(F.coalesce("b", none).alias("free"), F.array().cast("array<struct<det_id:bigint,other_id:bigint,iou:double,kind:string>>").alias("rows"))
+    left = lambda s: F.concat(s["rows"], F.transform(s["free"], lambda q: row(null, q["det_id"], null, "secondary_only")))
+    return both.select("image_id", "text", F.explode(F.aggregate(F.coalesce("a", none), start, step, left)).alias("m")).select("image_id", "text", "m.*")
+
+
+def _with(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def recognized(found: DataFrame, raw: Column, least: float = 0.5) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from serialspark import schemas as S
 from serialspark.functions import text as X
 
 
@@ -14,10 +15,10 @@ def _rate(hit: Column, among: Column) -> Column:
     return F.avg(F.when(among, hit.cast("int").cast("double")))
 
 
-def measures(threshold: float | Column | None = None) -> list[Column]:
-    """Aggregates of a report; those of an absent side are null."""
+def measures(threshold: float | Column | None = None, pattern: str | None = S.SERIAL_STRICT) -> list[Column]:
+    """Aggregates of a report; those of an absent side are null, without a pattern also those that need one."""
     pos, neg = F.col("category") == "positive", F.col("category") == "negative"
-    ok = X.accepted(F.col("pred"), F.col("confidence"), threshold)
+    ok = F.lit(None).cast("boolean") if pattern is None else X.accepted(F.col("pred"), F.col("confidence"), threshold, pattern)
     exact = F.col("pred") == F.col("gt")
     count = lambda c: F.count_if(c).alias
     return [
@@ -31,12 +32,36 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def report(predictions: DataFrame, threshold: float | None = None) -> DataFrame:
-    return predictions.agg(*measures(threshold))
+def report(predictions: DataFrame, threshold: float | None = None, pattern: str | None = S.SERIAL_STRICT) -> DataFrame:
+    return predictions.agg(*measures(threshold, pattern))
 
 
-def by_subkind(predictions: DataFrame, threshold: float | None = None) -> DataFrame:
-    ok = X.accepted(F.col("pred"), F.col("confidence"), threshold).cast("int").cast("double")
+def evaluation(predictions: DataFrame, thresholds: Sequence[float] = (), pattern: str | None = S.SERIAL_STRICT) -> DataFrame:
+    """The evaluation job: one row a gate, the pattern alone (threshold null) and with each threshold, with subkinds' false rates as a map."""
+    gates = sweep(predictions, [None, *thresholds], pattern)
+    kinds = by_subkind(predictions, None, pattern).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("subkind", "fpr_nonempty")))).alias("nonempty_by_subkind"))  # subkinds are a handful
+    return gates.withColumn("nonempty_by_subkind", kinds.scalar())
+
+
+def write_report(report: DataFrame, path: str, **head: str) -> None:
+    """A report's rows as JSON lines, each with the given fields before its own; null measures are kept."""
+    report.select(*[F.lit(v).alias(k) for k, v in head.items()], "*").write.option("ignoreNullFields", False).json(path)
+
+
+def release_gate(samples: DataFrame, before: DataFrame, after: DataFrame, worse: float = 0.002, strict: bool = False) -> DataFrame:
+    """(n_leaks, delta, verdict) of a release: blocked by leaks in run reports' samples, warned of by a worse corpus error.
+
+    With strict, samples without a text block too: a report that can't be read proves nothing.
+    """
+    gate = memorization_gate(samples).withColumn("n_unread", F.lit(0).cast("long")) if not strict else samples.agg(F.count("*").alias("n"), F.count(X.memorized(F.col("pred"))).alias("n_leaks"), F.count_if(F.col("pred").isNull()).alias("n_unread"))
+    change = compare(before, after)
+    both = gate.select("n_leaks", "n_unread").withColumn("delta", change.select("delta").scalar()).withColumn("warn", change.select("warn").scalar())
+    verdict = F.when((F.col("n_leaks") > 0) | (F.col("n_unread") > 0), "blocked").when(F.col("warn"), "warned").otherwise("clean")
+    return both.select("n_leaks", "n_unread", "delta", verdict.alias("verdict"))
+
+
+def by_subkind(predictions: DataFrame, threshold: float | None = None, pattern: str | None = S.SERIAL_STRICT) -> DataFrame:
+    ok = F.lit(None).cast("double") if pattern is None else X.accepted(F.col("pred"), F.col("confidence"), threshold, pattern).cast("int").cast("double")
     kind = F.coalesce(F.nullif("subkind", F.lit("")), F.lit("unspecified")).alias("subkind")
     return predictions.where("category = 'negative'").groupBy(kind).agg(F.count("*").alias("n"), F.avg(ok).alias("fpr_pattern"), F.avg((F.col("pred") != "").cast("int").cast("double")).alias("fpr_nonempty"))
 
@@ -46,7 +71,7 @@ def corpus_error(predictions: DataFrame) -> DataFrame:
     return predictions.agg((F.sum(F.levenshtein("pred", "gt")) / F.sum(F.length("gt"))).alias("corpus_cer"), F.avg((F.col("pred") == F.col("gt")).cast("int").cast("double")).alias("em"))
 
 
-def sweep(predictions: DataFrame, thresholds: Sequence[float | None]) -> DataFrame:
+def sweep(predictions: DataFrame, thresholds: Sequence[float | None], pattern: str | None = S.SERIAL_STRICT) -> DataFrame:
     """A report for each threshold, in one pass; None is the pattern alone."""
     wanted = [t for t in thresholds if t is not None]
     if len(wanted) > 100 or any(not 0 <= t <= 1 for t in wanted):
@@ -54,7 +79,7 @@ def sweep(predictions: DataFrame, thresholds: Sequence[float | None]) -> DataFra
     levels = F.array(*[F.lit(t).cast("double") for t in sorted(set(wanted))], *[F.lit(None).cast("double")] * (None in thresholds))
     at = predictions.withColumn("threshold", F.explode(levels))
     # with no threshold every confidence passes
-    return at.withColumn("confidence", F.when(F.col("threshold").isNull(), 1.0).otherwise(F.col("confidence"))).groupBy("threshold").agg(*measures(F.coalesce("threshold", F.lit(0.0))))
+    return at.withColumn("confidence", F.when(F.col("threshold").isNull(), 1.0).otherwise(F.col("confidence"))).groupBy("threshold").agg(*measures(F.coalesce("threshold", F.lit(0.0)), pattern))
 
 
 def compare(a: DataFrame, b: DataFrame, key: str = "sample_id", worse: float = 0.002) -> DataFrame:

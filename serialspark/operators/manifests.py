@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +51,16 @@ def split_counts(manifest: DataFrame) -> DataFrame:
     return manifest.cube("split", "category").agg(F.count("*").alias("n"))
 
 
+def counts_of_splits(manifest: DataFrame, splits: Sequence[str] = ("train", "val", "test")) -> DataFrame:
+    """(split, n, n_pos, n_neg) of the named splits, those without rows too, and of all rows (null)."""
+    named = manifest.sparkSession.createDataFrame([(s,) for s in splits], "split string")
+    neg = F.col("category") == "negative"
+    found = manifest.rollup("split").agg(F.count("*").alias("n"), F.count_if(~neg).alias("n_pos"), F.count_if(neg).alias("n_neg"), F.grouping("split").alias("all"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    own = F.broadcast(named).join(found.where("all = 0"), "split", "left")  # three names
+    return own.select("split", zero("n"), zero("n_pos"), zero("n_neg")).unionByName(found.where("all = 1").select(F.lit(None).cast("string").alias("split"), "n", "n_pos", "n_neg"))
+
+
 def background_library(manifest: DataFrame, present: DataFrame) -> DataFrame:
     """(filename, target) of safe background negatives whose file is present (filename)."""
     df = manifest.where("category = 'negative' and subkind = 'background'").where(~unsafe(F.col("filename")))
@@ -141,6 +153,14 @@ def scheduled(epochs: DataFrame, schedule: list[tuple[int, float]]) -> DataFrame
     return epochs.withColumn("ratio", ratio.otherwise(float(points[-1][1])))
 
 
+def label_quality(regions: DataFrame, documents: DataFrame) -> DataFrame:
+    """(n_clear, n_blur, engine_seconds): positives by their quality, whatever isn't clear being blurred, and the documents' summed primary engine time (meta)."""
+    pos = F.col("category") == "positive"
+    seconds = F.coalesce(F.get_json_object(F.col("meta")["ocr_elapsed_sec"], "$.primary").cast("double"), F.lit(0.0))
+    counts = regions.agg(F.count_if(pos & (F.col("quality") == "clear")).alias("n_clear"), F.count_if(pos & F.coalesce(F.col("quality") != "clear", F.lit(True))).alias("n_blur"))
+    return counts.withColumn("engine_seconds", documents.agg(F.coalesce(F.sum(seconds), F.lit(0.0))).scalar())
+
+
 def label_report(regions: DataFrame) -> DataFrame:
     """Counts of images, positives, negatives, by confidence and quality; an absent confidence counts as 0."""
     pos, conf = F.col("category") == "positive", F.coalesce("confidence", F.lit(0.0))

@@ -1,6 +1,7 @@
 """Window features, model tensors, pluggable detectors and scorers over image rows, in numpy inside Spark tasks.
 
-An image row is (image_id, width, height, data), data holding grey bytes row by row.
+An image row is (image_id, width, height, data), data holding pixels row by row: a grey byte each, or blue, green, red
+(and alpha) bytes, as the image source gives them. Colour counts by its luminance.
 """
 
 from __future__ import annotations
@@ -19,6 +20,29 @@ def images_of_pixels(pixels: DataFrame) -> DataFrame:
     return g.select("image_id", "width", "height", F.to_binary(F.array_join(F.transform("v", lambda x: F.lpad(F.hex(x), 2, "0")), ""), F.lit("hex")).alias("data"))
 
 
+# The shares of red, green and blue in luminance (ITU-R BT.709).
+LUMINANCE = (0.2126, 0.7152, 0.0722)
+
+
+def grey_of(width: int, height: int, data: bytes) -> np.ndarray:
+    """(height, width) of grey values; the number of bytes tells the channels."""
+    channels, rest = divmod(len(data), max(1, width * height))
+    if rest or channels not in (1, 3, 4):
+        raise ValueError(f"{len(data)} bytes for {width} x {height} pixels")
+    pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+    return pixels[:, :, 0] if channels == 1 else pixels[:, :, 2::-1] @ np.array(LUMINANCE)
+
+
+def brightness(images: DataFrame) -> DataFrame:
+    """(image_id, width, height, luminance): each image's mean."""
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[["image_id", "width", "height"]].assign(luminance=[float(grey_of(w, h, d).mean()) for w, h, d in pdf[["width", "height", "data"]].itertuples(index=False)])
+
+    return images.select("image_id", "width", "height", "data").mapInPandas(measure, "image_id long, width int, height int, luminance double")
+
+
 def edges(grey: np.ndarray) -> np.ndarray:
     """Sobel magnitudes; 0 on the border."""
     out, g = np.zeros(grey.shape), grey.astype(float)
@@ -54,7 +78,7 @@ def window_features(images: DataFrame, windows: DataFrame, k: int = 5) -> DataFr
         for pdf in batches:
             rows = []
             for image_id, w, h, data, own in pdf[["image_id", "width", "height", "data", "boxes"]].itertuples(index=False):
-                grey = np.frombuffer(data, np.uint8).reshape(h, w)
+                grey = grey_of(w, h, data)
                 maps = [summed(edges(grey)), summed(variances(grey, k))]
                 for b in own:
                     x1, x2 = (min(max(int(b[c]), 0), w) for c in ("x1", "x2"))
@@ -80,7 +104,7 @@ def crop_tensors(images: DataFrame, windows: DataFrame, width: int = 128, height
         for pdf in batches:
             rows = []
             for image_id, w, h, data, own in pdf[["image_id", "width", "height", "data", "boxes"]].itertuples(index=False):
-                total = summed(np.frombuffer(data, np.uint8).reshape(h, w).astype(float))
+                total = summed(grey_of(w, h, data).astype(float))
                 for b in own:
                     xs, ys = np.linspace(b["x1"], b["x2"], width + 1).clip(0, w), np.linspace(b["y1"], b["y2"], height + 1).clip(0, h)
                     rows_at = np.stack([np.interp(xs, np.arange(w + 1), r) for r in total])
@@ -98,7 +122,7 @@ def detect(images: DataFrame, detector: Callable[[np.ndarray], list[tuple[int, i
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(i, *map(int, b)) for i, w, h, d in pdf[["image_id", "width", "height", "data"]].itertuples(index=False) for b in detector(np.frombuffer(d, np.uint8).reshape(h, w))]
+            rows = [(i, *map(int, b)) for i, w, h, d in pdf[["image_id", "width", "height", "data"]].itertuples(index=False) for b in detector(grey_of(w, h, d))]
             yield pd.DataFrame(rows, columns=["image_id", "x1", "y1", "x2", "y2"])
 
     return images.mapInPandas(run, "image_id long, x1 int, y1 int, x2 int, y2 int")
@@ -120,7 +144,7 @@ def sharp_frames(frames: DataFrame, interval: int, least: float = 100.0) -> Data
         for pdf in batches:
             out = []
             for w, h, d in pdf[["width", "height", "data"]].itertuples(index=False):
-                g = np.frombuffer(d, np.uint8).reshape(h, w).astype(float)
+                g = grey_of(w, h, d).astype(float)
                 lap = g[:-2, 1:-1] + g[2:, 1:-1] + g[1:-1, :-2] + g[1:-1, 2:] - 4 * g[1:-1, 1:-1]
                 out.append(float(lap.var()) if lap.size else 0.0)
             yield pdf[["image_id"]].assign(sharpness=out)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from serialspark.plans import q_boxes, q_data, q_decode, q_evaluation, q_streams, q_text  # noqa: F401
+from serialspark.plans import q_boxes, q_data, q_decode, q_evaluation, q_jobs, q_streams, q_text  # noqa: F401
 from serialspark.plans.registry import ORACLES, QUERIES
 
-FLAGSHIP = "recognize_batch"
+FLAGSHIP = "recognize_logits"
 
 
 def queries():

@@ -50,7 +50,7 @@ SQL = {
           cast(o_custkey % 101 as double)/cast(100 as double) as confidence
         from {orders}""",
     "fx_regions": """
-        select o_orderkey % 800 as image_no, concat('img_', cast(o_orderkey % 800 as varchar(20)), '.jpg') as image, o_orderkey as id,
+        select cast(floor(o_orderkey / 20) as bigint) as image_no, concat('img_', cast(cast(floor(o_orderkey / 20) as bigint) as varchar(20)), '.jpg') as image, o_orderkey as id,
           case when o_custkey % 3 = 0 then 'negative' else 'positive' end as category,
           case when o_custkey % 30 = 1 then '' when o_custkey % 30 = 2 then 'E305MM999999' when o_custkey % 30 = 3 then 'OOPS'
             when o_custkey % 3 = 0 then '' else concat('E300MM', lpad(cast(o_orderkey % 1000000 as varchar(20)), 6, '0')) end as text,
@@ -99,6 +99,10 @@ BOTH = {
     "fx_fixed": (
         "select vec_id, label, transform(sequence(0, 207), i -> cast(embedding[(i * 7) % 64] as double) * 20) as logits from {embeddings}",
         "select vec_id, label, list_transform(range(0, 208), lambda i: embedding[(i * 7) % 64 + 1]::double * 20) as logits from {embeddings}"),
+    # scores that read a serial, with gaps and confidences that depend on the row
+    "fx_reading": (
+        "select vec_id, label, transform(sequence(0, 207), i -> case when i % 13 = case when floor(i / 13) > 11 then 12 else instr('0123456789EM', substr(s, cast(floor(i / 13) as int) + 1, 1)) - 1 end then 1.5D + label % 5 else cast((vec_id * 7 + i * 3) % 11 as double) / 8 end) as logits from (select o_orderkey as vec_id, o_custkey as label, concat(case when o_custkey % 6 = 0 then 'E103MM' else 'E300MM' end, lpad(cast(o_orderkey % 500 as varchar(20)), 6, '0')) as s from {orders})",
+        "select vec_id, label, list_transform(range(0, 208), lambda i: case when i % 13 = case when i // 13 > 11 then 12 else instr('0123456789EM', s[(i // 13)::int + 1]) - 1 end then 1.5::double + label % 5 else ((vec_id * 7 + i * 3) % 11)::double / 8 end) as logits from (select o_orderkey as vec_id, o_custkey as label, concat(case when o_custkey % 6 = 0 then 'E103MM' else 'E300MM' end, lpad(cast(o_orderkey % 500 as varchar(20)), 6, '0')) as s from {orders})"),
     "fx_ctc": (
         "select vec_id, label, transform(sequence(0, 443), i -> cast(embedding[(i * 11) % 64] as double) * 20) as logits from {embeddings}",
         "select vec_id, label, list_transform(range(0, 444), lambda i: embedding[(i * 11) % 64 + 1]::double * 20) as logits from {embeddings}"),

@@ -166,24 +166,42 @@ def feature_percentiles(spark, sf):
     return out.select("x1", "n", *[F.round(c, 4).alias(c) for c in ("min", "p25", "p50", "p75", "max", "mean")])
 
 
-@query()
-def crop_tensors(spark, sf):
+def _tensors(spark, sf):
     images, windows, _ = _features(spark, sf)
     return P.crop_tensors(images, windows)
 
 
-@query()
+# a tensor's row covers 3/8 of a pixel's height; each pixel is 16 of its columns wide, which are equal, so one is shown
+@query(f"""with v as (select w.image_id, w.x1, r, p.x, sum(p.v * (least((r + 1) * 0.375, p.y - 1) - greatest(r * 0.375, p.y - 2))) / 0.375 as v from ({PIXEL_WINDOWS}) w
+    join {{fx_pixels}} p on p.image_id = w.image_id and p.x >= w.x1 and p.x < w.x2 and p.y >= 2 and p.y < 14 join range(0, 32) s(r) on r * 0.375 < p.y - 1 and p.y - 2 < (r + 1) * 0.375 group by 1, 2, 3, 4)
+  select image_id, x1, 2 as y1, x1 + 8 as x2, 14 as y2, list(round(v::double / 127.5 - 1, 4) order by r, x) as tensor from v group by image_id, x1""")
+def crop_tensors(spark, sf):
+    shown = F.transform(F.filter("tensor", lambda v, i: i % 16 == 0), lambda v: F.round(v.cast("double"), 4))
+    return _tensors(spark, sf).withColumn("tensor", shown)
+
+
+def _strong_squares(grey, size: int = 4, least: float = 300.0):
+    """A detector: the squares of a grid whose mean edge is strong."""
+    edge = P.edges(grey)
+    return [(x, y, x + size, y + size) for y in range(0, grey.shape[0], size) for x in range(0, grey.shape[1], size) if edge[y : y + size, x : x + size].mean() >= least]
+
+
+@query(f"{MAPS} select image_id, (x // 4 * 4)::int as x1, (y // 4 * 4)::int as y1, (x // 4 * 4 + 4)::int as x2, (y // 4 * 4 + 4)::int as y2 from m group by image_id, x // 4, y // 4 having avg(edge) >= 300")
 def detector_plugin(spark, sf):
-    return P.detect(_features(spark, sf)[0], lambda grey: [(0, 0, grey.shape[1], grey.shape[0])])
+    return P.detect(_features(spark, sf)[0], _strong_squares)
+
 
+def _half_contrast():
+    """A scorer: how much brighter the right half is than the left, through a logistic function."""
+    import numpy as np
 
-def _mean_scorer():
-    return lambda batch: batch.reshape(len(batch), -1).mean(axis=1)
+    return lambda batch: 1 / (1 + np.exp(batch[:, :, :64].mean(axis=(1, 2)) - batch[:, :, 64:].mean(axis=(1, 2))))
 
 
-@query()
+@query(f"""select w.image_id, w.x1, round(1 / (1 + exp((avg(v) filter (p.x < w.x1 + 4) - avg(v) filter (p.x >= w.x1 + 4)) / 127.5)), 4) as score
+  from ({PIXEL_WINDOWS}) w join {{fx_pixels}} p on p.image_id = w.image_id and p.x >= w.x1 and p.x < w.x2 and p.y >= 2 and p.y < 14 group by 1, 2""")
 def score_batch(spark, sf):
-    return P.score(crop_tensors(spark, sf), _mean_scorer).select("image_id", "x1", "score")
+    return P.score(_tensors(spark, sf), _half_contrast).select("image_id", "x1", F.round(F.col("score").cast("double"), 4).alias("score"))
 
 
 @query("""with px as (select * from {fx_pixels}), g as (select image_id, lag(v) over r + lead(v) over r + lag(v) over c + lead(v) over c - 4 * v as lap from px window r as (partition by image_id, y order by x), c as (partition by image_id, x order by y))

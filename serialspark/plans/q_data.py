@@ -77,8 +77,8 @@ def background_library(spark, sf):
     return G.background_library(m, present)
 
 
-SPLITS = "select concat('img_', cast(o_orderkey % 800 as varchar(20)), '.jpg') as image, case when o_custkey % 10 < 7 then 'train' when o_custkey % 10 < 9 then 'val' else 'test' end as split, o_orderkey as ord from {orders} where o_orderkey % 800 % 10 <> 9"
-SIZES = "select distinct concat('img_', cast(o_orderkey % 800 as varchar(20)), '.jpg') as image, cast(640 + o_orderkey % 800 % 5 as int) as width, cast(480 as int) as height from {orders} where o_orderkey % 800 % 7 <> 3"
+SPLITS = "select concat('img_', cast(cast(floor(o_orderkey / 20) as bigint) as varchar(20)), '.jpg') as image, case when o_custkey % 10 < 7 then 'train' when o_custkey % 10 < 9 then 'val' else 'test' end as split, o_orderkey as ord from {orders} where cast(floor(o_orderkey / 20) as bigint) % 10 <> 9"
+SIZES = "select distinct concat('img_', cast(cast(floor(o_orderkey / 20) as bigint) as varchar(20)), '.jpg') as image, cast(640 + cast(floor(o_orderkey / 20) as bigint) % 5 as int) as width, cast(480 as int) as height from {orders} where cast(floor(o_orderkey / 20) as bigint) % 7 <> 3"
 CROPS = f"""select concat(s.split, '/', case when category = 'positive' then 'real' else 'real_neg' end, '/', replace(r.image, '.jpg', ''), '_', case when category = 'positive' then 'l' else 'n' end, lpad(id::varchar, greatest(2, length(id::varchar))::int, '0'), '.png') as filename,
   case when category = 'positive' then text else '' end as text, s.split, replace(r.image, '.jpg', '') as source, case when category = 'positive' then coalesce(confidence, 1.0) else 1.0 end::double as confidence, category, case when category = 'positive' then '' else coalesce(subkind, 'background') end as subkind,
   greatest(0, least(width, x1 - m))::int as x1, greatest(0, least(height, y1 - m))::int as y1, greatest(0, least(width, x2 + m))::int as x2, greatest(0, least(height, y2 + m))::int as y2

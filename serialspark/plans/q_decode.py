@@ -50,9 +50,14 @@ def ctc_conf_mean(spark, sf):
     return _found(spark, sf, "fx_ctc", 37).select("vec_id", F.round(M.ctc_mean_confidence(F.col("logits"), F.col("f")), 6).alias("confidence"))
 
 
-@query(f"select vec_id, {CONF} from ({CTC}) where ix <> 36 group by vec_id")
+ZERO = "round(coalesce({}, 0), 6)"
+SOME = "filter (ix <> 36)"
+
+
+@query(f"""select vec_id, {ZERO.format(f'least(exp(avg(ln(greatest(top1, 1e-9))) {SOME}), min(top1) {SOME})')} as confidence, {ZERO.format(f'exp(avg(ln(greatest(top1, 1e-9))) {SOME})')} as geomean,
+  {ZERO.format(f'min(top1) {SOME}')} as min_top1, {ZERO.format(f'min(top1 - top2) {SOME}')} as min_margin from ({CTC}) group by vec_id""")
 def ctc_conf_min(spark, sf):
-    return _found(spark, sf, "fx_ctc", 37).where(F.exists("f", lambda s: s["ix"] != 36)).select("vec_id", M.ctc_confidence(F.col("f")).alias("c")).select("vec_id", *_rounded("c"))
+    return _found(spark, sf, "fx_ctc", 37).select("vec_id", M.ctc_confidence(F.col("f")).alias("c")).select("vec_id", *_rounded("c"))
 
 
 @query(f"select vec_id, coalesce(string_agg('0123456789EM'[ix + 1], '' order by t) filter (ix <> 12), '') as text, {CONF} from ({FIXED}) group by vec_id")

@@ -11,30 +11,62 @@ from serialspark.streaming import frames as W
 
 
 def _folder(spark) -> str:
-    """The folder that the cluster shares; a local one only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """The folder that the cluster shares; on a local master a temporary one where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix="spark-")
 
 
-def _frames(spark, sf):
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+def _events(spark, sf, stored: bool):
+    table = spark.read.parquet(f"{sf}/events.parquet")
+    return table if stored else spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+def _whole(spark, sf, frames, aggregate):
+    """An aggregate's windows: the stream's, and those still open at its end."""
+    closed = W.run_once(spark, aggregate(frames(spark, sf)), _folder(spark))
+    return W.with_open_windows(closed, aggregate(frames(spark, sf, True))).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+def _frames(spark, sf, stored: bool = False):
+    events = _events(spark, sf, stored)
     serial = F.concat(F.lit("E300MM"), F.lpad((F.col("user_id") * 7 % 1000).cast("string"), 6, "0"))
     engine = F.when(F.col("event_id") % 3 == 0, "engine_a").otherwise("engine_b")
     return events.select(F.col("event_id").alias("frame_id"), (F.col("user_id") % 10).alias("camera_id"), F.col("ts").cast("timestamp").alias("ts"), engine.alias("engine"), serial.alias("serial"), (F.col("value") > 10).alias("matched"))
 
 
-@query("""select camera_id, start, arg_min(frame_id, (ts, frame_id)) as frame_id from (select *, date_trunc('second', ts) as start from {fx_frames})
-  where start + interval 1 second <= (select max(ts) from {fx_frames}) - interval 1 minute group by 1, 2""")
+@query("""select camera_id, start, arg_min(frame_id, (ts, frame_id)) as frame_id from (select *, date_trunc('second', ts) as start from {fx_frames}) group by 1, 2""")
 def stream_frame_sample(spark, sf):
-    return W.run_once(spark, W.first_frames(_frames(spark, sf)), _folder(spark)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return _whole(spark, sf, _frames, W.first_frames)
 
 
-@query("""select engine, start, count(*) as n, count(*) filter (matched) as n_matched from (select *, date_trunc('hour', ts) as start from {fx_frames})
-  where start + interval 1 hour <= (select max(ts) from {fx_frames}) - interval 1 hour group by 1, 2""")
+@query("""select engine, start, count(*) as n, count(*) filter (matched) as n_matched from (select *, date_trunc('hour', ts) as start from {fx_frames}) group by 1, 2""")
 def stream_engine_counts(spark, sf):
-    return W.run_once(spark, W.engine_counts(_frames(spark, sf)), _folder(spark)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return _whole(spark, sf, _frames, W.engine_counts)
 
 
-@query()
+@query("""select serial, date_trunc('hour', ts) as start, arg_min(frame_id, (ts, frame_id)) as frame_id from {fx_frames} where matched group by 1, 2""")
 def stream_serial_dedupe(spark, sf):
-    return W.run_once(spark, W.distinct_serials(_frames(spark, sf), "3650 days"), _folder(spark)).select("serial", "frame_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return _whole(spark, sf, _frames, W.distinct_serials)
+
+
+#: The scores of a 16-step head that reads a serial of the user, with gaps that depend on the event.
+SCORES = """transform(sequence(0, 207), i -> case when i % 13 = case when floor(i / 13) > 11 then 12 else instr('0123456789EM', substr(s, cast(floor(i / 13) as int) + 1, 1)) - 1 end
+  then 1.0D + event_id % 5 else cast((event_id * 7 + i * 3) % 11 as double) / 8 end)"""
+
+
+def _scored(spark, sf, stored: bool = False):
+    events = _events(spark, sf, stored).withColumn("s", F.concat(F.when(F.col("event_id") % 4 == 0, "E103MM").otherwise("E300MM"), F.lpad((F.col("user_id") * 7 % 1000).cast("string"), 6, "0")))
+    return W.recognitions(events.select(F.col("event_id").alias("frame_id"), F.col("ts").cast("timestamp").alias("ts"), F.expr(SCORES).alias("logits")))
+
+
+@query("""with l as (select event_id, ts, s, list_transform(range(0, 16), lambda t: list_transform(range(0, 13), lambda c: case when c = case when t > 11 then 12 else instr('0123456789EM', s[t + 1]) - 1 end
+    then 1.0::double + event_id % 5 else ((event_id * 7 + (t * 13 + c) * 3) % 11)::double / 8 end)) as steps
+  from (select event_id, ts, concat(case when event_id % 4 = 0 then 'E103MM' else 'E300MM' end, lpad((user_id * 7 % 1000)::varchar, 6, '0')) as s from {events})),
+p as (select event_id, ts, list_transform(steps, lambda r: list_position(r, list_max(r)) - 1) as ids, list_transform(steps, lambda r: 1 / list_sum(list_transform(r, lambda v: exp(v - list_max(r))))) as tops from l),
+d as (select event_id, ts, array_to_string(list_transform(list_filter(ids, lambda i: i <> 12), lambda i: '0123456789EM'[i + 1]), '') as text, least(exp(list_avg(list_transform(tops, lambda q: ln(greatest(q, 1e-9))))), list_min(tops)) as conf from p),
+c as (select *, coalesce(nullif(regexp_extract(text, 'E[39][0-9]{2}MM[0-9]{6}'), ''), null) as serial from d)
+select serial, date_trunc('hour', ts) as start, arg_min(event_id, (ts, event_id)) as frame_id from c where serial is not null and conf >= 0.5 group by 1, 2""")
+def stream_recognition(spark, sf):
+    return _whole(spark, sf, _scored, W.distinct_serials)

@@ -11,7 +11,7 @@ from serialspark.plans.fixtures import fx, spark_sql
 from serialspark.plans.registry import query
 
 NORM = "replace(upper(translate(raw, 'Ｅ０１２３４５６７８９Ｍ', 'E0123456789M')), '-', '')"
-STRICT, PART = "^E[39][0-9]{{2}}MM[0-9]{{6}}\\z".replace("{{", "{").replace("}}", "}"), "E[39][0-9]{2}MM[0-9]{6}"
+STRICT, PART = S.SERIAL_STRICT, S.SERIAL_PARTIAL
 CORRECTED = f"""
   select *, translate(t, 'O', '0') as z from (select *, {NORM} as t from {{fx_raw_text}})"""
 STAGED = f"""
@@ -48,9 +48,8 @@ VENDORS = "(values ('standard', '^E300MM[0-9]{6}\\z'), ('line5', '^E305MM[0-9]{6
 
 @query(f"select ord, vendor from ({STAGED}) s join (select * from {VENDORS}) v on regexp_matches(s.text, v.strict_re)")
 def vendor_match(spark, sf):
-    vendors = spark.createDataFrame([("standard", "^E300MM[0-9]{6}\\z"), ("line5", "^E305MM[0-9]{6}\\z")], "vendor string, strict_re string")
     found = fx(spark, sf, "fx_raw_text").select("ord", X.corrected(X.normalized(F.col("raw")))["text"].alias("text"))
-    return found.join(F.broadcast(vendors), F.expr("text rlike strict_re")).select("ord", "vendor")  # the patterns are a handful
+    return X.vendors_of(found, F.col("text"), {"standard": "^E300MM[0-9]{6}\\z", "line5": "^E305MM[0-9]{6}\\z"}).select("ord", "vendor")
 
 
 @query("""select sample_id, regexp_extract(pred, 'E[39][0-9]{2}MM[0-9]+') as leak from {fx_predictions}
@@ -65,14 +64,14 @@ def leak_lint(spark, sf):
     return spark_sql(spark, sf, "select doc_id, text from {documents}").select("doc_id", a.cast("int").alias("n_serials"), b.cast("int").alias("n_digit_runs"))
 
 
-@query("select sample_id, list_transform(string_split(gt, ''), lambda c: instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c)::int - 1) as ids, length(gt)::int as n from {fx_predictions} where gt <> ''")
+@query("select sample_id, list_transform(list_filter(string_split(gt, ''), lambda c: c <> ''), lambda c: instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c)::int - 1) as ids, length(gt)::int as n from {fx_predictions}")
 def encode_ctc(spark, sf):
-    return fx(spark, sf, "fx_predictions").where("gt <> ''").select("sample_id", X.encoded(F.col("gt"), S.CTC_ALPHABET).alias("ids"), F.length("gt").alias("n"))
+    return fx(spark, sf, "fx_predictions").select("sample_id", X.encoded(F.col("gt"), S.CTC_ALPHABET).alias("ids"), F.length("gt").alias("n"))
 
 
-@query("""select sample_id, list_concat(list_transform(string_split(gt, ''), lambda c: instr('0123456789EM', c)::int - 1), list_transform(range(0, 16 - length(gt)), lambda i: 12)) as ids from {fx_predictions} where gt <> ''""")
+@query("""select sample_id, list_concat(list_transform(list_filter(string_split(gt, ''), lambda c: c <> ''), lambda c: instr('0123456789EM', c)::int - 1), list_transform(range(0, 16 - length(gt)), lambda i: 12)) as ids from {fx_predictions}""")
 def encode_fixed(spark, sf):
-    return fx(spark, sf, "fx_predictions").where("gt <> ''").select("sample_id", X.encoded_fixed(F.col("gt")).alias("ids"))
+    return fx(spark, sf, "fx_predictions").select("sample_id", X.encoded_fixed(F.col("gt")).alias("ids"))
 
 
 @query("select sample_id, round(case when gt = '' then case when pred <> '' then 1.0 else 0.0 end else levenshtein(pred, gt)::double / length(gt) end, 6)::double as cer from {fx_predictions}")

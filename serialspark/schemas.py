@@ -13,6 +13,7 @@ FIXED_LENGTH = 16
 SERIAL_STRICT = "^E[39][0-9]{2}MM[0-9]{6}\\z"
 SERIAL_PARTIAL = "E[39][0-9]{2}MM[0-9]{6}"
 TRUTH_STRICT = "^E300MM[0-9]{6}\\z"
+# Field names of annotation documents and manifests, in their order on disk.
 META_KEYS = ("ocr_engine", "mode", "ocr_elapsed_sec", "rejected_by_regex_primary", "claude_verification", "secondary_engine", "secondary_candidates_count", "disagreements")
 REGION_FIELDS = ("id", "category", "bbox", "text", "text_bbox", "vendor", "quality", "confidence", "match_kind", "subkind", "text_visible", "claude_verified")
 MANIFEST_FIELDS = ("filename", "text", "split", "source", "confidence", "category", "subkind")

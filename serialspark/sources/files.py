@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import struct
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +51,23 @@ def extras(documents: DataFrame, json: str = "json") -> DataFrame:
     return r.select("image", F.col("r")["id"].cast("long").alias("id"), F.map_filter("r", lambda k, v: ~k.isin(*S.REGION_FIELDS)).alias("extra"))
 
 
+def with_extra(documents: DataFrame, extra: DataFrame, json: str = "json") -> DataFrame:
+    """documents (image, json) whose regions carry their extra fields again, from (image, id, extra) maps of texts.
+
+    Fields of the schema are never overridden. An extra field comes back as a text.
+    """
+    whole = documents.select("image", F.from_json(json, "map<string,string>").alias("head"), F.explode(F.from_json(F.get_json_object(json, "$.regions"), "array<map<string,string>>")).alias("r"))
+    keyed = whole.withColumn("id", F.col("r")["id"].cast("long")).join(extra, ["image", "id"], "left")
+    nested = ("bbox", "text_bbox")
+    free = F.map_filter(F.coalesce("extra", F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin(*S.REGION_FIELDS))
+    cell = lambda k, v: F.concat(F.to_json(F.array(k)).substr(F.lit(2), F.length(F.to_json(F.array(k))) - 2), F.lit(":"), F.when(k.isin(*nested, "id", "confidence", "claude_verified"), v).otherwise(F.to_json(F.array(v)).substr(F.lit(2), F.length(F.to_json(F.array(v))) - 2)))
+    text = lambda m: F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(m), lambda e: cell(e["key"], e["value"])), ","), F.lit("}"))
+    regions = keyed.groupBy("image").agg(F.first("head").alias("head"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", text(F.map_concat("r", free)).alias("t")))), lambda s: s["t"]), ",").alias("regions"))
+    rest = F.map_filter("head", lambda k, v: ~k.isin("regions"))
+    quoted = lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), F.when(e["key"].isin("image_size", "schema_version"), e["value"]).otherwise(F.to_json(F.array(e["value"])).substr(F.lit(2), F.length(F.to_json(F.array(e["value"]))) - 2)))
+    return regions.select("image", F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(rest), quoted), ","), F.lit(',"regions":['), "regions", F.lit("]}")).alias(json))
+
+
 def document_json(image: str = "image", regions: str = "regions", **more: Column) -> Column:
     """Current-generation JSON: absent fields left out, negatives' text empty, verified only where true."""
     clean = F.transform(
@@ -54,9 +78,15 @@ def document_json(image: str = "image", regions: str = "regions", **more: Column
 
 
 def write_annotations(documents: DataFrame, path: str, json: str = "json") -> None:
+    """One line of JSON text for each document."""
     documents.select(F.col(json).alias("value")).write.text(path)
 
 
+def read_annotation_lines(spark: SparkSession, path: str) -> DataFrame:
+    """What write_annotations wrote: one row of JSON text (json) for each line."""
+    return spark.read.text(path).withColumnRenamed("value", "json")
+
+
 def with_defaults(manifest: DataFrame) -> DataFrame:
     """A manifest of either generation with its absent values filled in."""
     absent = [c for c in S.MANIFEST_FIELDS if c not in manifest.columns]
@@ -76,17 +106,58 @@ def read_manifest(spark: SparkSession, path: str, split: str | None = None) -> D
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
-    """One folder for each split, fields in their fixed order."""
-    manifest.select(*S.MANIFEST_FIELDS, F.col("split").alias("part")).write.partitionBy("part").csv(path, sep="\t", header=True)
+    """A folder all with the whole manifest and one folder for each split, fields in their fixed order; quotes are kept as they are."""
+    manifest.select(*S.MANIFEST_FIELDS).write.csv(f"{path}/all", sep="\t", header=True, emptyValue="")
+    manifest.select(*S.MANIFEST_FIELDS, F.col("split").alias("part")).write.partitionBy("part").csv(f"{path}/splits", sep="\t", header=True, emptyValue="")
+
+
+IMAGE_FILES = "*.{png,jpg,jpeg,bmp,PNG,JPG,JPEG,BMP}"
 
 
-def read_images(spark: SparkSession, path: str, drop_invalid: bool = True) -> DataFrame:
-    """Spark's image rows (origin, height, width, nChannels, mode, data in blue, green, red)."""
-    return spark.read.format("image").option("dropInvalid", drop_invalid).load(path).select("image.*")
+def read_images(spark: SparkSession, path: str, drop_invalid: bool = True, files: str = IMAGE_FILES) -> DataFrame:
+    """Spark's image rows (origin, height, width, nChannels, mode, data in blue, green, red) of the files with those endings; what can't be read is left out, or has no size."""
+    return spark.read.format("image").option("dropInvalid", drop_invalid).option("pathGlobFilter", files).load(path).select("image.*")
+
+
+def write_images(images: DataFrame, folder: str) -> DataFrame:
+    """Writes image rows (image_id, width, height, data in blue, green, red) as 24-bit BMP files in a folder that tasks can open; returns (image_id, file).
+
+    A file appears under its name only when it is whole, so a task that runs again does no harm.
+    """
+    place = folder.removeprefix("file:")
+    if "://" in place:
+        raise ValueError("image files need a folder that tasks can open")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(place, exist_ok=True)
+        for pdf in batches:
+            files = []
+            for image_id, w, h, data in pdf[["image_id", "width", "height", "data"]].itertuples(index=False):
+                rows = np.frombuffer(data, np.uint8).reshape(h, w * 3)[::-1]
+                body = np.pad(rows, ((0, 0), (0, -w * 3 % 4))).tobytes()
+                head = struct.pack("<2sIIIIiiHHIIiiII", b"BM", 54 + len(body), 0, 54, 40, w, h, 1, 24, 0, len(body), 0, 0, 0, 0)
+                name = f"{place}/image_{image_id:012d}.bmp"
+                part = f"{name}.{TaskContext.get().taskAttemptId()}"
+                with open(part, "wb") as f:
+                    f.write(head + body)
+                os.replace(part, name)
+                files.append(name)
+            yield pd.DataFrame({"image_id": pdf["image_id"], "file": files})
+
+    return images.select("image_id", "width", "height", "data").mapInPandas(write, "image_id long, file string")
 
 
 def samples_of_reports(spark: SparkSession, path: str) -> DataFrame:
     """(source, pred) of the test and validation samples in JSON run reports; entries of another shape have a null pred."""
-    text = spark.read.text(path, wholetext=True).select(F.from_json("value", "test_samples array<string>, val_samples array<string>").alias("r"))
+    return _samples(spark.read.text(path, wholetext=True))
+
+
+def samples_of_report_lines(spark: SparkSession, path: str) -> DataFrame:
+    """As samples_of_reports, of files with a report in each line."""
+    return _samples(spark.read.text(path))
+
+
+def _samples(reports: DataFrame) -> DataFrame:
+    text = reports.select(F.from_json("value", "test_samples array<string>, val_samples array<string>").alias("r"))
     parts = [text.select(F.lit(k).alias("source"), F.explode_outer(f"r.{k}").alias("s")).select("source", F.get_json_object("s", "$.pred").alias("pred")) for k in ("test_samples", "val_samples")]
     return parts[0].unionByName(parts[1])

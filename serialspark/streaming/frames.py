@@ -7,6 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from serialspark.functions import decode as M
+from serialspark.functions import text as X
+
 
 def first_frames(frames: DataFrame, interval: str = "1 second", late: str = "1 minute") -> DataFrame:
     """The earliest frame of each camera and interval."""
@@ -15,9 +18,18 @@ def first_frames(frames: DataFrame, interval: str = "1 second", late: str = "1 m
     return out.select("camera_id", F.col("window.start").alias("start"), F.col("first.frame_id").alias("frame_id"))
 
 
-def distinct_serials(frames: DataFrame, late: str = "1 day") -> DataFrame:
-    """Each serial once within the watermark."""
-    return frames.where("matched").withWatermark("ts", late).dropDuplicatesWithinWatermark(["serial"])
+def distinct_serials(frames: DataFrame, interval: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """Each serial's first matched frame in each interval; a window's state is freed when the watermark has passed it."""
+    w = F.window("ts", interval)
+    out = frames.where("matched").withWatermark("ts", late).groupBy("serial", w).agg(F.min(F.struct("ts", "frame_id")).alias("first"))
+    return out.select("serial", F.col("window.start").alias("start"), F.col("first.frame_id").alias("frame_id"))
+
+
+def recognitions(frames: DataFrame, classes: int = 13, least: float = 0.5) -> DataFrame:
+    """Frames with logits as frames with serial, confidence and matched: decoded, corrected and gated by confidence, without state."""
+    read = M.with_reading(frames, F.col("logits"), F.lit(classes)).withColumn("c", X.corrected(X.normalized(F.col("d.text"))))
+    ok = F.col("c").isNotNull() & (F.col("d.confidence") >= least)
+    return read.withColumns({"serial": F.col("c.text"), "confidence": F.col("d.confidence"), "matched": F.coalesce(ok, F.lit(False))}).drop("d", "c", "logits")
 
 
 def engine_counts(frames: DataFrame, interval: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -25,6 +37,11 @@ def engine_counts(frames: DataFrame, interval: str = "1 hour", late: str = "1 ho
     return frames.withWatermark("ts", late).groupBy("engine", w).agg(F.count("*").alias("n"), F.count_if("matched").alias("n_matched")).select("engine", F.col("window.start").alias("start"), "n", "n_matched")
 
 
+def with_open_windows(closed: DataFrame, whole: DataFrame) -> DataFrame:
+    """A finished stream's windows and, from the same aggregate over stored rows, those that its watermark hasn't passed."""
+    return closed.unionByName(whole.where(F.col("start") > F.coalesce(closed.agg(F.max("start")).scalar(), F.lit("0001-01-01").cast("timestamp"))))
+
+
 def run_once(spark: SparkSession, stream: DataFrame, folder: str) -> DataFrame:
     """Runs a stream over all that is there, into a table under folder, and returns the table; late rows beyond the watermark are dropped."""
     at = f"{folder}/stream-{uuid.uuid4().hex}"
