@@ -1,6 +1,6 @@
 """Word BPE encoding and decoding by a pair occurrence index.
 
-Each batch of a partition lists its distinct words as one row of symbols. An index maps every mergeable
+Each batch of a partition lists the distinct words of its new pieces as one row of symbols. An index maps every mergeable
 pair to all its positions; the active ranks are applied in ascending order, each to all its positions at
 once, and the lists of the pairs that a merge makes are updated. Stale positions are told by their symbols
 when their rank comes up. A token file of the kind "lower case, split by a pattern, byte-level symbols with
@@ -15,10 +15,11 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, count
+from itertools import chain, count, islice
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,9 @@ from .common import chunks, free_name, gathered
 # The printable stand-ins of bytes in byte-level vocabularies keep these ranges as they are.
 PRINTABLE = ((33, 126), (161, 172), (174, 255))
 BATCH_CHARS = 1_000_000
-ODD_SPACE = regex.compile("[\x1c-\x1f]")
+KNOWN_CHARS = 3_000_000  # what a task remembers of pieces; beyond it starts afresh
+ODD_SPACE = re.compile("[\x1c-\x1f]")
+BEYOND_LATIN = re.compile("[\u0370-\U0010ffff]")  # below it there are no marks or capitals that need the tables here
 SPECIAL = "\n"  # no word holds white space, so this marks pieces that are special tokens
 # Capitals whose small forms Python's tables don't have, as (first, last, distance); a final sigma isn't told from others.
 NEWER_CAPITALS = ((0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27))
@@ -116,7 +119,9 @@ class Vocabulary:
         return [x for part in parts for x in ([SPECIAL + part] if part in self.special else self._plain_pieces(part))]
 
     def _plain_pieces(self, text: str) -> list[str]:
-        plain = (text if text.isascii() else composed(text).translate(LOWER)).lower()
+        if not text.isascii():
+            text = composed(text).translate(LOWER) if BEYOND_LATIN.search(text) else unicodedata.normalize("NFC", text)
+        plain = text.lower()
         # these are white space to str.split, but not to the pattern
         return self.pattern.findall(plain) if ODD_SPACE.search(plain) else plain.split()
 
@@ -205,26 +210,49 @@ def load(path: str) -> Vocabulary:
         return Vocabulary(f.read())
 
 
-def encode_batch(texts, vocabulary: Vocabulary) -> Iterator[tuple[np.ndarray, str]]:
-    """(token ids, decoded text) of each text. Pieces and words that recur are split and merged once."""
-    texts = list(texts)
-    for lo, hi in chunks(texts, BATCH_CHARS):
-        piece_no: defaultdict[str, int] = defaultdict(count().__next__)
+class Pieces:
+    """The pieces that a task has met, with their ids and decoded texts. Only new ones are split and merged, all of a chunk at once."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self._start_afresh()
+
+    def _start_afresh(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)
+        self.chars = 0
+        self.ids, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.decoded: list[str] = []
+
+    def rows(self, texts: list) -> list[np.ndarray]:
+        """The numbers of each text's pieces, good until the next call."""
+        if self.chars > KNOWN_CHARS:
+            self._start_afresh()
+        rows = [np.fromiter(map(self.number.__getitem__, self.vocabulary.pieces(t)), np.int64) if t else np.zeros(0, np.int64) for t in texts]
+        self._learn(list(islice(self.number, len(self.decoded), None)))
+        return rows
+
+    def _learn(self, pieces: list[str]) -> None:
         word_no: defaultdict[str, int] = defaultdict(count().__next__)
-        rows = [np.fromiter(map(piece_no.__getitem__, vocabulary.pieces(t)), np.int64) if t else np.zeros(0, np.int64) for t in texts[lo:hi]]
-        words = [[word_no[w] for w in vocabulary.words(p)] for p in piece_no]
-        ids, size = vocabulary.encode_words(list(word_no))
+        words = [[word_no[w] for w in self.vocabulary.words(p)] for p in pieces]
+        ids, size = self.vocabulary.encode_words(list(word_no))
         flat = np.fromiter(chain.from_iterable(words), np.int64)
         ids = ids[gathered((np.cumsum(size) - size)[flat], size[flat])]
         each = np.fromiter(map(len, words), np.int64, len(words))
         size = np.bincount(np.repeat(np.arange(len(words)), each), weights=size[flat], minlength=len(words)).astype(np.int64)
-        start = np.cumsum(size) - size
-        token = vocabulary.token
-        tokens = [token[i] for i in ids.tolist()]
-        decoded = [" ".join(tokens[s : s + n]) for s, n in zip(start.tolist(), size.tolist(), strict=True)]
-        for row in rows:
-            row = row[size[row] > 0]
-            yield ids[gathered(start[row], size[row])], " ".join([decoded[p] for p in row.tolist()])
+        tokens = [self.vocabulary.token[i] for i in ids.tolist()]
+        self.decoded += [" ".join(tokens[end - n : end]) for end, n in zip(np.cumsum(size).tolist(), size.tolist(), strict=True)]
+        self.ids, self.size = np.concatenate((self.ids, ids)), np.concatenate((self.size, size))
+        self.start = np.cumsum(self.size) - self.size
+        self.chars += sum(map(len, pieces))
+
+
+def encode_batch(texts, vocabulary: Vocabulary, known: Pieces | None = None) -> Iterator[tuple[np.ndarray, str]]:
+    """(token ids, decoded text) of each text. Pieces that recur, here or in earlier batches if those are given, are split and merged once."""
+    texts, known = list(texts), known or Pieces(vocabulary)
+    for lo, hi in chunks(texts, BATCH_CHARS):
+        for row in known.rows(texts[lo:hi]):
+            row = row[known.size[row] > 0]
+            yield known.ids[gathered(known.start[row], known.size[row])], " ".join([known.decoded[p] for p in row.tolist()])
 
 
 KINDS = {"n_tokens": LongType(), "ids": ArrayType(IntegerType()), "ids_sha256": StringType(), "decoded": StringType(), "decoded_sha256": StringType()}
@@ -244,11 +272,12 @@ def codes_column(spark: SparkSession, path: str, *fields: str):
 
     @F.pandas_udf(StructType([StructField(f, KINDS[f]) for f in fields]))
     def codes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = Pieces(shared.value)
         for texts in batches:
             # frames of one chunk each: the results of a whole batch aren't held at once
             texts = list(texts)
             for lo, hi in chunks(texts, BATCH_CHARS):
-                rows = [[make[f](ids, text) for f in fields] for ids, text in encode_batch(texts[lo:hi], shared.value)]
+                rows = [[make[f](ids, text) for f in fields] for ids, text in encode_batch(texts[lo:hi], shared.value, known)]
                 yield pd.DataFrame(dict(zip(fields, map(list, zip(*rows, strict=True)), strict=True)))
             if not texts:
                 yield pd.DataFrame({f: [] for f in fields})
