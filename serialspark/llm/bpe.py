@@ -33,7 +33,7 @@ from .common import chunks, free_name, gathered
 # The printable stand-ins of bytes in byte-level vocabularies keep these ranges as they are.
 PRINTABLE = ((33, 126), (161, 172), (174, 255))
 BATCH_CHARS = 1_000_000
-KNOWN_CHARS = 3_000_000  # what a task remembers of pieces; beyond it starts afresh
+KNOWN_CHARS = 1_500_000  # what a task remembers of pieces; beyond it starts afresh
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 BEYOND_LATIN = re.compile("[\u0370-\U0010ffff]")  # below it there are no marks or capitals that need the tables here
 SPECIAL = "\n"  # no word holds white space, so this marks pieces that are special tokens
