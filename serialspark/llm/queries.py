@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, media, pii, simhash, token_counts, toxicity, url_filter, warc
+from . import bpe, decontam, importance, langid, media, pii, simhash, token_counts, toxicity, url_filter, warc
 from .common import read
 
 #: Another folder of vocabulary files may be named.
@@ -72,18 +72,44 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_toxicity, op4_url_filter, op5_warc, op6_language_id, op7_media, op8_pii, op9_bpe, op10_simhash, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_toxicity, op4_url_filter, op5_warc, op6_language_id, op7_media, op8_pii, op9_bpe, op10_simhash, op11_importance, pipeline)}
 
 _HOST = "coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
 _PATH = "coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: The table of CRC-32 as a list, and the sum of a text's UTF-8 bytes by it.
+_CRC_TABLE = "SELECT list(list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS crc FROM range(0, 256) r(i)"
+_CRC = "xor(list_reduce(list_transform(range(0, octet_length(encode({0}))), lambda k: ('0x' || substr(hex(encode({0})), (2 * k + 1)::INT, 2))::BIGINT), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
 ORACLE_SQL = {
+    "op11_importance": f"""
+WITH tab AS ({_CRC_TABLE}),
+held AS (
+  SELECT 1 AS kind, doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM documents
+  UNION ALL SELECT 2, item_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) FROM benchmark),
+hashed AS (SELECT w, {_CRC.format("w")} % 10000 AS bucket FROM (SELECT DISTINCT w FROM held), tab),
+cells AS (SELECT kind, doc_id, bucket, count(*) AS n FROM held JOIN hashed USING (w) GROUP BY ALL),
+counts AS (SELECT bucket, coalesce(sum(n) FILTER (kind = 1), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (kind = 2), 0)::DOUBLE AS t FROM cells GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM counts) + 10000) / ((s + 1) * ((SELECT sum(t) FROM counts) + 10000))))::BIGINT AS gain FROM counts),
+sums AS (SELECT doc_id, sum(n)::BIGINT AS n, sum(n * gain)::BIGINT AS g FROM cells JOIN gains USING (bucket) WHERE kind = 1 GROUP BY doc_id),
+weighed AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, coalesce((g - ((g % n) + n) % n) // n, 0)::BIGINT AS weight,
+    floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS g
+  FROM documents LEFT JOIN sums USING (doc_id)),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY weight + g DESC, doc_id) AS place FROM weighed WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, weight + g AS score, CASE WHEN place <= (SELECT count(*) FROM placed) * 10 // 100 THEN place END AS rank
+FROM weighed LEFT JOIN placed USING (doc_id)""",
     # every set of up to three tokens that a labelled URL holds, in place of FP-growth
     "op4_url_filter": f"""
 WITH split AS (
