@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, importance, langid, media, pii, simhash, token_counts, toxicity, url_filter, warc
-from .common import read
+from . import bpe, decontam, importance, langid, media, merkle, pii, simhash, token_counts, toxicity, url_filter, warc
+from .common import id_bucket, read
 
 #: Another folder of vocabulary files may be named.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR")
@@ -76,13 +76,24 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("n_words")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(id_bucket(F.col("doc_id"), 5) == 0, merkle.leaf(*columns[:-1], lowered))
+    found = merkle.manifest(docs, columns, F.col("source"), F.col("doc_id"), tampered)
+    proof = merkle.siblings_digest(F.col("before"), F.col("after"))
+    found = found.withColumn("folded_root", merkle.folded(F.coalesce("other", "leaf"), F.col("before"), F.col("after")))
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_toxicity, op4_url_filter, op5_warc, op6_language_id, op7_media, op8_pii, op9_bpe, op10_simhash, op11_importance, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_toxicity, op4_url_filter, op5_warc, op6_language_id, op7_media, op8_pii, op9_bpe, op10_simhash, op11_importance, op12_merkle, pipeline)}
 
 _HOST = "coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
 _PATH = "coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
@@ -140,6 +151,37 @@ ruled AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
   WHEN page_id IN (SELECT page_id FROM hit) THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled""",
+    # proofs are folded level by level: at most 16 siblings a level, any number of levels
+    "op12_merkle": f"""
+WITH RECURSIVE tab AS ({_CRC_TABLE}),
+heads AS (SELECT doc_id, source, list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR], lambda x: coalesce(octet_length(encode(x)) || ':' || x, '-')).list_aggregate('string_agg', '') AS head,
+  text, CASE WHEN doc_id IS NOT NULL AND {_CRC.format("doc_id::VARCHAR")} % 5 = 0 THEN {_LOWER.format("text")} ELSE text END AS other FROM documents, tab),
+leaves AS (SELECT doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf, sha256(head || coalesce(octet_length(encode(other)) || ':' || other, '-')) AS changed,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM heads),
+nodes AS (
+  SELECT 0 AS level, source, idx, n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT level + 1, source, idx // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY level, source, idx // 16, n),
+subroots AS (SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, idx, n, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx)) FROM tops WHERE n > 1 GROUP BY level, idx // 16, n),
+runs AS (
+  SELECT 0 AS part, level, source, idx // 16 AS run, list(digest ORDER BY idx) AS run_digests FROM nodes WHERE n > 1 GROUP BY ALL
+  UNION ALL SELECT 1, level, NULL, idx // 16, list(digest ORDER BY idx) FROM tops WHERE n > 1 GROUP BY ALL),
+own AS (
+  SELECT l.doc_id, r.part, r.level, (CASE WHEN r.part = 0 THEN l.idx ELSE s.idx END // pow(16, r.level)::BIGINT) % 16 AS place, r.run_digests
+  FROM leaves l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source
+  JOIN runs r ON (r.part = 1 OR r.source IS NOT DISTINCT FROM l.source) AND r.run = CASE WHEN r.part = 0 THEN l.idx ELSE s.idx END // pow(16, r.level + 1)::BIGINT),
+cut AS (SELECT doc_id, part, level, array_to_string(run_digests[1:place], '') AS before, array_to_string(run_digests[place + 2:], '') AS after FROM own),
+way AS (SELECT doc_id, list({{'b': before, 'a': after}} ORDER BY part, level) AS steps FROM cut GROUP BY doc_id),
+folded AS (
+  SELECT l.doc_id, leaf, source, sha256(coalesce(array_to_string(list_transform(steps, lambda p: p.b || p.a), ''), '')) AS proof_sha256,
+    list_reduce(list_concat([changed], list_transform(coalesce(steps, []), lambda p: p.b || '|' || p.a)), lambda x, p: sha256(split_part(p, '|', 1) || x || split_part(p, '|', 2))) AS folded_root
+  FROM leaves l LEFT JOIN way USING (doc_id))
+SELECT doc_id, leaf, subroot, (SELECT digest FROM tops WHERE n = 1) AS root, proof_sha256, folded_root, folded_root = (SELECT digest FROM tops WHERE n = 1) AS verified
+FROM folded f JOIN subroots s ON f.source IS NOT DISTINCT FROM s.source""",
     "op5_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS first FROM p)
