@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, importance, langid, media, merkle, pii, simhash, token_counts, toxicity, url_filter, warc
+from . import bpe, decontam, importance, langid, lm_score, media, merkle, pii, simhash, token_counts, toxicity, url_filter, warc
 from .common import id_bucket, read
 
 #: Another folder of vocabulary files may be named.
@@ -87,13 +87,17 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scored(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_toxicity, op4_url_filter, op5_warc, op6_language_id, op7_media, op8_pii, op9_bpe, op10_simhash, op11_importance, op12_merkle, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_toxicity, op4_url_filter, op5_warc, op6_language_id, op7_media, op8_pii, op9_bpe, op10_simhash, op11_importance, op12_merkle, op13_lm_score, pipeline)}
 
 _HOST = "coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
 _PATH = "coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
