@@ -62,6 +62,31 @@ def written(df: DataFrame, name: str, *partition_by: str, codec: str = "zstd") -
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables on the way to one result, deleted one by one or all at the end of a with block; other threads' tables aren't touched."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def written(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+        path = f"{shared_dir(self.spark)}/serialspark/{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", codec).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables written here whose readers are all stored."""
+        for df in tables:
+            delete(self.spark, self.paths.pop(id(df))[1])
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*[df for df, _ in self.paths.values()])
+
+
 def mark_tables() -> int:
     """A mark for drop_tables: what is written from here on."""
     return len(_tables)
