@@ -1,9 +1,12 @@
-"""Decoding of model scores held in array columns, with built-in higher-order functions only."""
+"""Decoding of model scores held in array columns: single measures by built-in functions, whole readings in Arrow batches."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from serialspark import schemas as S
 
@@ -101,12 +104,50 @@ def detail(found: Column) -> Column:
     return F.transform(found, lambda s, t: F.struct(t.alias("pos"), char(s["ix"]).alias("char"), s["top1"].alias("top1"), char(s["ix2"]).alias("top2_char"), s["top2"].alias("top2"), s["margin"].alias("margin")))
 
 
-def dispatched(logits: Column, classes: Column) -> Column:
-    """(head, text, confidence) by the number of classes: 37 CTC, 13 fixed of 16 steps; null for other shapes."""
-    whole = F.size(logits) % classes == 0
-    ctc = once(tops(logits, S.CTC_BLANK + 1), lambda f: F.struct(F.lit("ctc").alias("head"), ctc_text(f).alias("text"), ctc_confidence(f)["confidence"].alias("confidence")))
-    fixed = once(tops(logits, S.FIXED_EMPTY + 1), lambda f: F.struct(F.lit("fixed").alias("head"), fixed_text(f).alias("text"), fixed_confidence(f)["confidence"].alias("confidence")))
-    return F.when((classes == S.CTC_BLANK + 1) & whole & (F.size(logits) > 0), ctc).when((classes == S.FIXED_EMPTY + 1) & (F.size(logits) == S.FIXED_LENGTH * (S.FIXED_EMPTY + 1)), fixed)
+READING = T.StructType([T.StructField("head", T.StringType()), T.StructField("text", T.StringType()), T.StructField("confidence", T.DoubleType())])
+
+
+def read_steps(scores: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """(texts, confidences) of scores (n, steps, classes): 37 classes are read as CTC, 13 as fixed positions."""
+    n, steps, classes = scores.shape
+    ids = scores.argmax(axis=2)
+    top1 = 1 / np.exp(scores - scores.max(axis=2, keepdims=True)).sum(axis=2)
+    ctc = classes == S.CTC_BLANK + 1
+    if ctc:
+        counted = ids != S.CTC_BLANK
+        shown = counted.copy()
+        shown[:, 1:] &= ids[:, 1:] != ids[:, :-1]
+    else:
+        counted, shown = np.ones(ids.shape, bool), ids != S.FIXED_EMPTY
+    some = counted.sum(axis=1)
+    geomean = np.exp(np.where(counted, np.log(np.maximum(top1, 1e-9)), 0).sum(axis=1) / np.maximum(some, 1))
+    least = np.where(counted, top1, np.inf).min(axis=1, initial=np.inf)
+    letters = np.frombuffer((S.CTC_ALPHABET if ctc else S.FIXED_ALPHABET).encode() + b"?", np.uint8)[ids]
+    texts = [row[own].tobytes().decode() for row, own in zip(letters, shown, strict=True)]
+    return texts, np.where(some > 0, np.minimum(geomean, least), 0.0)
+
+
+@F.pandas_udf(READING)
+def dispatched(logits: pd.Series, classes: pd.Series) -> pd.DataFrame:
+    """(head, text, confidence) by the number of classes: 37 CTC, 13 fixed of 16 steps; null for other shapes and for scores with a null or no number.
+
+    A batch's rows of one shape are read as one array.
+    """
+    heads, texts, confidences = ([None] * len(logits) for _ in range(3))
+    shapes: dict[tuple[int, int], list[int]] = {}
+    for i, (row, n) in enumerate(zip(logits, classes, strict=True)):
+        if row is not None and len(row) and not pd.isna(n):
+            shapes.setdefault((int(n), len(row)), []).append(i)
+    for (n, size), at in shapes.items():
+        ctc = n == S.CTC_BLANK + 1 and size % n == 0
+        if not ctc and not (n == S.FIXED_EMPTY + 1 and size == S.FIXED_LENGTH * n):
+            continue
+        scores = np.stack([np.asarray(logits[i], np.float64) for i in at])
+        right = np.isfinite(scores).all(axis=1)
+        found = read_steps(scores[right].reshape(-1, size // n, n))
+        for i, text, confidence in zip(np.array(at)[right].tolist(), *found, strict=True):
+            heads[i], texts[i], confidences[i] = "ctc" if ctc else "fixed", text, confidence
+    return pd.DataFrame({"head": pd.Series(heads, dtype=object), "text": pd.Series(texts, dtype=object), "confidence": pd.array(confidences, "Float64")})
 
 
 def with_reading(rows: DataFrame, logits: Column, classes: Column, column: str = "d") -> DataFrame:
