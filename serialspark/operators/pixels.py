@@ -6,11 +6,11 @@ An image row is (image_id, width, height, data), data holding pixels row by row:
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -105,13 +105,7 @@ def crop_tensors(images: DataFrame, windows: DataFrame, width: int = 128, height
             rows = []
             for image_id, w, h, data, own in pdf[["image_id", "width", "height", "data", "boxes"]].itertuples(index=False):
                 total = summed(grey_of(w, h, data).astype(float))
-                for b in own:
-                    xs, ys = np.linspace(b["x1"], b["x2"], width + 1).clip(0, w), np.linspace(b["y1"], b["y2"], height + 1).clip(0, h)
-                    rows_at = np.stack([np.interp(xs, np.arange(w + 1), r) for r in total])
-                    at = np.stack([np.interp(ys, np.arange(h + 1), c) for c in rows_at.T], axis=1)
-                    n = np.diff(ys)[:, None] * np.diff(xs)[None]
-                    sums = at[1:, 1:] - at[:-1, 1:] - at[1:, :-1] + at[:-1, :-1]
-                    rows.append((image_id, b["x1"], b["y1"], b["x2"], b["y2"], (np.divide(sums, n, out=np.zeros_like(sums), where=n > 0) / 127.5 - 1).astype(np.float32).ravel()))
+                rows += [(image_id, *(b[c] for c in ("x1", "y1", "x2", "y2")), tensor_of(total, [b[c] for c in ("x1", "y1", "x2", "y2")], width, height).ravel()) for b in own]
             yield pd.DataFrame(rows, columns=["image_id", "x1", "y1", "x2", "y2", "tensor"])
 
     return images.join(boxes, "image_id").mapInPandas(cut, "image_id long, x1 int, y1 int, x2 int, y2 int, tensor array<float>")
@@ -137,6 +131,172 @@ def score(tensors: DataFrame, make_scorer: Callable, shape: tuple[int, ...] = (3
     return tensors.withColumn("score", udf("tensor"))
 
 
+def logits(tensors: DataFrame, make_scorer: Callable, shape: tuple[int, ...] = (32, 128), batch_size: int = 64) -> DataFrame:
+    """tensors with logits, the flat row-major scores of a model that make_scorer loads once in each worker: a function from (n, *shape) to (n, steps, classes)."""
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql.types import ArrayType, FloatType
+
+    def make():
+        scorer = make_scorer()
+        return lambda batch: np.asarray(scorer(batch), np.float32).reshape(len(batch), -1)
+
+    udf = predict_batch_udf(make, return_type=ArrayType(FloatType()), batch_size=batch_size, input_tensor_shapes=[list(shape)])
+    return tensors.withColumn("logits", udf("tensor"))
+
+
+def grid(width: int, height: int, size: tuple[int, int], stride: tuple[int, int]) -> np.ndarray:
+    """(n, 4) windows of that size: the grid, then the right column and the bottom row where the grid leaves a rest."""
+    (ww, wh), (sx, sy) = size, stride
+    if width < ww or height < wh:
+        return np.zeros((0, 4), int)
+    xs, ys = np.arange(0, width - ww + 1, sx), np.arange(0, height - wh + 1, sy)
+    at = [np.stack(np.meshgrid(xs, ys), axis=-1).reshape(-1, 2)]
+    if (width - ww) % sx:
+        at.append(np.stack([np.full(len(ys), width - ww), ys], axis=1))
+    if (height - wh) % sy:
+        at.append(np.stack([xs, np.full(len(xs), height - wh)], axis=1))
+    at = np.concatenate(at)
+    return np.concatenate([at, at + [ww, wh]], axis=1)
+
+
+def windows_of(width: int, height: int, size: tuple[int, int], stride: tuple[int, int], scales: Sequence[float], most_side: int = 1024, limit: int = 20000) -> np.ndarray:
+    """The windows of detections.sliding_windows for one image, in the order of the scales."""
+    k = min(1.0, most_side / max(width, height))
+    half_up = lambda x: np.floor(np.asarray(x) + 0.5).astype(int)
+    found = [grid(int(half_up(width * k)), int(half_up(height * k)), (round(size[0] * s), round(size[1] * s)), stride) for s in scales]
+    if max(map(len, found), default=0) > limit:
+        raise ValueError(f"{max(map(len, found))} windows in one image")
+    return half_up(np.concatenate(found) / k)
+
+
+def best_overlaps(boxes: np.ndarray, truths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(boxes, truths) matrices of intersection over union, and of the share of the truth inside the box."""
+    side = np.minimum(boxes[:, None, 2:], truths[None, :, 2:]) - np.maximum(boxes[:, None, :2], truths[None, :, :2])
+    inter = np.maximum(side, 0).prod(axis=2).astype(float)
+    area = lambda b: (b[:, 2:] - b[:, :2]).prod(axis=1).astype(float)
+    union, own = area(boxes)[:, None] + area(truths)[None] - inter, np.broadcast_to(area(truths), inter.shape)
+    share = lambda of: np.divide(inter, of, out=np.zeros_like(inter), where=of > 0)
+    return share(union), share(own)
+
+
+def box_means(total: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+    """Means of a summed map over boxes inside it; 0 for an empty box."""
+    h, w = total.shape[0] - 1, total.shape[1] - 1
+    x1, x2, y1, y2 = (boxes[:, c].clip(0, m) for c, m in ((0, w), (2, w), (1, h), (3, h)))
+    n = np.maximum(x2 - x1, 0) * np.maximum(y2 - y1, 0)
+    sums = total[y2, x2] - total[y1, x2] - total[y2, x1] + total[y1, x1]
+    return np.divide(sums, n, out=np.zeros(len(boxes)), where=n > 0)
+
+
+def tensor_of(total: np.ndarray, box: Sequence[int], width: int = 128, height: int = 32) -> np.ndarray:
+    """(height, width) area means of the box in a summed grey image, from -1 to 1."""
+    h, w = total.shape[0] - 1, total.shape[1] - 1
+    xs, ys = np.linspace(box[0], box[2], width + 1).clip(0, w), np.linspace(box[1], box[3], height + 1).clip(0, h)
+    y0, x0 = np.minimum(ys.astype(int), h - 1), np.minimum(xs.astype(int), w - 1)
+    dy, dx = (ys - y0)[:, None], xs - x0
+    rows = total[y0] * (1 - dy) + total[y0 + 1] * dy
+    at = rows[:, x0] * (1 - dx) + rows[:, x0 + 1] * dx
+    n = np.diff(ys)[:, None] * np.diff(xs)[None]
+    sums = at[1:, 1:] - at[:-1, 1:] - at[1:, :-1] + at[:-1, :-1]
+    return (np.divide(sums, n, out=np.zeros_like(sums), where=n > 0) / 127.5 - 1).astype(np.float32)
+
+
+SUMMARY = ("n", "min", "p25", "p50", "p75", "max", "mean")
+_SUMMARY = "struct<n: long, min: double, p25: double, p50: double, p75: double, max: double, mean: double>"
+DIAGNOSIS = f"""image_id long, n_windows int,
+  classes array<struct<class: string, n: long, n_passed: long, n_matched: long, n_high: long, n_nonempty: long, conf_sum: double, edge: {_SUMMARY}, var: {_SUMMARY},
+    samples array<struct<text: string, conf: double, x1: int, y1: int, x2: int, y2: int>>>>,
+  truths array<struct<gt_id: long, best_iou: double, best_containment: double, recognised: boolean>>"""
+
+
+def _summary(values: np.ndarray) -> dict | None:
+    if not len(values):
+        return None
+    quarters = np.percentile(values, [0, 25, 50, 75, 100])
+    return dict(zip(SUMMARY, (len(values), *map(float, quarters), float(values.mean())), strict=True))
+
+
+def diagnose(images: DataFrame, truth: DataFrame, make_reader: Callable, pattern: str, size: tuple[int, int] = (128, 32), stride: tuple[int, int] = (32, 16), scales: Sequence[float] = (1.0,), edge: float | None = 30.0, variance: float | None = 100.0, threshold: float = 0.3, confident: float = 0.5, samples: int = 5, k: int = 7, batch_size: int = 64) -> DataFrame:
+    """What a detector by windows does to each image, in one pass over it; no window leaves its task.
+
+    images (image_id, width, height, data), truth (image_id, gt_id, category, box). For each image the maps of edges and
+    variances are summed once, its windows are made, measured, classed by their best overlap with the truth (pos, neg
+    or undef), and gated by edge and variance; those that pass are cut and read in batches by what make_reader loads once in a task,
+    a function from (n, 32, 128) to texts and confidences. Others count as empty readings of confidence 0. A row has the counts
+    and distributions of each class, its most confident samples whose text matches the pattern, and of each positive truth box
+    the best overlap and whether a confident reading that matches covers it. Images without truth have classes alone.
+    """
+    import re
+
+    boxes = truth.groupBy("image_id").agg(F.collect_list(F.struct("gt_id", "category", "x1", "y1", "x2", "y2")).alias("truth"))
+    joined = images.select("image_id", "width", "height", "data").join(boxes, "image_id", "left")
+    matches = re.compile(pattern.replace("\\z", "\\Z")).search
+
+    def one(reader, image_id: int, w: int, h: int, data: bytes, truth) -> tuple:
+        grey = grey_of(w, h, data).astype(float)
+        windows = windows_of(w, h, size, stride, scales)
+        edge_mean, var_mean = box_means(summed(edges(grey)), windows), box_means(summed(variances(grey, k)), windows)
+        passed = np.ones(len(windows), bool) if edge is None else edge_mean >= edge
+        passed &= True if variance is None else var_mean >= variance
+        truth = sorted(truth if truth is not None else (), key=lambda t: t["gt_id"])
+        corners = np.array([[t[c] for c in ("x1", "y1", "x2", "y2")] for t in truth], int).reshape(-1, 4)
+        positive = np.array([t["category"] == "positive" for t in truth], bool)
+        iou, inside = best_overlaps(windows, corners)
+        pos, neg = iou[:, positive].max(axis=1, initial=0), iou[:, ~positive].max(axis=1, initial=0)
+        kind = np.where((pos >= threshold) & (pos >= neg), "pos", np.where(neg >= threshold, "neg", "undef"))
+        texts, confs, total = np.full(len(windows), "", object), np.zeros(len(windows)), summed(grey)
+        at = np.flatnonzero(passed)
+        for lo in range(0, len(at), batch_size):
+            own = at[lo : lo + batch_size]
+            texts[own], confs[own] = reader(np.stack([tensor_of(total, windows[i]) for i in own]))
+        matched = np.array([bool(matches(t)) for t in texts], bool)
+        high = matched & (confs >= confident)
+        classes = []
+        for c in ("pos", "neg", "undef"):
+            own = np.flatnonzero(kind == c)
+            best = own[matched[own]]
+            best = best[np.lexsort((best, -confs[best]))][:samples]
+            shown = [{"text": texts[i], "conf": float(confs[i]), **dict(zip(("x1", "y1", "x2", "y2"), windows[i].tolist(), strict=True))} for i in best]
+            counts = {"n": len(own), "n_passed": int(passed[own].sum()), "n_matched": int(matched[own].sum()), "n_high": int(high[own].sum()), "n_nonempty": int((texts[own] != "").sum()), "conf_sum": float(confs[own].sum())}
+            classes.append({"class": c, **counts, "edge": _summary(edge_mean[own]), "var": _summary(var_mean[own]), "samples": shown})
+        truths = []
+        for j in np.flatnonzero(positive):
+            read = bool((high & (iou[:, j] >= 0.3)).any())
+            truths.append({"gt_id": truth[j]["gt_id"], "best_iou": float(iou[:, j].max(initial=0)), "best_containment": float(inside[:, j].max(initial=0)), "recognised": read})
+        return image_id, len(windows), classes, truths
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = make_reader()
+        for pdf in batches:
+            rows = [one(reader, *r) for r in pdf[["image_id", "width", "height", "data", "truth"]].itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=["image_id", "n_windows", "classes", "truths"])
+
+    return joined.mapInPandas(run, DIAGNOSIS)
+
+
+def class_stats(diagnosed: DataFrame) -> DataFrame:
+    """Counts of each image and class, and of each class over all images (null image_id)."""
+    rows = diagnosed.select("image_id", F.explode("classes").alias("c")).select("image_id", "c.*")
+    return rows.groupingSets([["image_id", "class"], ["class"]], "image_id", "class").agg(*[F.sum(c).alias(c) for c in ("n", "n_passed", "n_matched", "n_high", "n_nonempty", "conf_sum")])
+
+
+def class_samples(diagnosed: DataFrame, most: int = 5) -> DataFrame:
+    """The most confident matching readings of each class over all images, each image's own best being all that is looked at."""
+    rows = diagnosed.select("image_id", F.explode("classes").alias("c")).select("image_id", "c.class", F.explode("c.samples").alias("s")).select("image_id", "class", "s.*")
+    order = [F.desc("conf"), F.asc("image_id"), F.asc("x1"), F.asc("y1")]
+    part = rows.withColumn("part", F.pmod(F.xxhash64("image_id"), F.lit(256)))
+    first = part.withColumn("r", F.row_number().over(Window.partitionBy("class", "part").orderBy(*order))).where(F.col("r") <= most)
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("class").orderBy(*order))).where(F.col("rank") <= most).select("class", "rank", "image_id", "text", "conf", "x1", "y1")
+
+
+def truth_coverage(diagnosed: DataFrame) -> DataFrame:
+    """detections.coverage's rows, for detections.coverage_summary."""
+    out = diagnosed.select("image_id", F.explode("truths").alias("t")).select("image_id", "t.*")
+    for t in (0.3, 0.5, 0.7):
+        out = out.withColumn(f"covered_{int(t * 10)}", F.col("best_iou") >= t)
+    return out.withColumn("contained_9", F.col("best_containment") >= 0.9)
+
+
 def sharp_frames(frames: DataFrame, interval: int, least: float = 100.0) -> DataFrame:
     """Of image rows with ord every interval-th whose Laplacian varies by more than the least, with sharpness."""
 

@@ -37,8 +37,13 @@ def _scan(spark, sf):
     cells = spark_sql(spark, sf, "select vec_id, cast(floor(vec_id / 64) as bigint) as image_id, posexplode(embedding) as (x, v) from {embeddings}")
     rows = cells.groupBy("image_id").agg((F.count("*") / 64).cast("int").alias("height"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "x", F.concat(byte(1), byte(3), byte(7)).alias("p")))), lambda s: s["p"]), "").alias("h"))
     folder = _place(spark, "images")
-    S.write_images(rows.select("image_id", F.lit(64).alias("width"), "height", F.unhex("h").alias("data")), folder).write.format("noop").mode("overwrite").save()
-    return S.read_images(spark, folder).select(F.regexp_extract("origin", r"image_([0-9]+)\.bmp", 1).cast("long").alias("image_id"), "width", "height", "data")
+    S.bmp_files(rows.select("image_id", F.lit(64).alias("width"), "height", F.unhex("h").alias("data")), "scan").write.parquet(folder)
+    return _images(spark.read.parquet(folder))
+
+
+def _images(files):
+    """Image rows of files named image_<number>.bmp."""
+    return S.decoded(files).where("problem is null").select(F.regexp_extract("path", r"image_([0-9]+)\.bmp", 1).cast("long").alias("image_id"), "width", "height", "data")
 
 
 COLOUR = """select floor(vec_id / 64)::bigint as image_id, x - 1 as x, row_number() over (partition by floor(vec_id / 64), x order by vec_id) - 1 as y, 0.2126 * ((q * 7) % 256) + 0.7152 * ((q * 3) % 256) + 0.0722 * (q % 256) as g

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,32 +117,64 @@ def read_images(spark: SparkSession, path: str, drop_invalid: bool = True, files
     return spark.read.format("image").option("dropInvalid", drop_invalid).option("pathGlobFilter", files).load(path).select("image.*")
 
 
-def write_images(images: DataFrame, folder: str) -> DataFrame:
-    """Writes image rows (image_id, width, height, data in blue, green, red) as 24-bit BMP files in a folder that tasks can open; returns (image_id, file).
+def image_files(spark: SparkSession, path: str, files: str = IMAGE_FILES) -> DataFrame:
+    """(path, length, content) of the image files under path, in any store that Spark reads, for decoded()."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", files).option("recursiveFileLookup", True).load(path).select("path", "length", "content")
 
-    A file appears under its name only when it is whole, so a task that runs again does no harm.
+
+def encode_bmp(width: int, height: int, data: bytes) -> bytes:
+    """A 24-bit BMP file of pixels row by row in blue, green, red."""
+    rows = np.frombuffer(data, np.uint8).reshape(height, width * 3)[::-1]
+    body = np.pad(rows, ((0, 0), (0, -width * 3 % 4))).tobytes()
+    return struct.pack("<2sIIIIiiHHIIiiII", b"BM", 54 + len(body), 0, 54, 40, width, height, 1, 24, 0, len(body), 0, 0, 0, 0) + body
+
+
+def decode_bmp(content: bytes) -> tuple[int, int, bytes]:
+    """(width, height, pixels row by row in blue, green, red) of an uncompressed BMP file of 24 bits; ValueError tells what is wrong."""
+    if len(content) < 54 or content[:2] != b"BM":
+        raise ValueError("no BMP file")
+    start, _, width, height, _, bits, packed = struct.unpack_from("<IIiiHHI", content, 10)
+    if bits != 24 or packed or width <= 0 or not height:
+        raise ValueError(f"{bits} bits, packing {packed}, {width} x {height}")
+    line, rows = (3 * width + 3) // 4 * 4, abs(height)
+    if start < 54 or len(content) < start + line * rows:
+        raise ValueError(f"{len(content)} bytes, {start + line * rows} needed")
+    pixels = np.frombuffer(content, np.uint8, line * rows, start).reshape(rows, line)[:, : 3 * width]
+    return width, rows, (pixels[::-1] if height > 0 else pixels).tobytes()
+
+
+def bmp_files(images: DataFrame, folder: str) -> DataFrame:
+    """(path, length, content) of image rows (image_id, width, height, data in blue, green, red), one BMP file each.
+
+    The rows have the shape that image_files reads. Stored by Spark's own writers they lie in any store of the cluster;
+    Spark has no writer for a file of bytes a row.
+    """
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [encode_bmp(w, h, d) for w, h, d in pdf[["width", "height", "data"]].itertuples(index=False)]
+            yield pd.DataFrame({"path": [f"{folder}/image_{i:012d}.bmp" for i in pdf["image_id"]], "length": [len(x) for x in found], "content": found})
+
+    return images.select("image_id", "width", "height", "data").mapInPandas(encode, "path string, length long, content binary")
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """(path, width, height, data in blue, green, red, problem) of BMP files (path, content); of one that can't be read only path and problem.
+
+    One pass gives both: keep the rows without a problem, report the others.
     """
-    place = folder.removeprefix("file:")
-    if "://" in place:
-        raise ValueError("image files need a folder that tasks can open")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.makedirs(place, exist_ok=True)
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            files = []
-            for image_id, w, h, data in pdf[["image_id", "width", "height", "data"]].itertuples(index=False):
-                rows = np.frombuffer(data, np.uint8).reshape(h, w * 3)[::-1]
-                body = np.pad(rows, ((0, 0), (0, -w * 3 % 4))).tobytes()
-                head = struct.pack("<2sIIIIiiHHIIiiII", b"BM", 54 + len(body), 0, 54, 40, w, h, 1, 24, 0, len(body), 0, 0, 0, 0)
-                name = f"{place}/image_{image_id:012d}.bmp"
-                part = f"{name}.{TaskContext.get().taskAttemptId()}"
-                with open(part, "wb") as f:
-                    f.write(head + body)
-                os.replace(part, name)
-                files.append(name)
-            yield pd.DataFrame({"image_id": pdf["image_id"], "file": files})
-
-    return images.select("image_id", "width", "height", "data").mapInPandas(write, "image_id long, file string")
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    rows.append((path, *decode_bmp(content or b""), None))
+                except ValueError as e:
+                    rows.append((path, None, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "width", "height", "data", "problem"]).astype({"width": "Int32", "height": "Int32"})
+
+    return files.select("path", "content").mapInPandas(decode, "path string, width int, height int, data binary, problem string")
 
 
 def samples_of_reports(spark: SparkSession, path: str) -> DataFrame:

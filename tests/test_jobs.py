@@ -29,11 +29,19 @@ def test_image_files_and_features(spark, tmp_path):
     rng = np.random.default_rng(1)
     pixels = {i: rng.integers(0, 256, (5 + i, 7, 3)).astype(np.uint8) for i in range(3)}
     df = spark.createDataFrame([(i, 7, 5 + i, p.tobytes()) for i, p in pixels.items()], IMAGE)
-    assert S.write_images(df, f"file:{tmp_path}/images").count() == 3
+    (tmp_path / "images").mkdir()
+    for r in S.bmp_files(df, "images").collect():
+        (tmp_path / r.path).write_bytes(r.content)
     (tmp_path / "images" / "broken.bmp").write_bytes(b"BM nothing")
     (tmp_path / "images" / "note.txt").write_text("no image")
     back = {int(r.origin[-16:-4]): r for r in S.read_images(spark, f"{tmp_path}/images").collect()}
     assert set(back) == set(pixels) and all(bytes(back[i].data) == p.tobytes() for i, p in pixels.items())
+    found = S.decoded(S.image_files(spark, f"{tmp_path}/images")).collect()
+    assert {int(r.path[-16:-4]): bytes(r.data) for r in found if r.problem is None} == {i: p.tobytes() for i, p in pixels.items()}
+    assert [(r.path.rsplit("/", 1)[1], r.problem, r.width) for r in found if r.problem] == [("broken.bmp", "no BMP file", None)]
+    whole = S.encode_bmp(3, 2, bytes(range(18)))
+    for content, problem in ((whole[:-1], "77 bytes"), (whole[:28] + b"\x08" + whole[29:], "8 bits"), (None, "no BMP")):
+        assert problem in S.decoded(spark.createDataFrame([("x", content)], "path string, content binary")).first().problem
     flat = spark.createDataFrame([(1, 8, 8, bytes([10, 20, 30]) * 64)], IMAGE)
     windows = spark.createDataFrame([(1, 0, 0, 8, 8)], "image_id long, x1 int, y1 int, x2 int, y2 int")
     grey = 0.2126 * 30 + 0.7152 * 20 + 0.0722 * 10
