@@ -6,7 +6,9 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from serialspark.plans.registry import query
+from serialspark.plans import q_boxes  # noqa: F401
+from serialspark.plans.fixtures import fx
+from serialspark.plans.registry import ORACLES, query
 from serialspark.streaming import frames as W
 
 
@@ -23,14 +25,17 @@ def _events(spark, sf, stored: bool):
     return table if stored else spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
-def _whole(spark, sf, frames, aggregate):
+def _whole(spark, sf, frames, aggregate, interval: str):
     """An aggregate's windows: the stream's, and those still open at its end."""
-    closed = W.run_once(spark, aggregate(frames(spark, sf)), _folder(spark))
-    return W.with_open_windows(closed, aggregate(frames(spark, sf, True))).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    closed = W.run(spark, aggregate(frames(spark, sf)), W.new_folder(_folder(spark)))
+    return W.whole(closed, frames(spark, sf, True), aggregate, interval).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 def _frames(spark, sf, stored: bool = False):
-    events = _events(spark, sf, stored)
+    return _framed(_events(spark, sf, stored))
+
+
+def _framed(events):
     serial = F.concat(F.lit("E300MM"), F.lpad((F.col("user_id") * 7 % 1000).cast("string"), 6, "0"))
     engine = F.when(F.col("event_id") % 3 == 0, "engine_a").otherwise("engine_b")
     return events.select(F.col("event_id").alias("frame_id"), (F.col("user_id") % 10).alias("camera_id"), F.col("ts").cast("timestamp").alias("ts"), engine.alias("engine"), serial.alias("serial"), (F.col("value") > 10).alias("matched"))
@@ -38,17 +43,50 @@ def _frames(spark, sf, stored: bool = False):
 
 @query("""select camera_id, start, arg_min(frame_id, (ts, frame_id)) as frame_id from (select *, date_trunc('second', ts) as start from {fx_frames}) group by 1, 2""")
 def stream_frame_sample(spark, sf):
-    return _whole(spark, sf, _frames, W.first_frames)
+    return _whole(spark, sf, _frames, W.first_frames, "1 second")
 
 
 @query("""select engine, start, count(*) as n, count(*) filter (matched) as n_matched from (select *, date_trunc('hour', ts) as start from {fx_frames}) group by 1, 2""")
 def stream_engine_counts(spark, sf):
-    return _whole(spark, sf, _frames, W.engine_counts)
+    return _whole(spark, sf, _frames, W.engine_counts, "1 hour")
 
 
 @query("""select serial, date_trunc('hour', ts) as start, arg_min(frame_id, (ts, frame_id)) as frame_id from {fx_frames} where matched group by 1, 2""")
 def stream_serial_dedupe(spark, sf):
-    return _whole(spark, sf, _frames, W.distinct_serials)
+    return _whole(spark, sf, _frames, W.distinct_serials, "1 hour")
+
+
+@query("""select serial, ts, frame_id from (select serial, ts, frame_id, ts - lag(ts) over (partition by serial order by ts, frame_id) as since from {fx_frames} where matched) where since is null or since > interval 1 hour""")
+def stream_sightings(spark, sf):
+    """One row for each sighting of a serial, across full hours."""
+    found = W.run(spark, W.sightings(_frames(spark, sf)), W.new_folder(_folder(spark))).rows
+    return found.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+#: Every tenth event comes late, in a second part of the stream.
+LATE = "event_id % 10 = 0"
+SLIDING = """with f as (select *, frame_id % 10 = 0 as late from {fx_frames}), m as (select date_trunc('millisecond', max(ts)) - interval 1 hour as mark from f where not late),
+w as (select engine, matched, late, time_bucket(interval 15 minute, ts) - k * interval 15 minute as start from f, range(0, 4) r(k))"""
+
+
+@query(f"""{SLIDING} select engine, start, count(*) as n, count(*) filter (matched) as n_matched from w, m where not late or start + interval 1 hour > mark group by 1, 2""")
+def stream_sliding_counts(spark, sf):
+    """Windows of an hour that begin every quarter; rows that come after the watermark has passed their window are left out."""
+    events, at = _events(spark, sf, True), W.new_folder(_folder(spark))
+    count = lambda df: W.engine_counts(df, "1 hour", "1 hour", "15 minutes")
+    for part in (f"not ({LATE})", LATE):
+        events.where(part).write.mode("append").parquet(f"{at}/in")
+        done = W.run(spark, count(_framed(spark.readStream.schema(events.schema).parquet(f"{at}/in"))), at)
+    return W.whole(done, _frames(spark, sf, True), count, "1 hour").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(ORACLES["nms_by_text"])
+def stream_suppression(spark, sf):
+    """Boxes suppressed inside each frame as they come, in a sink that a repeated batch can't add to."""
+    boxes, at = fx(spark, sf, "fx_detections"), W.new_folder(_folder(spark))
+    boxes.write.parquet(f"{at}/in")
+    W.suppress_into(spark.readStream.schema(boxes.schema).parquet(f"{at}/in"), f"{at}/out", f"{at}/state")
+    return W.suppressed(spark, f"{at}/out", boxes)
 
 
 #: The scores of a 16-step head that reads a serial of the user, with gaps that depend on the event.
@@ -69,4 +107,4 @@ d as (select event_id, ts, array_to_string(list_transform(list_filter(ids, lambd
 c as (select *, coalesce(nullif(regexp_extract(text, 'E[39][0-9]{2}MM[0-9]{6}'), ''), null) as serial from d)
 select serial, date_trunc('hour', ts) as start, arg_min(event_id, (ts, event_id)) as frame_id from c where serial is not null and conf >= 0.5 group by 1, 2""")
 def stream_recognition(spark, sf):
-    return _whole(spark, sf, _scored, W.distinct_serials)
+    return _whole(spark, sf, _scored, W.distinct_serials, "1 hour")

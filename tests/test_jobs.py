@@ -12,7 +12,6 @@ from serialspark.operators import evaluation as V
 from serialspark.operators import manifests as G
 from serialspark.operators import pixels as P
 from serialspark.sources import files as S
-from serialspark.streaming import frames as W
 
 IMAGE = "image_id long, width int, height int, data binary"
 
@@ -129,10 +128,3 @@ def test_consensus_takes_the_best_free_box(spark):
     b = spark.createDataFrame([(1, "t", 7, 0, 0, 10, 10), (1, "t", 8, 0, 0, 10, 9), (1, "t", 9, 90, 90, 99, 99), (3, "u", 5, 0, 0, 1, 1)], schema)
     got = sorted((r.det_id or 0, r.other_id or 0, r.kind) for r in D.consensus(a, b).collect())
     assert got == [(0, 5, "secondary_only"), (0, 9, "secondary_only"), (1, 7, "both"), (2, 8, "both"), (3, 0, "primary_only")]
-
-
-def test_streamed_windows_are_whole_and_state_is_bounded(spark):
-    rows = spark.sql("select id as frame_id, id % 2 as camera_id, timestamp'2024-01-01' + make_interval(0,0,0,0,0,id) as ts, 's' as serial, true as matched, 'e' as engine from range(50)")
-    closed = W.first_frames(rows).where("start < timestamp'2024-01-01 00:20:00'")
-    assert W.with_open_windows(closed, W.first_frames(rows)).count() == W.first_frames(rows).count() == 50
-    assert W.with_open_windows(closed.limit(0), W.first_frames(rows)).count() == 50
