@@ -97,7 +97,7 @@ _powers: dict[int, np.ndarray] = {}
 def _power(factor: int, n: int) -> np.ndarray:
     """1, factor, its square and so on, modulo 2 ** 64, n at least."""
     if factor not in _powers or len(_powers[factor]) < n:
-        x = np.full(max(n, BATCH_BYTES + 1), factor, np.uint64)
+        x = np.full(max(n, 1 << 19), factor, np.uint64)
         x[0] = 1
         _powers[factor] = np.multiply.accumulate(x)
     return _powers[factor]
