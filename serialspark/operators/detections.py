@@ -10,15 +10,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from serialspark.functions import boxes as B
+from serialspark.sources.store import stored
 
 CORNERS = B.CORNERS
 
 
+def suppressed(detections: DataFrame, threshold: float = 0.3, keys: Sequence[str] = ("image_id", "text"), how: str = "fold") -> DataFrame:
+    """Suppression by one of three ways of equal results: fold (small keys, no Python), stream (a key's kept boxes fit a task), tiles (keys of any size)."""
+    return {"fold": nms_by_text, "stream": nms_streamed, "tiles": nms_tiled}[how](detections, threshold, keys)
+
+
 def nms_by_text(detections: DataFrame, threshold: float = 0.3, keys: Sequence[str] = ("image_id", "text")) -> DataFrame:
     """Of each key's boxes, by falling confidence, those that no kept one overlaps by the threshold or more.
 
-    A group is one image's readings of one text, so it stays small however many images there are; nms_streamed takes
-    keys of any size.
+    A group is one image's readings of one text, so it stays small however many images there are; nms_streamed and
+    nms_tiled take keys of any size.
     """
     others = [c for c in detections.columns if c not in keys]
     first = [F.struct((-F.col("conf")).alias("rank"), F.col("det_id").alias("rank_id"), *others)]
@@ -43,16 +49,85 @@ def nms_streamed(detections: DataFrame, threshold: float = 0.3, keys: Sequence[s
             for i, (key, b) in enumerate(zip(own, boxes, strict=True)):
                 if key != at:
                     at, kept = key, np.zeros((0, 4))
-                side = np.minimum(kept[:, 2:], b[2:]) - np.maximum(kept[:, :2], b[:2])
-                inter = np.maximum(side, 0).prod(axis=1)
-                union = np.maximum(kept[:, 2:] - kept[:, :2], 0).prod(axis=1) + np.maximum(b[2:] - b[:2], 0).prod() - inter
-                if not (np.divide(inter, union, out=np.zeros(len(kept)), where=union > 0) >= threshold).any():
+                if not _meets(kept, b, threshold).any():
                     chosen[i], kept = True, np.vstack((kept, b))
             yield pdf[chosen]
 
     return rows.mapInPandas(keep, rows.schema)
 
 
+TILED = "det_id long, state string, blocker long"
+
+
+def nms_tiled(detections: DataFrame, threshold: float = 0.3, keys: Sequence[str] = ("image_id", "text"), tile: int = 1024, rounds: int = 100) -> DataFrame:
+    """As nms_by_text, with each key's boxes dealt to tiles of the plane, so that one key may hold any number of boxes.
+
+    A box is settled in the tile of its upper left corner, which also gets all boxes that can overlap its own. In falling
+    confidence it is dropped if a kept box of the tile overlaps it, kept if nothing overlaps it that isn't dropped, and else
+    waits for those foreign or waiting boxes. Only these pairs go on: in each round a box that waits is dropped if one of
+    its blockers is kept, and kept if all are dropped, until none waits. The most confident box that waits is settled
+    in each round, so this ends; the result is that of the fold. det_id must tell a key's boxes apart.
+    """
+    most = detections.agg(F.max(F.col("x2") - F.col("x1")).alias("w"), F.max(F.col("y2") - F.col("y1")).alias("h")).first()
+    if most.w is None:
+        return detections
+    side = {"x": max(1, tile, most.w), "y": max(1, tile, most.h)}
+    low = lambda a, most: F.floor((F.col(f"{a}1") - most) / side[a]).cast("int")
+    high = lambda a: F.greatest(F.ceil(F.col(f"{a}2") / side[a]) - 1, F.floor(F.col(f"{a}1") / side[a])).cast("int")
+    own = detections.select(*keys, "det_id", "conf", *CORNERS)
+    dealt = own.withColumn("tx", F.explode(F.sequence(low("x", most.w), high("x")))).withColumn("ty", F.explode(F.sequence(low("y", most.h), high("y"))))
+    home = (F.col("tx") == F.floor(F.col("x1") / side["x"])) & (F.col("ty") == F.floor(F.col("y1") / side["y"]))
+    group = [*keys, "tx", "ty"]
+    rows = dealt.withColumn("home", home).repartition(*group).sortWithinPartitions(*group, F.desc("conf"), F.asc("det_id"))
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, kept, waiting, names = None, np.zeros((0, 4)), np.zeros((0, 4)), []
+        for pdf in batches:
+            out = []
+            own, boxes = list(zip(*[pdf[k] for k in group], strict=True)), pdf[list(CORNERS)].to_numpy(float)
+            for i, (key, b, det_id, home) in enumerate(zip(own, boxes, pdf["det_id"].tolist(), pdf["home"].tolist(), strict=True)):
+                if key != at:
+                    at, kept, waiting, names = key, np.zeros((0, 4)), np.zeros((0, 4)), []
+                if not home:
+                    waiting, names = np.vstack((waiting, b)), [*names, det_id]
+                    continue
+                if _meets(kept, b, threshold).any():
+                    out.append((i, det_id, "dropped", None))
+                    continue
+                blockers = [names[j] for j in np.flatnonzero(_meets(waiting, b, threshold))]
+                if blockers:
+                    waiting, names = np.vstack((waiting, b)), [*names, det_id]
+                    out += [(i, det_id, "waits", x) for x in blockers]
+                else:
+                    kept = np.vstack((kept, b))
+                    out.append((i, det_id, "kept", None))
+            found = pdf[list(keys)].iloc[[x[0] for x in out]].reset_index(drop=True)
+            yield found.assign(det_id=[x[1] for x in out], state=[x[2] for x in out], blocker=pd.array([x[3] for x in out], "Int64"))
+
+    schema = ", ".join(f"`{k}` {detections.schema[k].dataType.simpleString()}" for k in keys)
+    settled = stored(rows.mapInPandas(settle, f"{schema}, {TILED}"), "nms_tiles")
+    id_of = [*keys, "det_id"]
+    states, waits = settled.where("state <> 'waits'").select(*id_of, "state"), settled.where("state = 'waits'").select(*id_of, "blocker")
+    known = states
+    for _ in range(rounds):
+        if waits.isEmpty():
+            return detections.join(known.where("state = 'kept'").select(*id_of), id_of, "left_semi")
+        met = waits.join(known.withColumnRenamed("det_id", "blocker"), [*keys, "blocker"], "left")
+        now = met.groupBy(*id_of).agg(F.when(F.coalesce(F.bool_or(F.col("state") == "kept"), F.lit(False)), "dropped").when(F.count("*") == F.count_if(F.col("state") == "dropped"), "kept").alias("state"))
+        now = stored(now, "nms_round")
+        known = known.unionByName(now.where("state is not null"))
+        # blockers that are dropped no longer matter
+        waits = stored(met.where("state is null").drop("state").join(now.where("state is null").select(*id_of), id_of, "left_semi"), "nms_waits")
+    raise RuntimeError(f"boxes still wait after {rounds} rounds")
+
+
+def _meets(boxes: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which boxes overlap b by the threshold or more."""
+    inter = np.maximum(np.minimum(boxes[:, 2:], b[2:]) - np.maximum(boxes[:, :2], b[:2]), 0).prod(axis=1)
+    union = np.maximum(boxes[:, 2:] - boxes[:, :2], 0).prod(axis=1) + np.maximum(b[2:] - b[:2], 0).prod() - inter
+    return np.divide(inter, union, out=np.zeros(len(boxes)), where=union > 0) >= threshold
+
+
 def ranked(detections: DataFrame, key: str = "image_id") -> DataFrame:
     return detections.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("conf"), "det_id")))
 
@@ -100,18 +175,39 @@ def sliding_windows(images: DataFrame, size: tuple[int, int] = (128, 32), stride
     return out
 
 
-def _near_truth(windows: DataFrame, truth: DataFrame) -> DataFrame:
-    """Windows with each ground-truth box of their image that they overlap; null for none."""
-    g = truth.select("image_id", "gt_id", "category", *[F.col(c).alias("g" + c) for c in CORNERS])
-    meet = B.overlaps(B.box(), [F.col("g" + c) for c in CORNERS])
-    return windows.join(g.withColumnRenamed("image_id", "g_image"), (F.col("image_id") == F.col("g_image")) & meet, "left")
+CELL = 256
 
 
-def classify_windows(windows: DataFrame, truth: DataFrame, threshold: float = 0.3) -> DataFrame:
+def _in_cells(boxes: DataFrame, corners: Sequence[str], cell: int) -> DataFrame:
+    """A row for each square of a grid that a box touches; an empty box touches that of its corner."""
+    x1, y1, x2, y2 = (F.col(c) for c in corners)
+    span = lambda a, b: F.explode(F.sequence(F.floor(a / cell).cast("int"), F.greatest(F.floor(a / cell), F.ceil(b / cell) - 1).cast("int")))
+    return boxes.withColumn("cell_x", span(x1, x2)).withColumn("cell_y", span(y1, y2))
+
+
+def overlapping(boxes: DataFrame, others: DataFrame, corners: Sequence[str], cell: int = CELL) -> DataFrame:
+    """Pairs of a box and another of its image (o_image, corners) that overlap.
+
+    Boxes meet by image and square of a grid, so an image of any number of boxes is spread over tasks; a pair is told only
+    in the square that holds the upper left corner of what they share.
+    """
+    a, b = _in_cells(boxes, CORNERS, cell), _in_cells(others, corners, cell).withColumnsRenamed({"cell_x": "o_cell_x", "cell_y": "o_cell_y"})
+    theirs = [F.col(c) for c in corners]
+    same = (F.col("image_id") == F.col("o_image")) & (F.col("cell_x") == F.col("o_cell_x")) & (F.col("cell_y") == F.col("o_cell_y"))
+    here = (F.floor(F.greatest(F.col("x1"), theirs[0]) / cell) == F.col("cell_x")) & (F.floor(F.greatest(F.col("y1"), theirs[1]) / cell) == F.col("cell_y"))
+    return a.join(b, same & B.overlaps(B.box(), theirs) & here).drop("cell_x", "cell_y", "o_cell_x", "o_cell_y", "o_image")
+
+
+def classify_windows(windows: DataFrame, truth: DataFrame, threshold: float = 0.3, cell: int = CELL) -> DataFrame:
     """windows with class (pos, neg or undef) and best_iou, by the best overlap with truth of either category."""
-    overlap = B.iou(B.box(), [F.col("g" + c) for c in CORNERS])
-    best = lambda k: F.coalesce(F.max(F.when(F.col("category") == k, overlap)), F.lit(0.0))
-    out = _near_truth(windows, truth).groupBy("image_id", *CORNERS).agg(best("positive").alias("best_pos"), best("negative").alias("best_neg"))
+    g = truth.select(F.col("image_id").alias("o_image"), "category", *[F.col(c).alias("g" + c) for c in CORNERS])
+    theirs = [F.col("g" + c) for c in CORNERS]
+    windows = windows.select("image_id", *CORNERS)
+    found = overlapping(windows, g, ["g" + c for c in CORNERS], cell).select("image_id", *CORNERS, "category", B.iou(B.box(), theirs).alias("iou"))
+    # a window that meets nothing still has a row of its own
+    each = found.unionByName(windows, allowMissingColumns=True)
+    best = lambda k: F.coalesce(F.max(F.when(F.col("category") == k, F.col("iou"))), F.lit(0.0))
+    out = each.groupBy("image_id", *CORNERS).agg(best("positive").alias("best_pos"), best("negative").alias("best_neg"))
     kind = F.when((F.col("best_pos") >= threshold) & (F.col("best_pos") >= F.col("best_neg")), "pos").when(F.col("best_neg") >= threshold, "neg").otherwise("undef")
     return out.select("image_id", *CORNERS, kind.alias("class"), F.greatest("best_pos", "best_neg").alias("best_iou"))
 
@@ -123,19 +219,46 @@ def window_stats(windows: DataFrame, threshold: float = 0.5) -> DataFrame:
     return windows.groupingSets([["image_id", "class"], ["class"]], "image_id", "class").agg(*measures)
 
 
-def percentiles(values: DataFrame, column: str, *keys: str) -> DataFrame:
-    p = lambda q: F.percentile(column, q)
-    return values.groupBy(*keys).agg(F.count(column).alias("n"), F.min(column).alias("min"), p(0.25).alias("p25"), p(0.5).alias("p50"), p(0.75).alias("p75"), F.max(column).alias("max"), F.avg(column).alias("mean"))
+QUARTERS = (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))
 
 
-def coverage(truth: DataFrame, windows: DataFrame, threshold: float = 0.5) -> DataFrame:
+def percentiles(values: DataFrame, column: str, *keys: str) -> DataFrame:
+    """n, min, quartiles (linear between neighbours), max and mean of each key's values; exact for keys of any size.
+
+    Different values are counted, dealt out by ranges of key and value, and each range's share of a key is summed. These few
+    sums tell in which range a rank lies, and only that range's values of the key are put in order.
+    """
+    key = [F.col(k) for k in keys]
+    counts = values.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("v")).agg(F.count("*").alias("c"))
+    spread = stored(counts.repartitionByRange(*key, F.col("v")).withColumn("part", F.spark_partition_id()), "ranges")
+    parts = spread.groupBy(*keys, "part").agg(F.sum("c").alias("c"))
+    by_key = Window.partitionBy(*keys)
+    parts = parts.withColumn("n", F.sum("c").over(by_key)).withColumn("before", F.sum("c").over(by_key.orderBy("part")) - F.col("c"))
+    ranks = F.array(*[F.struct(F.lit(q).alias("q"), F.lit(up).alias("up"), F.least(F.floor(p * (F.col("n") - 1)) + up, F.col("n") - 1).alias("rank")) for q, p in QUARTERS for up in (0, 1)])
+    wanted = parts.withColumn("r", F.explode(ranks)).where((F.col("r.rank") >= F.col("before")) & (F.col("r.rank") < F.col("before") + F.col("c")))
+    wanted = wanted.select(*keys, "part", F.col("r.q").alias("q"), F.col("r.up").alias("up"), (F.col("r.rank") - F.col("before")).alias("rank"))
+    near = spread.join(wanted.select(*keys, "part").distinct(), [*keys, "part"], "left_semi")
+    placed = near.withColumn("upto", F.sum("c").over(Window.partitionBy(*keys, "part").orderBy("v")))
+    at = placed.join(wanted, [*keys, "part"]).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("c")))
+    pick = lambda q, up: F.max(F.when((F.col("q") == q) & (F.col("up") == up), F.col("v"))).alias(f"{q}_{up}")
+    at = at.groupBy(*keys).agg(*[pick(q, up) for q, _ in QUARTERS for up in (0, 1)])
+    whole = spread.groupBy(*keys).agg(F.sum("c").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))
+    share = lambda p: F.lit(p) * (F.col("n") - 1) - F.floor(F.lit(p) * (F.col("n") - 1))
+    between = [(F.col(f"{q}_0") + (F.col(f"{q}_1") - F.col(f"{q}_0")) * share(p)).alias(q) for q, p in QUARTERS]
+    return whole.join(at, list(keys)).select(*keys, "n", "min", *between, "max", "mean")
+
+
+def coverage(truth: DataFrame, windows: DataFrame, threshold: float = 0.5, cell: int = CELL) -> DataFrame:
     """Of each positive truth box: its best window, what is covered, whether it was read; windows need matched and conf."""
-    w = windows.select(F.col("image_id").alias("w_image"), *[F.col(c).alias("w" + c) for c in CORNERS], "matched", "conf")
+    w = windows.select(F.col("image_id").alias("o_image"), *[F.col(c).alias("w" + c) for c in CORNERS], "matched", "conf")
     theirs, own = [F.col("w" + c) for c in CORNERS], B.box()
-    joined = truth.where("category = 'positive'").join(w, (F.col("image_id") == F.col("w_image")) & B.overlaps(own, theirs), "left")
-    joined = joined.withColumn("iou", F.coalesce(B.iou(own, theirs), F.lit(0.0))).withColumn("inside", F.coalesce(B.containment(own, theirs), F.lit(0.0)))
+    truth = truth.where("category = 'positive'").select("image_id", "gt_id", *CORNERS)
+    found = overlapping(truth, w, ["w" + c for c in CORNERS], cell)
+    found = found.select("image_id", "gt_id", B.iou(own, theirs).alias("iou"), B.containment(own, theirs).alias("inside"), "matched", "conf")
+    each = found.unionByName(truth.select("image_id", "gt_id"), allowMissingColumns=True)
     read = (F.col("iou") >= 0.3) & F.col("matched") & (F.col("conf") >= threshold)
-    out = joined.groupBy("image_id", "gt_id").agg(F.max("iou").alias("best_iou"), F.max("inside").alias("best_containment"), F.coalesce(F.bool_or(read), F.lit(False)).alias("recognised"))
+    best = lambda c: F.coalesce(F.max(c), F.lit(0.0))
+    out = each.groupBy("image_id", "gt_id").agg(best("iou").alias("best_iou"), best("inside").alias("best_containment"), F.coalesce(F.bool_or(read), F.lit(False)).alias("recognised"))
     for t in (0.3, 0.5, 0.7):
         out = out.withColumn(f"covered_{int(t * 10)}", F.col("best_iou") >= t)
     return out.withColumn("contained_9", F.col("best_containment") >= 0.9)
@@ -180,10 +303,10 @@ def _with(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def recognized(found: DataFrame, raw: Column, least: float = 0.5) -> DataFrame:
-    """The whole reading: normalise, correct, gate by confidence, suppress by text, order, round half up to 4 places."""
+def recognized(found: DataFrame, raw: Column, least: float = 0.5, how: str = "fold") -> DataFrame:
+    """The whole reading: normalise, correct, gate by confidence, suppress by text (how: see suppressed), order, round half up to 4 places."""
     from serialspark.functions import text as X
 
     fixed = found.withColumn("c", X.corrected(X.normalized(raw))).where(F.col("c").isNotNull() & (F.col("conf") >= least))
-    kept = nms_by_text(fixed.select("image_id", "det_id", F.col("c.text").alias("text"), F.col("c.stage").alias("stage"), "conf", *CORNERS))
+    kept = suppressed(fixed.select("image_id", "det_id", F.col("c.text").alias("text"), F.col("c.stage").alias("stage"), "conf", *CORNERS), how=how)
     return ranked(kept).withColumn("conf", F.floor(F.col("conf") * 10000 + 0.5) / 10000)

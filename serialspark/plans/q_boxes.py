@@ -8,7 +8,7 @@ from serialspark.functions import boxes as B
 from serialspark.operators import detections as D
 from serialspark.operators import pixels as P
 from serialspark.plans.fixtures import fx, spark_sql
-from serialspark.plans.registry import query
+from serialspark.plans.registry import ORACLES, query
 
 
 def duck_iou(a: str, b: str) -> str:
@@ -65,6 +65,20 @@ def sliding_windows(spark, sf):
     return D.sliding_windows(fx(spark, sf, "fx_images"))
 
 
+#: Larger images, of which the longer side becomes 1024, under windows of two sizes.
+LARGE = "select image_id, cast(width * 5 as int) as width, cast(height * 9 as int) as height from {fx_images} where image_id % 3 = 0"
+SCALED = "select image_id, least(1.0::double, 1024.0::double / greatest(width, height)) as k, ww, wh, floor(width * least(1.0::double, 1024.0::double / greatest(width, height)) + 0.5)::int as w, floor(height * least(1.0::double, 1024.0::double / greatest(width, height)) + 0.5)::int as h from ({}) i, (values (128, 32), (192, 48)) s(ww, wh)".format(LARGE)
+
+
+@query(f"""with s as (select * from ({SCALED}) where w >= ww and h >= wh), p as (
+  select s.*, x, y from s, lateral (select unnest(range(0, s.w - s.ww + 1, 64)) as x) a, lateral (select unnest(range(0, s.h - s.wh + 1, 48)) as y) b
+  union all select s.*, w - ww, y from s, lateral (select unnest(range(0, s.h - s.wh + 1, 48)) as y) b where (w - ww) % 64 <> 0
+  union all select s.*, x, h - wh from s, lateral (select unnest(range(0, s.w - s.ww + 1, 64)) as x) a where (h - wh) % 48 <> 0)
+select image_id, floor(x / k + 0.5)::int as x1, floor(y / k + 0.5)::int as y1, floor((x + ww) / k + 0.5)::int as x2, floor((y + wh) / k + 0.5)::int as y2 from p""")
+def multi_scale_windows(spark, sf):
+    return D.sliding_windows(spark_sql(spark, sf, LARGE), stride=(64, 48), scales=(1.0, 1.5))
+
+
 CLASSES = f"""select image_id, x1, y1, x2, y2, case when p >= 0.3 and p >= n then 'pos' when n >= 0.3 then 'neg' else 'undef' end as class, greatest(p, n) as best_iou from (
   select w.image_id, w.x1, w.y1, w.x2, w.y2, coalesce(max(case when g.category = 'positive' then {duck_iou('w.', 'g.')} end), 0) as p, coalesce(max(case when g.category = 'negative' then {duck_iou('w.', 'g.')} end), 0) as n
   from ({WINDOWS}) w left join {{fx_gt}} g on w.image_id = g.image_id and w.x1 < g.x2 and g.x1 < w.x2 and w.y1 < g.y2 and g.y1 < w.y2 group by all)"""
@@ -116,6 +130,16 @@ def nms_by_text(spark, sf):
     return D.nms_by_text(fx(spark, sf, "fx_detections"))
 
 
+@query(ORACLES["nms_by_text"])
+def nms_streamed(spark, sf):
+    return D.suppressed(fx(spark, sf, "fx_detections"), how="stream")
+
+
+@query(ORACLES["nms_by_text"])
+def nms_tiled(spark, sf):
+    return D.nms_tiled(fx(spark, sf, "fx_detections"), tile=64)
+
+
 @query("select image_id, det_id, text, conf, round(conf * 100, 6) as percent, x1, y1, x2, y2 from {fx_detections} qualify row_number() over (partition by image_id order by conf desc, det_id) = 1")
 def best_per_image(spark, sf):
     return D.best_per_image(fx(spark, sf, "fx_detections")).withColumn("percent", F.round(F.col("conf") * 100, 6))

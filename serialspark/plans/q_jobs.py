@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,14 +18,7 @@ from serialspark.plans.q_decode import _steps
 from serialspark.plans.q_evaluation import NEG, OK, _measures
 from serialspark.plans.registry import query
 from serialspark.sources import files as S
-
-
-def _place(spark, name: str) -> str:
-    """A new folder in the shared one; on a local master a temporary one where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{folder or tempfile.mkdtemp(prefix='spark-')}/serialspark/{name}-{uuid.uuid4().hex}"
+from serialspark.sources.store import place as _place
 
 
 def _scan(spark, sf):

@@ -12,9 +12,10 @@ from serialspark.operators import evaluation as V
 from serialspark.operators import pixels as P
 from serialspark.plans.fixtures import spark_sql
 from serialspark.plans.q_boxes import duck_inside, duck_iou
-from serialspark.plans.q_jobs import _images, _place
+from serialspark.plans.q_jobs import _images
 from serialspark.plans.registry import query
 from serialspark.sources import files as S
+from serialspark.sources.store import place as _place
 
 #: A strip of 80 x 8 pixels for each customer, four of which make an image; neighbours may show the same serial.
 STRIPS = """select c_custkey as gt_id, cast(floor(c_custkey / 4) as bigint) as image_id, cast(c_custkey % 4 as int) as strip, cast(8 * (c_custkey % 3) as int) as x0,

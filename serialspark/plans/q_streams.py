@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from serialspark.plans import q_boxes  # noqa: F401
 from serialspark.plans.fixtures import fx
 from serialspark.plans.registry import ORACLES, query
+from serialspark.sources.store import place
 from serialspark.streaming import frames as W
 
 
-def _folder(spark) -> str:
-    """The folder that the cluster shares; on a local master a temporary one where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return folder or tempfile.mkdtemp(prefix="spark-")
-
-
 def _events(spark, sf, stored: bool):
     table = spark.read.parquet(f"{sf}/events.parquet")
     return table if stored else spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
@@ -27,7 +18,7 @@ def _events(spark, sf, stored: bool):
 
 def _whole(spark, sf, frames, aggregate, interval: str):
     """An aggregate's windows: the stream's, and those still open at its end."""
-    closed = W.run(spark, aggregate(frames(spark, sf)), W.new_folder(_folder(spark)))
+    closed = W.run(spark, aggregate(frames(spark, sf)), place(spark, "stream"))
     return W.whole(closed, frames(spark, sf, True), aggregate, interval).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
@@ -59,7 +50,7 @@ def stream_serial_dedupe(spark, sf):
 @query("""select serial, ts, frame_id from (select serial, ts, frame_id, ts - lag(ts) over (partition by serial order by ts, frame_id) as since from {fx_frames} where matched) where since is null or since > interval 1 hour""")
 def stream_sightings(spark, sf):
     """One row for each sighting of a serial, across full hours."""
-    found = W.run(spark, W.sightings(_frames(spark, sf)), W.new_folder(_folder(spark))).rows
+    found = W.run(spark, W.sightings(_frames(spark, sf)), place(spark, "stream")).rows
     return found.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
@@ -72,7 +63,7 @@ w as (select engine, matched, late, time_bucket(interval 15 minute, ts) - k * in
 @query(f"""{SLIDING} select engine, start, count(*) as n, count(*) filter (matched) as n_matched from w, m where not late or start + interval 1 hour > mark group by 1, 2""")
 def stream_sliding_counts(spark, sf):
     """Windows of an hour that begin every quarter; rows that come after the watermark has passed their window are left out."""
-    events, at = _events(spark, sf, True), W.new_folder(_folder(spark))
+    events, at = _events(spark, sf, True), place(spark, "stream")
     count = lambda df: W.engine_counts(df, "1 hour", "1 hour", "15 minutes")
     for part in (f"not ({LATE})", LATE):
         events.where(part).write.mode("append").parquet(f"{at}/in")
@@ -83,7 +74,7 @@ def stream_sliding_counts(spark, sf):
 @query(ORACLES["nms_by_text"])
 def stream_suppression(spark, sf):
     """Boxes suppressed inside each frame as they come, in a sink that a repeated batch can't add to."""
-    boxes, at = fx(spark, sf, "fx_detections"), W.new_folder(_folder(spark))
+    boxes, at = fx(spark, sf, "fx_detections"), place(spark, "stream")
     boxes.write.parquet(f"{at}/in")
     W.suppress_into(spark.readStream.schema(boxes.schema).parquet(f"{at}/in"), f"{at}/out", f"{at}/state")
     return W.suppressed(spark, f"{at}/out", boxes)

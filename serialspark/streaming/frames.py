@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 from datetime import datetime
 from typing import NamedTuple
@@ -110,10 +109,6 @@ def run(spark: SparkSession, stream: DataFrame, at: str) -> Run:
     return Run(spark.read.schema(stream.schema).parquet(f"{at}/out"), watermark, dropped, state[-1] if state else 0, max(state, default=0))
 
 
-def new_folder(folder: str) -> str:
-    return f"{folder}/stream-{uuid.uuid4().hex}"
-
-
 def whole(closed: Run, stored: DataFrame, aggregate: Callable[[DataFrame], DataFrame], interval: str) -> DataFrame:
     """A finished stream's windows and those that its watermark hasn't passed, from the stored rows that can lie in one of these."""
     if closed.watermark is None:
