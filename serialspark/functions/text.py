@@ -81,6 +81,11 @@ def memorized(text: Column) -> Column:
     return F.when((first != "") & ~F.startswith(first, F.lit("E300MM")), first)
 
 
+def memorized_runs(text: Column) -> Column:
+    """All serial-like runs of a text that don't begin as dummies do."""
+    return F.filter(F.regexp_extract_all(text, F.lit("(E[39][0-9]{2}MM[0-9]+)"), 1), lambda run: ~F.startswith(run, F.lit("E300MM")))
+
+
 def leak_counts(text: Column) -> tuple[Column, Column]:
     """(serials, runs of five digits or more) in free text."""
     n = lambda p: F.coalesce(F.regexp_count(text, F.lit(p)), F.lit(0))

@@ -90,9 +90,10 @@ def compare(a: DataFrame, b: DataFrame, key: str = "sample_id", worse: float = 0
     return out.withColumn("delta", F.col("cer_b") - F.col("cer_a")).withColumn("warn", F.col("delta") > worse)
 
 
-def memorization_gate(samples: DataFrame, text_col: str = "pred") -> DataFrame:
-    """How many outputs begin a serial that isn't a dummy, and the verdict."""
-    leak = X.memorized(F.col(text_col))
+def memorization_gate(samples: DataFrame, text_col: str = "pred", every: bool = False) -> DataFrame:
+    """How many outputs begin a serial that isn't a dummy, and the verdict; with every, any serial of an output counts, not the first alone."""
+    leak = F.nullif(F.size(X.memorized_runs(F.col(text_col))), F.lit(0)) if every else X.memorized(F.col(text_col))
+    leak = F.when(F.col(text_col).isNotNull(), leak)
     return samples.agg(F.count("*").alias("n"), F.count(leak).alias("n_leaks")).withColumn("verdict", F.when(F.col("n_leaks") == 0, "clean").otherwise("blocked"))
 
 

@@ -100,8 +100,9 @@ def sampler_weights(manifest: DataFrame, ratio: float) -> DataFrame:
 
 
 def uniform(seed: int, *parts: Column) -> Column:
-    """A number from 0 up to 1 that depends on the parts alone, however rows are dealt out."""
-    return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 40)) / float(1 << 40)
+    """A number from 0 up to 1 that depends on the parts alone, however rows are dealt out: 40 bits of an MD5."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 10), 16, 10).cast("long") / float(1 << 40)
 
 
 def weighted_sample(manifest: DataFrame, draws: DataFrame, ratio: float, seed: int = 0, order: str = "filename") -> DataFrame:
@@ -109,7 +110,7 @@ def weighted_sample(manifest: DataFrame, draws: DataFrame, ratio: float, seed: i
 
     Rows get ordinals within their class from counts by hash bucket, so no window spans a class.
     """
-    m = manifest.withColumn("neg", F.col("category") == "negative").withColumn("bucket", F.pmod(F.xxhash64(order), F.lit(256)))
+    m = manifest.withColumn("neg", F.col("category") == "negative").withColumn("bucket", F.floor(uniform(seed + 2, F.col(order)) * 256))
     counts = m.groupBy("neg", "bucket").count()
     base = counts.withColumn("base", F.coalesce(F.sum("count").over(Window.partitionBy("neg").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # 512 rows at most
     m = m.withColumn("ordinal", F.row_number().over(Window.partitionBy("neg", "bucket").orderBy(order)) - 1).join(F.broadcast(base.drop("count")), ["neg", "bucket"]).withColumn("ordinal", F.col("base") + F.col("ordinal"))
@@ -153,6 +154,44 @@ def scheduled(epochs: DataFrame, schedule: list[tuple[int, float]]) -> DataFrame
     return epochs.withColumn("ratio", ratio.otherwise(float(points[-1][1])))
 
 
+def scheduled_by_table(epochs: DataFrame, points: DataFrame, schedule: str = "schedule", limit: int = 1000) -> DataFrame:
+    """epochs (schedule, epoch) with ratio from a table of points (schedule, epoch, ratio), as scheduled gives it for each schedule.
+
+    Different epochs and the points are put in one order for each schedule, where the last point before an epoch tells its
+    segment; the ratios go back to all rows by schedule and epoch. A schedule without points gives 0; more points than the
+    limit or a ratio beyond 0 to 1 is an error.
+    """
+    at = points.groupBy(schedule, "epoch").agg(F.min("ratio").alias("low"), F.max("ratio").alias("high"), F.count("*").alias("n"))
+    by = Window.partitionBy(schedule).orderBy("epoch")
+    wrong = (F.sum("n").over(Window.partitionBy(schedule)) > limit) | (F.col("low") < 0) | (F.col("high") > 1)
+    at = at.withColumn("low", F.when(wrong, F.raise_error(F.concat(F.lit("schedule "), F.col(schedule).cast("string"), F.lit(f": up to {limit} points with ratios from 0 to 1")))).otherwise(F.col("low")))
+    at = at.select(schedule, "epoch", F.struct(F.col("epoch").alias("a"), "low", "high", F.lead("epoch").over(by).alias("b"), F.lead("low").over(by).alias("next")).alias("s"), F.first("low").over(by).alias("first"))
+    wanted = epochs.where(F.col("epoch").isNotNull()).select(schedule, "epoch").distinct()
+    both = wanted.withColumn("mine", F.lit(True)).unionByName(at, allowMissingColumns=True)
+    upto = Window.partitionBy(schedule).orderBy("epoch").rangeBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("s", F.last("s", ignorenulls=True).over(upto)).withColumn("first", F.max("first").over(Window.partitionBy(schedule))).where("mine")
+    e, s = F.col("epoch"), F.col("s")
+    slope = s["high"] + (s["next"] - s["high"]) * (e - s["a"]) / (s["b"] - s["a"])
+    ratio = F.when(s.isNull(), F.coalesce("first", F.lit(0.0))).when(s["a"] == e, s["low"]).when(s["b"].isNull(), s["high"]).otherwise(slope)
+    return epochs.join(both.select(schedule, "epoch", ratio.alias("ratio")), [schedule, "epoch"], "left").withColumn("ratio", F.coalesce("ratio", F.lit(0.0)))
+
+
+def append_new(rows: DataFrame, path: str, keys: Sequence[str], part: str) -> None:
+    """Adds to a table partitioned by part the rows whose keys it doesn't hold yet.
+
+    The keys are read from the table itself, and the partitions that get rows are written anew as a whole, so a run
+    that is repeated, or broke off, leaves what one run leaves.
+    """
+    spark = rows.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fresh = rows
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        held = spark.read.schema(rows.schema).parquet(path)
+        new = rows.join(held.select(*keys).distinct(), list(keys), "left_anti").select(*rows.columns)
+        fresh = held.join(new.select(part).distinct(), part, "left_semi").select(*rows.columns).unionByName(new)
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+
+
 def label_quality(regions: DataFrame, documents: DataFrame) -> DataFrame:
     """(n_clear, n_blur, engine_seconds): positives by their quality, whatever isn't clear being blurred, and the documents' summed primary engine time (meta)."""
     pos = F.col("category") == "positive"

@@ -145,14 +145,17 @@ def best_per_image(spark, sf):
     return D.best_per_image(fx(spark, sf, "fx_detections")).withColumn("percent", F.round(F.col("conf") * 100, 6))
 
 
-@query(f"""with recursive a as (select *, row_number() over (partition by image_id, text order by det_id) as k from {{fx_detections}}), b as (select * from {{fx_detections_b}}),
+CONSENSUS = f"""with recursive a as (select *, row_number() over (partition by image_id, text order by det_id) as k from {{fx_detections}}), b as (select * from {{fx_detections_b}}),
 walk as (select image_id, text, 0::bigint as k, null::bigint as det_id, null::bigint as other_id, null::double as iou, []::bigint[] as used from (select distinct image_id, text from a)
   union all select w.image_id, w.text, a.k, a.det_id, m.det_id, m.iou, case when m.det_id is null then w.used else list_append(w.used, m.det_id) end
   from walk w join a on a.image_id = w.image_id and a.text = w.text and a.k = w.k + 1
   left join lateral (select b.det_id, {duck_iou('a.', 'b.')} as iou from b where b.image_id = a.image_id and b.text = a.text and not list_contains(w.used, b.det_id) and {duck_iou('a.', 'b.')} >= 0.5 order by iou desc, b.det_id limit 1) m on true),
 m as (select * from walk where k > 0)
 select image_id, text, det_id, other_id, round(iou, 6) as iou, case when other_id is null then 'primary_only' else 'both' end as kind from m
-union all select image_id, text, null, det_id, null, 'secondary_only' from b where det_id not in (select other_id from m where other_id is not null)""")
+union all select image_id, text, null, det_id, null, 'secondary_only' from b where det_id not in (select other_id from m where other_id is not null)"""
+
+
+@query(CONSENSUS)
 def consensus_match(spark, sf):
     return D.consensus(fx(spark, sf, "fx_detections"), fx(spark, sf, "fx_detections_b")).withColumn("iou", F.round("iou", 6))
 

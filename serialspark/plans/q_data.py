@@ -8,8 +8,9 @@ from serialspark.functions import boxes as B
 from serialspark.functions import text as X
 from serialspark.operators import manifests as G
 from serialspark.plans.fixtures import fx, spark_sql
-from serialspark.plans.registry import query
+from serialspark.plans.registry import ORACLES, query
 from serialspark.sources import files as S
+from serialspark.sources.store import place
 
 
 def _documents(spark, sf, old: bool = False):
@@ -131,18 +132,31 @@ def sampler_weights(spark, sf):
     return G.sampler_weights(S.with_defaults(fx(spark, sf, "fx_manifest")), 0.4).select("filename", F.round("weight", 10).alias("weight"))
 
 
-@query()
+DRAW = "(('0x' || substr(md5(concat_ws('|', {})), 1, 10))::bigint / 1099511627776.0::double)"
+
+
+def _draw(seed: int, *parts: str) -> str:
+    """manifests.uniform in DuckDB."""
+    return DRAW.format(", ".join([f"'{seed}'", *[f"({p})::varchar" for p in parts]]))
+
+
+@query(f"""with m as (select *, category = 'negative' as neg from (select filename, coalesce(text, '') as text, split, source, confidence, coalesce(category, 'positive') as category, coalesce(subkind, '') as subkind from {{fx_manifest}})),
+o as (select *, row_number() over (partition by neg order by floor({_draw(2, 'filename')} * 256), filename) - 1 as ordinal from m), t as (select neg, count(*) as total from m group by 1),
+d as (select i, i_neg, floor({_draw(1, 'i')} * total)::bigint as ordinal from (select o_orderkey as i, {_draw(0, 'o_orderkey')} < 0.4 as i_neg from {{orders}}) join t on neg = i_neg)
+select i, filename, text, split, source, confidence, category, subkind from d join o on o.neg = d.i_neg and o.ordinal = d.ordinal""")
 def weighted_sample(spark, sf):
     draws = spark_sql(spark, sf, "select o_orderkey as i from {orders}")
     return G.weighted_sample(S.with_defaults(fx(spark, sf, "fx_manifest")), draws, 0.4)
 
 
-@query()
+@query(f"select o_orderkey as i, concat('E300MM', lpad(floor({_draw(0, 'o_orderkey')} * 1000000)::bigint::varchar, 6, '0')) as text from {{orders}}")
 def synth_serials(spark, sf):
     return spark_sql(spark, sf, "select o_orderkey as i from {orders}").select("i", G.synthetic_serial(F.col("i")).alias("text"))
 
 
-@query()
+@query(f"""select i, case when regexp_matches(t, '^E[39][0-9]{{2}}MM[0-9]{{6}}\\z') then substr(t, 2, 15) else t end as text from (
+  select i, string_agg('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ'[floor({_draw(0, 'i', 'k')} * 36)::int + 1], '' order by k) as t
+  from (select i, unnest(range(1, floor({_draw(0, 'i', "'n'")} * 11)::int + 6)) as k from (select o_orderkey as i from {{orders}})) group by i)""")
 def synth_negatives(spark, sf):
     return spark_sql(spark, sf, "select o_orderkey as i from {orders}").select("i", G.synthetic_negative(F.col("i")).alias("text"))
 
@@ -158,6 +172,30 @@ def ratio_schedule(spark, sf):
     return G.scheduled(epochs, [(1, 0.0), (5, 0.0), (15, 0.3), (40, 0.4)]).select("o_orderkey", F.round("ratio", 6).alias("ratio"))
 
 
+POINTS = "select s_nationkey as schedule, s_suppkey % 40 * 3 as epoch, cast(s_suppkey * 37 % 101 as double) / 101 as ratio from {supplier}"
+EPOCHS = "select o_orderkey, o_custkey % 30 as schedule, o_orderkey % 130 as epoch from {orders}"
+
+
+@query(f"""with p as (select schedule, epoch, min(ratio) as low, max(ratio) as high from ({POINTS}) group by 1, 2), e as ({EPOCHS}),
+f as (select schedule, arg_min(low, epoch) as first from p group by 1),
+j as (select e.*, a.epoch as a, a.low, a.high, f.first from e left join f using (schedule) asof left join p a on e.schedule = a.schedule and e.epoch >= a.epoch),
+k as (select j.*, b.epoch as b, b.low as next from j asof left join p b on j.schedule = b.schedule and j.epoch < b.epoch)
+select o_orderkey, round(case when a is null then coalesce(first, 0) when a = epoch then low when b is null then high else high + (next - high) * (epoch - a) / (b - a) end, 6) as ratio from k""")
+def ratio_schedules(spark, sf):
+    return G.scheduled_by_table(spark_sql(spark, sf, EPOCHS), spark_sql(spark, sf, POINTS)).select("o_orderkey", F.round("ratio", 6).alias("ratio"))
+
+
+@query(ORACLES["manifest_append"])
+def incremental_append(spark, sf):
+    """Half a manifest, then the real rows, then these again with the made ones, twice: a table that keeps each once."""
+    real = S.with_defaults(fx(spark, sf, "fx_manifest"))
+    every = real.unionByName(G.synthetic_manifest(real), allowMissingColumns=True)
+    path = place(spark, "manifest")
+    for rows in (real.where(F.length("filename") % 2 == 0), real, every, every):
+        G.append_new(rows, path, ["filename"], "split")
+    return spark.read.schema(real.schema).parquet(path).groupBy("source", "split").agg(F.count("*").alias("n"))
+
+
 NEW = "select image_id, det_id as ord, cast(x1 + det_id % 2 * 128 as int) as x1, y1, cast(x2 + det_id % 2 * 128 as int) as x2, y2 from {fx_detections_b}"
 
 
