@@ -124,14 +124,14 @@ def join_counted(big: DataFrame, small: DataFrame, key: str, n: str) -> DataFram
 MOST_BITS = 1 << 26
 
 
-def sifted(rows: DataFrame, ids: DataFrame, id_col: str, maybe: str) -> DataFrame:
+def sifted(rows: DataFrame, ids: DataFrame, id_col: str, maybe: str, kind: str = "long") -> DataFrame:
     """rows with a column maybe: false only where the id is none of ids (id_col); of others it is true for a share of at most about a sixteenth.
 
     The ids' hashes set bits, 16 for each id but at most ``MOST_BITS`` of all, so what is broadcast is at most a
     million words; with more ids than that more rows pass. So rows need no shuffle to be parted from most of those that no id means.
     """
     bits = min(MOST_BITS, max(1 << 12, 1 << (16 * ids.count()).bit_length()))
-    place = lambda c: F.pmod(F.xxhash64(F.col(f"`{c}`").cast("long")), F.lit(bits))
+    place = lambda c: F.pmod(F.xxhash64(F.col(f"`{c}`").cast(kind)), F.lit(bits))
     word, mask = free_name(rows, "_word"), free_name(rows, "_mask")
     words = ids.where(F.col(id_col).isNotNull()).select(place(id_col).alias("at")).groupBy(F.expr("at div 64").alias(word)).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias(mask))
     hit = F.coalesce(F.getbit(F.col(mask), (place(id_col) % 64).cast("int")) == 1, F.lit(False))

@@ -141,10 +141,12 @@ sets AS (
   SELECT page_id, [t] AS s FROM one
   UNION ALL SELECT a.page_id, [a.t, b.t] FROM one a JOIN one b ON a.page_id = b.page_id AND a.t < b.t
   UNION ALL SELECT a.page_id, [a.t, b.t, c.t] FROM one a JOIN one b ON a.page_id = b.page_id AND a.t < b.t JOIN one c ON a.page_id = c.page_id AND b.t < c.t),
+base AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (bad) / count(*)::DOUBLE AS q FROM baskets),
+counted AS (SELECT s, count(*) AS n_all, count(*) FILTER (bad) AS n_bad, count(*) FILTER (bad) / count(*)::DOUBLE AS p FROM sets JOIN baskets USING (page_id) GROUP BY s),
+frequent AS (SELECT counted.*, q, ceil(greatest({url_filter.MIN_SUPPORT}, {url_filter.MIN_COUNT} / n) * n) AS least FROM counted, base WHERE n_all >= ceil(greatest({url_filter.MIN_SUPPORT}, {url_filter.MIN_COUNT} / n) * n)),
 good AS (
-  SELECT s FROM sets JOIN baskets USING (page_id) GROUP BY s
-  HAVING count(*) FILTER (bad) >= ceil(greatest({url_filter.MIN_SUPPORT}, {url_filter.MIN_COUNT} / (SELECT count(*) FROM baskets)::DOUBLE) * (SELECT count(*) FROM baskets))
-     AND count(*) FILTER (bad) >= {url_filter.MIN_LIFT} * (SELECT count(*) FILTER (bad) FROM baskets) / (SELECT count(*) FROM baskets)::DOUBLE * count(*)),
+  SELECT s FROM frequent WHERE n_bad >= least AND p > q AND q < 1
+     AND n_all * (p * ln(p / q) + CASE WHEN p < 1 THEN (1 - p) * ln((1 - p) / (1 - q)) ELSE 0 END) >= ln((SELECT count(*) FROM frequent) / {url_filter.ALPHA}::DOUBLE)),
 hit AS (SELECT DISTINCT page_id FROM sets JOIN good USING (s)),
 ruled AS (
   SELECT page_id, host, path, CASE

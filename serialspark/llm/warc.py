@@ -1,6 +1,6 @@
 """WARC archives with revisit records, written and read back by Spark.
 
-Headers alone (page, payload digest, length) are shuffled by digest to choose, for each payload of at least
+Headers alone (page, payload digest, length) are shuffled by digest, payloads only where theirs may be one that repeats, to choose, for each payload of at least
 ``min_bytes`` bytes that occurs more than once, the record with the largest page id as the response; the
 others become revisit records without a payload, which name that response. Records get fresh headers and are
 written as gzipped archives through Spark's text writer, whose line separator is the blank lines that end a
@@ -23,9 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import join_counted, new_path, written
+from .common import join_counted, new_path, sifted, written
 
-FILE_BYTES = 64_000_000
+FILE_BYTES, LARGE, MOST_BYTES, HEAD = 64_000_000, 65_536, 1_900_000_000, 1_000  # HEAD: bytes of a record's header, with a long URL
 VERSION, END, DATE = "WARC/1.1", "\r\n\r\n", "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -52,7 +52,9 @@ def plan_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     digested = written(pages.withColumn("digest", payload_digest("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long")), "warc_digests")
     heads = digested.where(F.col("payload_bytes") >= min_bytes).select("page_id", "digest")
     many = written(heads.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "warc_groups")
-    found = join_counted(digested, many, "digest", "n")
+    # pages whose digest can't be one of these pass without a shuffle of their payloads
+    parted = sifted(digested, many, "digest", "maybe", "string")
+    found = join_counted(parted.where("maybe").drop("maybe"), many, "digest", "n").unionByName(parted.where("not maybe").drop("maybe"), allowMissingColumns=True)
     return found.withColumn("refers_to", F.when(F.col("page_id") < F.col("first"), F.col("first"))).drop("first")
 
 
@@ -80,12 +82,19 @@ def records(planned: DataFrame, date: str = DATE) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
-    """Writes pages (page_id, url, payload text) as deduplicated archives under path, of about file_bytes of payload each."""
-    pages = pages.withColumn("payload", F.coalesce("payload", F.lit("")))
-    planned = plan_revisits(pages, min_bytes)
-    mean = pages.agg(F.avg(F.octet_length("payload"))).first()[0] or 0
-    most = int(max(1, file_bytes // (mean + 500)))
-    records(planned).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+    """Writes pages (page_id, url, payload text) as deduplicated archives under path, of about file_bytes of payload each.
+
+    Pages of over LARGE bytes have files of their own, of so few records that even the largest pages together stay below
+    MOST_BYTES; so do the others' files, whatever pages meet in one. A single page may have up to MOST_BYTES.
+    """
+    planned = written(plan_revisits(pages.withColumn("payload", F.coalesce("payload", F.lit(""))), min_bytes), "warc_plan")
+    sizes = planned.groupBy((F.col("payload_bytes") > LARGE).alias("large")).agg(F.avg("payload_bytes").alias("mean"), F.max("payload_bytes").alias("most")).collect()
+    for r in sorted(sizes, key=lambda r: r.large):  # two classes at most
+        most = int(max(1, min(file_bytes // (r["mean"] + HEAD), MOST_BYTES // (r["most"] + HEAD))))
+        own = records(planned.where((F.col("payload_bytes") > LARGE) == r.large))
+        own.write.mode("append").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+    if not sizes:
+        records(planned).write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def unzipped(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
@@ -170,10 +179,12 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
 def resolve(found: DataFrame) -> DataFrame:
     """Records with revisits' lengths and page ids taken from the responses that they refer to."""
     found = written(found, "warc_records")
-    asked = found.where("refers_to_id is not null").groupBy("refers_to_id").agg(F.first("payload_digest").alias("asked_digest"))
+    asked = found.where("refers_to_id is not null").groupBy("refers_to_id").agg(F.first("payload_digest").alias("asked_digest"), F.count("*").alias("n"))
     own = found.where("refers_to_id is null").groupBy("record_id").agg(F.max("page_id").alias("first_page"), F.max("payload_bytes").alias("first_bytes"), F.first("payload_digest").alias("first_digest"))
-    known = written(asked.join(own, F.col("refers_to_id") == F.col("record_id")).where("asked_digest = first_digest").select(F.col("refers_to_id"), "first_page", "first_bytes"), "warc_responses")
-    out = found.join(known, "refers_to_id", "left")
+    known = written(asked.join(own, F.col("refers_to_id") == F.col("record_id")).where("asked_digest = first_digest").select(F.col("refers_to_id"), "n", "first_page", "first_bytes"), "warc_responses")
+    # responses refer to nothing; a response that many revisits name is kept out of the shuffle
+    revisits, responses = found.where("refers_to_id is not null"), found.where("refers_to_id is null")
+    out = join_counted(revisits, known, "refers_to_id", "n").unionByName(responses, allowMissingColumns=True)
     return out.select("page_id", F.coalesce("payload_bytes", "first_bytes").alias("payload_bytes"), "payload_digest", "record_type", F.col("first_page").alias("refers_to"), "url")
 
 

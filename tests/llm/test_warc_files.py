@@ -3,6 +3,7 @@
 import gzip
 
 import pytest
+from pyspark.sql.functions import spark_partition_id
 
 from serialspark.llm import common, warc
 
@@ -46,3 +47,26 @@ def test_tables_are_dropped(spark, tmp_path):
     assert table.count() == 5 and common.drop_tables(spark, mark) == 1
     with pytest.raises(Exception):  # noqa: B017
         table.count()
+
+
+def test_large_pages_have_small_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "MOST_BYTES", 1_000_000)
+    rows = [(i, None, ("x" * 300_000 if i % 10 == 0 else "y" * 50) + str(i % 200)) for i in range(400)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, payload string").coalesce(1), f"{tmp_path}/a")
+    sizes = [sum(len(p) for _, p in warc.parse(f.read_bytes())) for f in (tmp_path / "a").glob("part-*")]
+    assert max(sizes) <= 1_000_000 and sum(sizes) == sum(len(p) for i, _, p in rows if i >= 200)
+    out = {r.page_id: r for r in warc.resolve(warc.read_archives(spark, f"{tmp_path}/a")).collect()}
+    assert len(out) == 400 and all(out[i].refers_to == i + 200 and out[i].payload_bytes == len(rows[i][2]) for i in range(200))
+
+
+def test_responses_are_spread(spark, tmp_path):
+    """Responses share no key, and a hot payload's revisits don't meet in one partition."""
+    df = spark.range(40_000).selectExpr("id as page_id", "'u' as url", "if(id % 2 = 0, 'same', concat('own ', id)) as payload")
+    warc.write_archives(df, f"{tmp_path}/a")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = warc.resolve(warc.read_archives(spark, f"{tmp_path}/a").repartition(8))
+        n = sorted(r["count"] for r in out.groupBy(spark_partition_id()).count().collect())
+        assert sum(n) == 40_000 and n[-1] <= 20_000 / 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
