@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from serialspark import schemas as C
 from serialspark.functions import boxes as B
+from serialspark.operators import engines as E
 from serialspark.operators import evaluation as V
 from serialspark.operators import labelling as L
 from serialspark.plans.fixtures import fx, spark_sql
@@ -56,3 +57,18 @@ def memorization_gate_every(spark, sf):
     """Outputs of two serials, of which the second may be the one that leaks."""
     both = fx(spark, sf, "fx_predictions").select(F.concat("gt", F.lit(" "), "pred").alias("pred"))
     return V.memorization_gate(both, every=True)
+
+
+ENGINES = """select 'boxes' as engine, image_id, det_id as k, text, conf * 100 as confidence, x1, y1, x2, y2 from {fx_detections}
+  union all select 'pages', image_id, row_number() over (partition by image_id order by det_id), text, round(conf * 100)::double, x1, y1, x2, y2 from {fx_detections_b}"""
+
+
+@query(f"""with f as ({ENGINES}), b as (select * from f qualify row_number() over (partition by engine, image_id order by confidence desc, k) = 1)
+select e.engine, i.image_id, b.text, round(b.confidence, 6) as confidence, b.x1, b.y1, b.x2, b.y2 from (select distinct image_id from {{fx_detections}}) i cross join (values ('boxes'), ('pages')) e(engine) left join b using (engine, image_id)""")
+def engine_results(spark, sf):
+    """Two engines of different shapes and scales, brought to one schema; the best of each image, or none."""
+    word = F.struct("det_id", "text", F.round(F.col("conf") * 100).alias("confidence"), F.struct(F.col("x1").alias("x0"), F.col("y1").alias("y0"), F.col("x2").alias("x1"), F.col("y2").alias("y1")).alias("bbox"))
+    pages = fx(spark, sf, "fx_detections_b").groupBy("image_id").agg(F.struct(F.array_sort(F.collect_list(word)).alias("words")).alias("result"))
+    boxes = fx(spark, sf, "fx_detections")
+    found = E.results({"boxes": (boxes, E.from_detections), "pages": (pages, E.from_pages)})
+    return E.best(found, boxes, ("boxes", "pages")).withColumn("confidence", F.round("confidence", 6))

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from serialspark.operators import engines as E
 from serialspark.operators import evaluation as V
 from serialspark.operators import labelling as L
 from serialspark.operators import manifests as G
@@ -68,3 +69,14 @@ def test_the_gate_sees_every_serial(spark):
     df = spark.createDataFrame([("E300MM000001 E305MM000002",), ("E300MM000001",), ("none",), (None,)], "pred string")
     first, every = (V.memorization_gate(df, every=e).first() for e in (False, True))
     assert (first.n_leaks, first.verdict) == (0, "clean") and (every.n, every.n_leaks, every.verdict) == (4, 1, "blocked")
+
+
+def test_engines_of_two_shapes(spark):
+    boxes = spark.createDataFrame([(1, 1, "A", 0.5, 0, 0, 9, 9), (1, 2, "B", 0.5, 1, 1, 9, 9)], "image_id long, det_id long, text string, conf double, x1 int, y1 int, x2 int, y2 int")
+    pages = spark.sql("select 1L as image_id, named_struct('words', array(named_struct('text', 'A', 'confidence', 77, 'bbox', named_struct('x0', 3, 'y0', 4, 'x1', 5, 'y1', 6)))) as result union all select 2L, named_struct('words', array())")
+    found = E.results({"a": (boxes, E.from_detections), "b": (pages, E.from_pages)})
+    best = E.best(found, spark.createDataFrame([(1,), (2,)], "image_id long"), ("a", "b"))
+    assert sorted(map(str, (tuple(r) for r in best.collect()))) == sorted(map(str, [("a", 1, "A", 50.0, 0, 0, 9, 9), ("b", 1, "A", 77.0, 3, 4, 5, 6), ("a", 2, *[None] * 6), ("b", 2, *[None] * 6)]))
+    assert {(r.engine, r.alike, r.n) for r in E.agreement(best).collect()} == {("a", 2, 1), ("b", 2, 1)}
+    with pytest.raises(ValueError, match="engine 'c' gives no x1"):
+        E.results({"c": (boxes, lambda df: df.select("image_id", "det_id", "text", "conf", "y1", "x2", "y2").withColumnRenamed("conf", "confidence"))})
