@@ -138,3 +138,23 @@ def test_boxes_that_share_an_edge_do_not_meet(spark):
     df = spark.createDataFrame([(1, 0, 0, 10, 10)], BOX)
     other = spark.createDataFrame([(1, 10, 0, 20, 10)], "o_image long, gx1 int, gy1 int, gx2 int, gy2 int")
     assert D.overlapping(df, other, ["gx1", "gy1", "gx2", "gy2"]).count() == 0 and df.select(B.iou(B.box(), B.box()).alias("i")).first().i == 1.0
+
+
+@pytest.mark.parametrize("most", [1000, 20])
+def test_sliding_windows_with_their_truth(spark, most):
+    """Truth that travels with its image, and images with more of it than may travel, give what the joins by squares give."""
+    images = spark.createDataFrame([(1, 900, 500), (2, 300, 200), (3, 200, 90), (4, 50, 20)], "image_id long, width int, height int")
+    truth = spark.createDataFrame([(*b, i, "negative" if i % 3 == 0 else "positive") for i, b in enumerate(boxes(60, 900, 3) + boxes(5, 300, 4, 2) + boxes(2, 50, 5, 4))], f"{BOX}, gt_id long, category string")
+    read = lambda w: w.withColumns({"matched": F.col("x1") % 64 == 0, "conf": F.lit(0.9)})
+    windows = D.sliding_windows(images)
+    rows = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    assert rows(D.classify_sliding(images, truth, most=most)) == rows(D.classify_windows(windows, truth))
+    assert rows(D.coverage_sliding(images, truth, read, most=most)) == rows(D.coverage(truth, read(windows)))
+
+
+def test_generated_rows_are_not_broadcast(spark):
+    images = spark.range(10).select(F.col("id").alias("image_id"), F.lit(400).alias("width"), F.lit(300).alias("height"))
+    truth = images.select("image_id", *[F.lit(v).alias(c) for c, v in zip(("x1", "y1", "x2", "y2"), (0, 0, 90, 30), strict=True)], F.col("image_id").alias("gt_id"), F.lit("positive").alias("category"))
+    read = D.sliding_windows(images).withColumns({"matched": F.lit(True), "conf": F.lit(0.9)})
+    for df in (D.classify_windows(read, truth), D.coverage(truth, read)):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
