@@ -154,17 +154,20 @@ def scheduled(epochs: DataFrame, schedule: list[tuple[int, float]]) -> DataFrame
     return epochs.withColumn("ratio", ratio.otherwise(float(points[-1][1])))
 
 
-def scheduled_by_table(epochs: DataFrame, points: DataFrame, schedule: str = "schedule", limit: int = 1000) -> DataFrame:
+def scheduled_by_table(epochs: DataFrame, points: DataFrame, schedule: str = "schedule", limit: int | None = 1000) -> DataFrame:
     """epochs (schedule, epoch) with ratio from a table of points (schedule, epoch, ratio), as scheduled gives it for each schedule.
 
     Different epochs and the points are put in one order for each schedule, where the last point before an epoch tells its
     segment; the ratios go back to all rows by schedule and epoch. A schedule without points gives 0; more points than the
-    limit or a ratio beyond 0 to 1 is an error.
+    limit, if there is one, or a ratio beyond 0 to 1 is an error.
     """
     at = points.groupBy(schedule, "epoch").agg(F.min("ratio").alias("low"), F.max("ratio").alias("high"), F.count("*").alias("n"))
     by = Window.partitionBy(schedule).orderBy("epoch")
-    wrong = (F.sum("n").over(Window.partitionBy(schedule)) > limit) | (F.col("low") < 0) | (F.col("high") > 1)
-    at = at.withColumn("low", F.when(wrong, F.raise_error(F.concat(F.lit("schedule "), F.col(schedule).cast("string"), F.lit(f": up to {limit} points with ratios from 0 to 1")))).otherwise(F.col("low")))
+    wrong = (F.col("low") < 0) | (F.col("high") > 1)
+    if limit is not None:
+        wrong |= F.sum("n").over(Window.partitionBy(schedule)) > limit
+    rule = "ratios from 0 to 1" if limit is None else f"up to {limit} points with ratios from 0 to 1"
+    at = at.withColumn("low", F.when(wrong, F.raise_error(F.concat(F.lit("schedule "), F.col(schedule).cast("string"), F.lit(f": {rule}")))).otherwise(F.col("low")))
     at = at.select(schedule, "epoch", F.struct(F.col("epoch").alias("a"), "low", "high", F.lead("epoch").over(by).alias("b"), F.lead("low").over(by).alias("next")).alias("s"), F.first("low").over(by).alias("first"))
     wanted = epochs.where(F.col("epoch").isNotNull()).select(schedule, "epoch").distinct()
     both = wanted.withColumn("mine", F.lit(True)).unionByName(at, allowMissingColumns=True)

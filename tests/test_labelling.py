@@ -1,10 +1,13 @@
 """Labels with a quarantine, tables that grow, schedules from a table, and gates over every serial."""
 
 import json
+import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from serialspark.functions import decode as M
 from serialspark.operators import engines as E
 from serialspark.operators import evaluation as V
 from serialspark.operators import labelling as L
@@ -80,3 +83,31 @@ def test_engines_of_two_shapes(spark):
     assert {(r.engine, r.alike, r.n) for r in E.agreement(best).collect()} == {("a", 2, 1), ("b", 2, 1)}
     with pytest.raises(ValueError, match="engine 'c' gives no x1"):
         E.results({"c": (boxes, lambda df: df.select("image_id", "det_id", "text", "conf", "y1", "x2", "y2").withColumnRenamed("conf", "confidence"))})
+
+
+def test_schedules_of_any_number_of_points(spark):
+    points = spark.range(3000).selectExpr("1L as schedule", "id as epoch", "cast(id % 2 as double) as ratio")
+    epochs = spark.createDataFrame([(1, 1500), (1, 2999), (1, 5000)], "schedule long, epoch long")
+    got = sorted((r.epoch, r.ratio) for r in G.scheduled_by_table(epochs, points, limit=None).collect())
+    assert got == [(1500, 0.0), (2999, 1.0), (5000, 1.0)]
+    with pytest.raises(Exception, match="ratios from 0 to 1"):
+        G.scheduled_by_table(epochs, points.withColumn("ratio", F.lit(1.5)), limit=None).collect()
+
+
+def test_equal_confidences_are_summed_in_order():
+    """Confidences as sums from left to right, whose last bits decide the order of readings that are equally sure."""
+    rng = np.random.default_rng(3)
+    scores = rng.integers(0, 11, (400, 16, 13)) / 8
+    expected = []
+    for row in scores.tolist():
+        top = [1 / _sum(math.exp(v - max(step)) for v in step) for step in row]
+        expected.append(min(math.exp(_sum(map(math.log, top)) / 16), min(top)))
+    assert M.read_steps(scores)[1].tolist() == expected
+
+
+def _sum(values):
+    """Left to right; the built-in sum makes up for lost bits."""
+    total = 0.0
+    for v in values:
+        total += v
+    return total
