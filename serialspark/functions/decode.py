@@ -107,11 +107,19 @@ def detail(found: Column) -> Column:
 READING = T.StructType([T.StructField("head", T.StringType()), T.StructField("text", T.StringType()), T.StructField("confidence", T.DoubleType())])
 
 
+def _in_order(a: np.ndarray) -> np.ndarray:
+    """Sums over the last axis from left to right, as SQL adds; numpy's own order would tell equal confidences apart in another way."""
+    out = np.zeros(a.shape[:-1])
+    for i in range(a.shape[-1]):
+        out += a[..., i]
+    return out
+
+
 def read_steps(scores: np.ndarray) -> tuple[list[str], np.ndarray]:
     """(texts, confidences) of scores (n, steps, classes): 37 classes are read as CTC, 13 as fixed positions."""
     n, steps, classes = scores.shape
     ids = scores.argmax(axis=2)
-    top1 = 1 / np.exp(scores - scores.max(axis=2, keepdims=True)).sum(axis=2)
+    top1 = 1 / _in_order(np.exp(scores - scores.max(axis=2, keepdims=True)))
     ctc = classes == S.CTC_BLANK + 1
     if ctc:
         counted = ids != S.CTC_BLANK
@@ -120,7 +128,7 @@ def read_steps(scores: np.ndarray) -> tuple[list[str], np.ndarray]:
     else:
         counted, shown = np.ones(ids.shape, bool), ids != S.FIXED_EMPTY
     some = counted.sum(axis=1)
-    geomean = np.exp(np.where(counted, np.log(np.maximum(top1, 1e-9)), 0).sum(axis=1) / np.maximum(some, 1))
+    geomean = np.exp(_in_order(np.where(counted, np.log(np.maximum(top1, 1e-9)), 0)) / np.maximum(some, 1))
     least = np.where(counted, top1, np.inf).min(axis=1, initial=np.inf)
     letters = np.frombuffer((S.CTC_ALPHABET if ctc else S.FIXED_ALPHABET).encode() + b"?", np.uint8)[ids]
     texts = [row[own].tobytes().decode() for row, own in zip(letters, shown, strict=True)]
