@@ -25,19 +25,37 @@ STRIPS = """select c_custkey as gt_id, cast(floor(c_custkey / 4) as bigint) as i
 PIXELS = f"""select image_id, gt_id, strip * 8 + y as y, x, cast(case when x < x0 or x >= x0 + 64 then 12 + (x * 3 + y * 5 + gt_id) % 7
     else 12 + 19 * (case when floor((x - x0) / 4) > 11 then 12 else instr('0123456789EM', substr(s, cast(floor((x - x0) / 4) as int) + 1, 1)) - 1 end) + (x * 5 + y * 3 + gt_id) % 9 - 4 end as int) as v
   from ({STRIPS})"""
-SPARK_PIXELS = f"{PIXELS} lateral view explode(sequence(0, 7)) as y lateral view explode(sequence(0, 79)) as x"
 DUCK_PIXELS = f"(select *, v + 0.2126 * 10 * (gt_id % 2) as g from ({PIXELS}, range(0, 8) a(y), range(0, 80) b(x)))"
 SIZE, STRIDE, CELL = (64, 8), (8, 4), (64, 8)
 
 
+def _strip_bytes(gt_id: np.ndarray, x0: np.ndarray, serials: list[str]) -> np.ndarray:
+    """PIXELS of strips as (n, 8, 80, 3) bytes in blue, green, red."""
+    x, y, gt_id = np.arange(80)[None, None], np.arange(8)[None, :, None], gt_id[:, None, None]
+    classes = np.full((len(serials), 16), 12)
+    classes[:, :12] = np.array([["0123456789EM".index(c) for c in s] for s in serials]).reshape(-1, 12)
+    at = x[0] - x0[:, None]
+    inside = ((at >= 0) & (at < 64))[:, None]
+    shown = 12 + 19 * np.take_along_axis(classes, at.clip(0, 63) // 4, axis=1)[:, None] + (x * 5 + y * 3 + gt_id) % 9 - 4
+    v = np.where(inside, shown, 12 + (x * 3 + y * 5 + gt_id) % 7)
+    return np.stack([v, v, v + 10 * (gt_id % 2)], axis=-1).astype(np.uint8)
+
+
 def _plates(spark, sf):
     """The image files, stored as rows of a path and its content and read again."""
-    byte = lambda c: F.lpad(F.hex(c.cast("int")), 2, "0")
-    v = F.col("v")
-    cell = F.struct("y", "x", F.concat(byte(v), byte(v), byte(v + 10 * (F.col("gt_id") % 2))).alias("p"))
-    rows = spark_sql(spark, sf, SPARK_PIXELS).groupBy("image_id").agg((F.max("y") + 1).cast("int").alias("height"), F.array_join(F.transform(F.sort_array(F.collect_list(cell)), lambda s: s["p"]), "").alias("h"))
+
+    def paint(batches):
+        for pdf in batches:
+            for lo in range(0, len(pdf), 1000):
+                own = pdf.iloc[lo : lo + 1000]
+                pixels = _strip_bytes(own["gt_id"].to_numpy(), own["x0"].to_numpy(), own["s"].tolist())
+                yield own[["image_id", "strip"]].assign(data=[p.tobytes() for p in pixels])
+
+    strips = spark_sql(spark, sf, STRIPS).select("image_id", "strip", "gt_id", "x0", "s").mapInPandas(paint, "image_id long, strip int, data binary")
+    own = F.sort_array(F.collect_list(F.struct("strip", "data")))
+    rows = strips.groupBy("image_id").agg((8 * (F.max("strip") + 1)).cast("int").alias("height"), F.aggregate(own, F.lit(b""), lambda a, s: F.concat(a, s["data"])).alias("data"))
     folder = _place(spark, "plates")
-    S.bmp_files(rows.select("image_id", F.lit(80).alias("width"), "height", F.unhex("h").alias("data")), "plates").write.parquet(folder)
+    S.bmp_files(rows.select("image_id", F.lit(80).alias("width"), "height", "data"), "plates").write.parquet(folder)
     return _images(spark.read.parquet(folder))
 
 

@@ -41,3 +41,10 @@ def test_tensors_leave_in_pieces(spark, monkeypatch):
     whole = sorted(map(str, P.crop_tensors(images, windows, 8, 4).collect()))
     monkeypatch.setattr(P, "TENSOR_BYTES", 3 * 4 * 8 * 4)
     assert len(whole) == 10 and sorted(map(str, P.crop_tensors(images, windows, 8, 4).collect())) == whole
+
+
+def test_few_bytes_of_images_are_dealt_to_all_tasks(spark):
+    images = spark.createDataFrame([(i, 16, 16, bytes(range(256))) for i in range(40)], "image_id long, width int, height int, data binary")
+    windows = images.select("image_id", *[F.lit(v).alias(c) for c, v in zip(("x1", "y1", "x2", "y2"), (2, 2, 10, 14), strict=True)])
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert P.crop_tensors(images, windows, 8, 4).select(F.spark_partition_id().alias("p")).distinct().count() == tasks
