@@ -9,8 +9,8 @@ heads a second softmax chooses the word, within a class of others the smoothed c
 token has a probability, and those of all tokens known and one unknown of each class add up to 1. It begins with the shares
 that the counts give. A hash deals the training documents to ``SHARES`` shares; in ``ROUNDS`` rounds, each over one
 share, every task learns from its partition's whole texts (in stretches of 1,024 tokens) by truncated backpropagation, starting from the same parameters,
-and the results' mean, weighted by tokens, starts the next round. So the network learns from half of the training
-documents, however many there are, and the counts from all. Scoring carries the state through the whole text.
+and the results' mean, weighted by tokens, starts the next round. The rounds are as many as the shares, so the
+network learns from all training documents, as the counts do. Scoring carries the state through the whole text.
 
 Tokens are told apart by 64-bit hashes, so two may be taken for one: with 10 million different tokens one chance in 370,000.
 What tasks receive is bounded: at most ``FREQUENT`` tokens' counts and the parameters. All other tokens of a document meet their
@@ -36,7 +36,7 @@ from .common import id_bucket, written
 from .flat import Words, hashes_of, texts_of, words_of
 from .gru import LANES, WINDOW, Network, Shape, initial
 
-HEADS, WIDTH, TAILS, HIDDEN, SHARES, ROUNDS, FREQUENT, SLICES = 1024, 32, 64, 24, 8, 4, 1 << 18, 16
+HEADS, WIDTH, TAILS, HIDDEN, SHARES, ROUNDS, FREQUENT, SLICES = 1024, 32, 64, 24, 8, 8, 1 << 18, 16
 BATCH_TOKENS = 3_000_000
 SHAPE = Shape(HEADS, WIDTH, HEADS // WIDTH + TAILS, HIDDEN)
 END = 0  # the end's hash

@@ -128,3 +128,9 @@ def test_gradients_are_those_of_the_cost():
                 cost.append(net.gradients(x, y, begins, there, h, 10)[2])
             v.flat[i] = old
             assert math.isclose((cost[0] - cost[1]) / 2e-3, g[name].flat[i], rel_tol=2e-2, abs_tol=2e-4), name
+
+
+def test_the_network_learns_from_every_share():
+    from serialspark.llm import lm_score
+
+    assert lm_score.ROUNDS == lm_score.SHARES
