@@ -84,14 +84,12 @@ def recognize_logits(spark, sf):
 @query("select image, id, category, case when category = 'negative' then '' else text end as text, confidence, verified, concat('run_', (id % 3)::varchar) as mined_from, x1, y1, x2, y2 from {fx_regions}")
 def annotation_files(spark, sf):
     """Documents with extra fields, written as files and read again."""
-    documents = q_data._documents(spark, sf)
-    parsed = S.parse_annotations(documents)
-    plain = parsed.select("image", S.document_json(image_size=F.col("image_size"), vendor=F.col("vendor")).alias("json"))
+    parsed = S.parse_annotations(q_data._documents(spark, sf), extra=True)
+    plain = parsed.select("image", S.document_json(image_size=F.col("image_size"), vendor=F.col("vendor")).alias("json"), "extra")
     folder = _place(spark, "annotations")
-    S.write_annotations(S.with_extra(plain, S.extras(documents)), folder)
-    again = S.read_annotation_lines(spark, folder)
-    regions = S.regions_of(S.parse_annotations(again)).select("image", "id", "category", "text", "confidence", "verified", *B.CORNERS)
-    return regions.join(S.extras(again).select("image", "id", F.col("extra")["mined_from"].alias("mined_from")), ["image", "id"])
+    S.write_annotations(S.with_own_extra(plain), folder)
+    again = S.parse_annotations(S.read_annotation_lines(spark, folder), extra=True)
+    return S.regions_of(again).select("image", "id", "category", "text", "confidence", "verified", *B.CORNERS, F.col("extra")["mined_from"].alias("mined_from"))
 
 
 @query("select filename, coalesce(text, '') as text, split, coalesce(source, '') as source, confidence, coalesce(category, 'positive') as category, coalesce(subkind, '') as subkind from {fx_manifest} where split = 'val'")

@@ -18,11 +18,12 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).withColumnRenamed("value", "json")
 
 
-def parse_annotations(documents: DataFrame, json: str = "json") -> DataFrame:
+def parse_annotations(documents: DataFrame, json: str = "json", extra: bool = False) -> DataFrame:
     """Documents of either generation as (image, image_size, source_video, vendor, schema_version, regions, meta).
 
     Old labels become positive regions: quality by is_clear (clear if absent), vendor from the image. Only the known
-    meta keys are kept. A document without regions and labels, image or size raises an error.
+    meta keys are kept. A document without regions and labels, image or size raises an error. With extra a column of that
+    name has each region's fields that the schema doesn't know, as maps of texts at the regions' places.
     """
     d = F.from_json(F.col(json), S.DOCUMENT)
     upgraded = F.transform(
@@ -33,13 +34,21 @@ def parse_annotations(documents: DataFrame, json: str = "json") -> DataFrame:
     out = documents.withColumn("d", d).withColumn("regions", F.coalesce("d.regions", upgraded)).withColumn("meta", meta)
     sound = F.col("d.image").isNotNull() & F.col("d.image_size").isNotNull() & F.col("regions").isNotNull()
     version = F.coalesce("d.schema_version", F.when(F.col("d.labels").isNotNull(), 1).otherwise(2))
-    return out.select(F.when(sound, F.col("d.image")).otherwise(F.raise_error(F.lit("an annotation needs image, image_size and regions or labels"))).alias("image"), "d.image_size", "d.source_video", "d.vendor", version.alias("schema_version"), "regions", "meta")
+    more = [_unknown(json).alias("extra")] if extra else []
+    return out.select(F.when(sound, F.col("d.image")).otherwise(F.raise_error(F.lit("an annotation needs image, image_size and regions or labels"))).alias("image"), "d.image_size", "d.source_video", "d.vendor", version.alias("schema_version"), "regions", "meta", *more)
+
+
+def _unknown(json: str) -> Column:
+    """Of each region the fields that the schema doesn't know; no regions, no maps."""
+    whole = F.from_json(F.col(json), "regions array<map<string,string>>")["regions"]
+    return F.coalesce(F.transform(whole, lambda r: F.map_filter(r, lambda k, v: ~k.isin(*S.REGION_FIELDS))), F.array().cast("array<map<string,string>>"))
 
 
 def regions_of(parsed: DataFrame) -> DataFrame:
-    """One row for each region of parsed documents."""
-    r = parsed.select("image", "schema_version", F.explode("regions").alias("r"))
-    return r.select("image", "schema_version", "r.id", "r.category", "r.text", "r.vendor", "r.quality", "r.confidence", "r.subkind", "r.text_visible", F.coalesce("r.claude_verified", F.lit(False)).alias("verified"), *[F.element_at("r.bbox", i + 1).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))])
+    """One row for each region of parsed documents, with extra where they were parsed with it."""
+    own = ["extra"] if "extra" in parsed.columns else []
+    r = parsed.select("image", "schema_version", F.explode(F.arrays_zip("regions", "extra")).alias("z")).select("image", "schema_version", "z.extra", F.col("z.regions").alias("r")) if own else parsed.select("image", "schema_version", F.explode("regions").alias("r"))
+    return r.select("image", "schema_version", *own, "r.id", "r.category", "r.text", "r.vendor", "r.quality", "r.confidence", "r.subkind", "r.text_visible", F.coalesce("r.claude_verified", F.lit(False)).alias("verified"), *[F.element_at("r.bbox", i + 1).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))])
 
 
 def extras(documents: DataFrame, json: str = "json") -> DataFrame:
@@ -54,16 +63,39 @@ def with_extra(documents: DataFrame, extra: DataFrame, json: str = "json") -> Da
 
     Fields of the schema are never overridden. An extra field comes back as a text.
     """
-    whole = documents.select("image", F.from_json(json, "map<string,string>").alias("head"), F.explode(F.from_json(F.get_json_object(json, "$.regions"), "array<map<string,string>>")).alias("r"))
+    whole = documents.select("image", F.from_json(json, "map<string,string>").alias("head"), F.explode(_written(json)).alias("r"))
     keyed = whole.withColumn("id", F.col("r")["id"].cast("long")).join(extra, ["image", "id"], "left")
-    nested = ("bbox", "text_bbox")
-    free = F.map_filter(F.coalesce("extra", F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin(*S.REGION_FIELDS))
-    cell = lambda k, v: F.concat(F.to_json(F.array(k)).substr(F.lit(2), F.length(F.to_json(F.array(k))) - 2), F.lit(":"), F.when(k.isin(*nested, "id", "confidence", "claude_verified"), v).otherwise(F.to_json(F.array(v)).substr(F.lit(2), F.length(F.to_json(F.array(v))) - 2)))
-    text = lambda m: F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(m), lambda e: cell(e["key"], e["value"])), ","), F.lit("}"))
-    regions = keyed.groupBy("image").agg(F.first("head").alias("head"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", text(F.map_concat("r", free)).alias("t")))), lambda s: s["t"]), ",").alias("regions"))
-    rest = F.map_filter("head", lambda k, v: ~k.isin("regions"))
-    quoted = lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), F.when(e["key"].isin("image_size", "schema_version"), e["value"]).otherwise(F.to_json(F.array(e["value"])).substr(F.lit(2), F.length(F.to_json(F.array(e["value"]))) - 2)))
-    return regions.select("image", F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(rest), quoted), ","), F.lit(',"regions":['), "regions", F.lit("]}")).alias(json))
+    regions = keyed.groupBy("image").agg(F.first("head").alias("head"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", _region_text(F.col("r"), F.col("extra")).alias("t")))), lambda s: s["t"]), ",").alias("regions"))
+    return regions.select("image", _document_text(F.col("head"), F.col("regions")).alias(json))
+
+
+def with_own_extra(documents: DataFrame, json: str = "json") -> DataFrame:
+    """As with_extra, from the documents' own column extra: maps at the regions' places, as parse_annotations gives them; no row leaves its task."""
+    regions = F.array_join(F.zip_with(_written(json), "extra", _region_text), ",")
+    return documents.select("image", _document_text(F.from_json(json, "map<string,string>"), regions).alias(json))
+
+
+def _written(json: str) -> Column:
+    """A document's regions as maps of texts."""
+    return F.from_json(F.get_json_object(json, "$.regions"), "array<map<string,string>>")
+
+
+def _quoted(text: Column) -> Column:
+    """A text as JSON."""
+    return F.to_json(F.array(text)).substr(F.lit(2), F.length(F.to_json(F.array(text))) - 2)
+
+
+def _region_text(region: Column, extra: Column) -> Column:
+    """A region's JSON with its extra fields behind those of the schema."""
+    free = F.map_filter(F.coalesce(extra, F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin(*S.REGION_FIELDS))
+    cell = lambda k, v: F.concat(_quoted(k), F.lit(":"), F.when(k.isin("bbox", "text_bbox", "id", "confidence", "claude_verified"), v).otherwise(_quoted(v)))
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(F.map_concat(region, free)), lambda e: cell(e["key"], e["value"])), ","), F.lit("}"))
+
+
+def _document_text(head: Column, regions: Column) -> Column:
+    rest = F.map_filter(head, lambda k, v: ~k.isin("regions"))
+    quoted = lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), F.when(e["key"].isin("image_size", "schema_version"), e["value"]).otherwise(_quoted(e["value"])))
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(rest), quoted), ","), F.lit(',"regions":['), regions, F.lit("]}"))
 
 
 def document_json(image: str = "image", regions: str = "regions", **more: Column) -> Column:

@@ -128,3 +128,17 @@ def test_consensus_takes_the_best_free_box(spark):
     b = spark.createDataFrame([(1, "t", 7, 0, 0, 10, 10), (1, "t", 8, 0, 0, 10, 9), (1, "t", 9, 90, 90, 99, 99), (3, "u", 5, 0, 0, 1, 1)], schema)
     got = sorted((r.det_id or 0, r.other_id or 0, r.kind) for r in D.consensus(a, b).collect())
     assert got == [(0, 5, "secondary_only"), (0, 9, "secondary_only"), (1, 7, "both"), (2, 8, "both"), (3, 0, "primary_only")]
+
+
+def test_extra_fields_stay_in_their_task(spark, tmp_path):
+    """Extra fields go and come with their document, without a shuffle; regions that repeat an id keep their own."""
+    region = {"id": 1, "category": "positive", "bbox": [1, 2, 3, 4], "text": "E300MM000001", "mined_from": 'run "x"'}
+    other = {**region, "mined_from": "y", "note": "a\tb"}
+    raw = json.dumps({"image": "a.jpg", "image_size": [10, 20], "vendor": "v", "regions": [region, other]})
+    old = json.dumps({"image": "b.jpg", "image_size": [10, 20], "labels": [{"id": 7, "bbox": [1, 2, 3, 4], "text": "E300MM000007"}]})
+    parsed = S.parse_annotations(spark.createDataFrame([(raw,), (old,)], "json string"), extra=True)
+    out = S.with_own_extra(parsed.select("image", S.document_json(image_size=F.col("image_size"), vendor=F.col("vendor")).alias("json"), "extra"))
+    S.write_annotations(out, f"{tmp_path}/a")
+    back = S.regions_of(S.parse_annotations(S.read_annotation_lines(spark, f"{tmp_path}/a"), extra=True))
+    assert sorted((r.image, r.id, r.text, sorted((r.extra or {}).items())) for r in back.collect()) == [("a.jpg", 1, "E300MM000001", [("mined_from", 'run "x"')]), ("a.jpg", 1, "E300MM000001", [("mined_from", "y"), ("note", "a\tb")]), ("b.jpg", 7, "E300MM000007", [])]
+    assert all("Exchange" not in df._jdf.queryExecution().executedPlan().toString() for df in (out, back))
