@@ -158,3 +158,13 @@ def test_generated_rows_are_not_broadcast(spark):
     read = D.sliding_windows(images).withColumns({"matched": F.lit(True), "conf": F.lit(0.9)})
     for df in (D.classify_windows(read, truth), D.coverage(truth, read)):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_windows_are_generated_without_arrays_of_them(spark):
+    """Only an image's columns and rows are arrays; places meet by two generators, with and without the corner that both miss."""
+    df = spark.createDataFrame([(1, 150, 40), (2, 128, 40), (3, 150, 32), (4, 128, 32)], "image_id long, width int, height int")
+    for corner, n in ((False, [3, 2, 2, 1]), (True, [4, 2, 2, 1])):
+        out = D.sliding_windows(df, corner=corner, keep=("width",))
+        assert [r["count"] for r in out.groupBy("image_id").count().orderBy("image_id").collect()] == n and out.where("x2 > width").count() == 0
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "transform(" not in plan and "flatten(" not in plan and plan.count("Generate explode") == 2
