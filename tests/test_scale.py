@@ -168,3 +168,15 @@ def test_windows_are_generated_without_arrays_of_them(spark):
         assert [r["count"] for r in out.groupBy("image_id").count().orderBy("image_id").collect()] == n and out.where("x2 > width").count() == 0
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "transform(" not in plan and "flatten(" not in plan and plan.count("Generate explode") == 2
+
+
+def test_tiles_of_many_small_keys(spark):
+    """Small keys are settled side by side; rows whose text is missing are a key too."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(400):
+        n = 90 if k % 50 == 7 else int(rng.integers(1, 14))  # some keys are beyond what is settled side by side
+        rows += [(k, 1000 * k + i, None if k % 9 == 0 else "t", float(rng.integers(0, 20)) / 20, *b[1:]) for i, b in enumerate(boxes(n, 160, k))]
+    df = spark.createDataFrame(rows, "image_id long, det_id long, text string, conf double, x1 int, y1 int, x2 int, y2 int")
+    expected = sorted(i for k in range(400) for i in fold([r for r in rows if r[0] == k], 0.2))
+    assert sorted(r.det_id for r in D.nms_tiled(df, 0.2, tile=150).collect()) == expected
