@@ -22,9 +22,8 @@ def labelled(primary: DataFrame, secondary: DataFrame, images: DataFrame, strict
     and stay inside the image; quality is clear from a confidence of 0.8 on, else blur.
     """
     found = primary.withColumn("c", X.candidate(X.normalized(F.col("raw"), strip_spaces=True)))
-    found = found.select("image_id", "det_id", "raw", "conf", *B.CORNERS, "c.text", "c.match_kind")
-    both = D.consensus(found.where("text is not null"), secondary).where("kind = 'both'").select("image_id", "det_id", F.lit(True).alias("both"))
-    found = found.join(both, ["image_id", "det_id"], "left").join(images, "image_id")
+    found = found.select("image_id", "det_id", "raw", "conf", *B.CORNERS, "c.text", "c.match_kind").join(images.select("image_id", "width", "height"), "image_id")
+    found = D.verified(found, secondary)
     broken = F.when(F.col("text").isNotNull(), G.violations(F.lit("positive"), F.col("text"), F.lit("")))
     sound = F.coalesce(F.size(broken) == 0, F.lit(True))
     if strict:
@@ -33,7 +32,7 @@ def labelled(primary: DataFrame, secondary: DataFrame, images: DataFrame, strict
     cut = B.padded(B.box(), F.col("width"), F.col("height"))
     return found.select(
         "image_id", "det_id", "raw", "text", "match_kind", F.when(F.col("conf") >= 0.8, "clear").otherwise("blur").alias("quality"), F.round("conf", 4).alias("confidence"),
-        F.coalesce("both", F.lit(False)).alias("verified"), *[c.alias(n) for n, c in zip(B.CORNERS, cut, strict=True)], broken.alias("violations"),
+        "verified", *[c.alias(n) for n, c in zip(B.CORNERS, cut, strict=True)], broken.alias("violations"),
     ).withColumn("outcome", outcome)
 
 

@@ -8,10 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from serialspark.functions import decode as M
+from serialspark.operators import detections
 from serialspark.operators import engines as E
 from serialspark.operators import evaluation as V
 from serialspark.operators import labelling as L
 from serialspark.operators import manifests as G
+from serialspark.operators import pixels as P
 
 RAW = "image_id long, det_id long, raw string, conf double, x1 int, y1 int, x2 int, y2 int"
 
@@ -111,3 +113,28 @@ def _sum(values):
     for v in values:
         total += v
     return total
+
+
+def test_partners_are_those_of_one_after_the_other():
+    """Groups side by side give what a plain loop over each gives."""
+    rng = np.random.default_rng(11)
+    size = rng.integers(1, 12, 300)
+    starts, n = np.cumsum(size) - size, int(size.sum())
+    at = rng.integers(0, 30, (n, 2))
+    boxes, second, known = np.hstack((at, at + rng.integers(1, 4, (n, 2)) * 10)), np.zeros(n, bool), np.ones(n, bool)
+    expected = {}
+    for g, (lo, m) in enumerate(zip(starts, size, strict=True)):
+        cut = lo + int(rng.integers(0, m + 1))
+        second[cut : lo + m], known[lo : lo + m] = True, g % 10 != 0
+        free = list(range(cut, lo + m)) if g % 10 else []
+        for i in range(lo, cut):
+            iou = [float(P.best_overlaps(boxes[[i]], boxes[[j]])[0][0, 0]) for j in free]
+            if iou and max(iou) >= 0.4:
+                expected[i] = free.pop(iou.index(max(iou)))
+    other, _ = detections._partners(boxes, second, starts, known, 0.4)
+    assert {i: int(j) for i, j in enumerate(other) if j >= 0} == expected and len(expected) > 50
+
+
+def test_labels_are_verified_by_one_shuffle(spark):
+    plan = L.labelled(*readings(spark))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join") == 1 and "collect_list" not in plan
