@@ -105,9 +105,9 @@ def stretches(size: np.ndarray, most: int = STRETCH) -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place; numpy's exp is faster than its tanh."""
-    np.clip(x, -30, 30, out=x)
+    """In place; numpy's exp is faster than its tanh. Only far below 0 would exp overflow."""
     np.negative(x, out=x)
+    np.minimum(x, 30, out=x)
     np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
@@ -123,9 +123,10 @@ def _tanh(x: np.ndarray) -> np.ndarray:
 
 
 def _exp_and_sum(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp(a) and its rows' sums; sums of states in -1 .. 1 stay far from where exp overflows."""
-    e = np.exp(np.minimum(a, 80))
-    return e, e @ np.ones(a.shape[1], np.float32)
+    """exp(a), in place of a, and its rows' sums; sums of states in -1 .. 1 stay far from where exp overflows."""
+    np.minimum(a, 80, out=a)
+    np.exp(a, out=a)
+    return a, a @ np.ones(a.shape[1], np.float32)
 
 
 class Network:
@@ -169,11 +170,15 @@ class Network:
     def log_likelihood(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """The natural logarithm of each id's probability, given states (n, hidden)."""
         p = self.p
-        a = h @ p["to_class"] + p["class_bias"]
-        out = a[np.arange(len(y)), self.class_of[y]] - np.log(_exp_and_sum(a)[1])
+        a = h @ p["to_class"]
+        a += p["class_bias"]
+        out = a[np.arange(len(y)), self.class_of[y]]
+        out -= np.log(_exp_and_sum(a)[1])
         for k, own in self._word_runs(y):
-            a = h[own] @ p["to_word"][k] + p["word_bias"][k]
-            out[own] += a[np.arange(len(own)), y[own] - k * self.shape.width] - np.log(_exp_and_sum(a)[1])
+            a = h[own] @ p["to_word"][k]
+            a += p["word_bias"][k]
+            picked = a[np.arange(len(own)), y[own] - k * self.shape.width]
+            out[own] += picked - np.log(_exp_and_sum(a)[1])
         return out
 
     def score(self, ids: np.ndarray, size: np.ndarray, lanes: int = LANES, window: int = WINDOW) -> np.ndarray:
@@ -200,23 +205,25 @@ class Network:
         own, y = flat[at], y.ravel()[at]
         weight = np.float32(1 / full)
         g = {k: np.zeros_like(v) for k, v in p.items() if k in ("to_word", "word_bias")}
-        a = own @ p["to_class"] + p["class_bias"]
+        a = own @ p["to_class"]
+        a += p["class_bias"]
         a, total = _exp_and_sum(a)
-        a *= (1 / total)[:, None]
-        cost = -float(np.log(np.maximum(a[np.arange(len(y)), self.class_of[y]], 1e-30)).sum())
-        a[np.arange(len(y)), self.class_of[y]] -= 1
-        a *= weight
-        g["to_class"], g["class_bias"] = own.T @ a, a.sum(axis=0)
+        at_y = np.arange(len(y)), self.class_of[y]
+        cost = -float(np.log(np.maximum(a[at_y] / total, 1e-30)).sum())
+        a *= (weight / total)[:, None]
+        a[at_y] -= weight
+        g["to_class"], g["class_bias"] = own.T @ a, np.ones(len(y), np.float32) @ a
         back = a @ p["to_class"].T
         for k, some in self._word_runs(y):
-            a = own[some] @ p["to_word"][k] + p["word_bias"][k]
+            chosen = own[some]
+            a = chosen @ p["to_word"][k]
+            a += p["word_bias"][k]
             a, total = _exp_and_sum(a)
-            a *= (1 / total)[:, None]
-            word = y[some] - k * self.shape.width
-            cost -= float(np.log(np.maximum(a[np.arange(len(some)), word], 1e-30)).sum())
-            a[np.arange(len(some)), word] -= 1
-            a *= weight
-            g["to_word"][k], g["word_bias"][k] = own[some].T @ a, a.sum(axis=0)
+            word = np.arange(len(some)), y[some] - k * self.shape.width
+            cost -= float(np.log(np.maximum(a[word] / total, 1e-30)).sum())
+            a *= (weight / total)[:, None]
+            a[word] -= weight
+            g["to_word"][k], g["word_bias"][k] = chosen.T @ a, np.ones(len(some), np.float32) @ a
             back[some] += a @ p["to_word"][k].T
         d_states = np.zeros_like(flat)
         d_states[at] = back
@@ -263,6 +270,14 @@ class Network:
             for k, v in g.items():
                 a = steps.setdefault((k, 1), np.zeros_like(v))
                 b = steps.setdefault((k, 2), np.zeros_like(v))
-                a += (1 - DECAY_1) * (v - a)
-                b += (1 - DECAY_2) * (v * v - b)
-                self.p[k] -= np.float32(rate * (1 - DECAY_2**n) ** 0.5 / (1 - DECAY_1**n)) * a / (np.sqrt(b) + np.float32(1e-8))
+                a *= np.float32(DECAY_1)
+                a += np.float32(1 - DECAY_1) * v
+                v *= v
+                v *= np.float32(1 - DECAY_2)
+                b *= np.float32(DECAY_2)
+                b += v
+                change = np.sqrt(b, out=v)
+                change += np.float32(1e-8)
+                np.divide(a, change, out=change)
+                change *= np.float32(rate * (1 - DECAY_2**n) ** 0.5 / (1 - DECAY_1**n))
+                self.p[k] -= change

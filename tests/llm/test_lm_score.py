@@ -134,3 +134,11 @@ def test_the_network_learns_from_every_share():
     from serialspark.llm import lm_score
 
     assert lm_score.ROUNDS == lm_score.SHARES
+
+
+def test_sums_of_exponentials_make_no_copies():
+    """What a step of the network spends most on works in place, and large sums don't overflow."""
+    a = np.array([[0, 1, 100], [-200, 0, 0]], np.float32)
+    e, total = gru._exp_and_sum(a)
+    assert e is a and np.isfinite(total).all() and abs(total[1] - 2) < 1e-6
+    np.testing.assert_allclose(gru._sigmoid(np.array([-1000, -20, 0, 20, 1000], np.float32)), [0, 2.06e-9, 0.5, 1, 1], rtol=1e-2, atol=1e-12)
