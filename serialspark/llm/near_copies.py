@@ -1,17 +1,24 @@
-"""Near copies by exact Jaccard similarity of word shingles; MinHash bands only bring candidates together.
+"""Near copies by SimHash, tables of pivot distances and exact Jaccard similarity of word shingles.
 
 A text's words are its runs outside ASCII white space, with A-Z lower-cased; its shingles are the different
 runs of ``size`` words, or all its words if it has fewer, by 64-bit hashes. Two texts are near copies if their
 shingles' Jaccard similarity is at least ``similarity``; near copies of near copies form one group.
 
-Texts of the same words are one node, named by the smallest id that has them. A node has ``MINIMA`` minima, of which a
-byte each makes its signature, and ``BANDS`` keys of ``ROWS`` minima each. At similarity 0.8 a pair shares a key with probability
-1 - (1 - 0.8 ** 5) ** 24, that is all but 7 in 100,000. In the buckets of a key only signatures meet: a pair is compared
-in full where its signatures agree in as many places as all but 1 in 10,000 pairs at the similarity do, in the bucket of the first
-key that it shares and in no other. Only nodes of such pairs have their shingles dealt there, in rows of at most
-``DEALT``. The first ``FIRST_BANDS`` bands go first; of the others only pairs of different groups found until then are looked
-at. Buckets beyond ``bucket_rows`` nodes or ``BUCKET_SHINGLES`` shingles are cut into pieces that meet pairwise. Of each
-bucket a spanning forest is kept, never all pairs.
+Texts of the same words are one node, named by the smallest id that has them. A node's fingerprint has ``BITS`` bits, of which
+each is set if it is set in over half the shingles' hashes for it. Sets of similarity s differ in a share of acos(2 s / (1 + s)) / pi
+of the bits (0.1515 at 0.8), small ones in up to ``SPREAD`` times that, and those of up to five shingles in up to ``TINY_SPREAD`` times.
+
+1. Buckets by ``BANDS`` ranges of ``ROWS`` equal bits bring nodes together: at 0.8 all but 1 in 100,000 pairs, of up to five shingles all but 1 in 900.
+2. The table of pivot distances, stored once for each node and dealt to the buckets, discards. A fingerprint that is near needs
+   pivots in small ranges, since distances to whole ones hardly vary: of each two of the first ``TABLE_BITS`` bits the table holds the
+   distance to a pivot's two bits (0, 1 or 2, as that many set bits). By the triangle inequality in each range a pair differs in at least the sum of its
+   coordinates' differences. A pair stays if that is at most ``SIGMAS`` deviations above what pairs at the similarity differ in.
+3. Whole fingerprints are compared in the same way, in the bucket of the first range that a pair shares and in no other.
+4. What is left is compared exactly: only nodes of such pairs have their shingles dealt, in rows of at most ``DEALT``.
+
+The first ``FIRST_BANDS`` ranges go first; of the others only pairs of different groups found until then are looked
+at. Large buckets are cut into pieces that meet pairwise: beyond ``MEET_ROWS * bucket_rows`` nodes in step 2, beyond ``bucket_rows`` nodes or
+``BUCKET_SHINGLES`` shingles in steps 3 and 4. Of each bucket a spanning forest is kept, never all pairs.
 
 Null texts count as empty, and empty ones as copies of each other. An empty table gives an empty one. What is written on the
 way is deleted as soon as the next table is stored.
@@ -34,10 +41,12 @@ from .common import Scratch, free_name, sifted, written
 from .components import connected_components
 from .flat import hashes_of, joined, texts_of, words_of
 
-SEED, SIZE, SIMILARITY, MINIMA, BANDS, ROWS, FIRST_BANDS, BUCKET_ROWS, BUCKET_SHINGLES, DEALT, BATCH_BYTES = 42, 5, 0.8, 192, 24, 5, 2, 1024, 2_000_000, 512, 400_000
-SIGMAS = 3.72  # of a pair's agreeing minima, below which one in 10,000 lies
+SEED, SIZE, SIMILARITY, BANDS, ROWS, FIRST_BANDS, BUCKET_ROWS, BUCKET_SHINGLES, DEALT, BATCH_BYTES = 42, 5, 0.8, 64, 11, 4, 1024, 2_000_000, 512, 400_000
+BITS, TABLE_BITS, MEET_ROWS, HELD_ROWS = BANDS * ROWS, 256, 16, 50_000
+SIGMAS, SPREAD, TINY, TINY_SPREAD = 4.5, 1.07, 5, 1.24  # the spreads were counted for all sizes below 120
 _RANDOM = np.random.default_rng(SEED)
-_MASK, _FACTOR = _RANDOM.integers(0, 1 << 64, (MINIMA, 1), np.uint64), _RANDOM.integers(0, 1 << 63, (MINIMA, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+_MASK, _FACTOR = _RANDOM.integers(0, 1 << 64, BITS // 64, np.uint64), _RANDOM.integers(0, 1 << 63, BITS // 64, np.uint64) * np.uint64(2) + np.uint64(1)
+_PIVOTS = _RANDOM.integers(0, 2, TABLE_BITS, np.uint8)
 _PLACE = _RANDOM.integers(0, 1 << 63, 4096, np.uint64) * np.uint64(2) + np.uint64(1)
 _IS_WORD = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
 
@@ -60,11 +69,24 @@ def shingles(words: np.ndarray, size: int = SIZE) -> np.ndarray:
     return np.unique(total ^ (total >> np.uint64(32)))
 
 
-def minima_of(hashes: np.ndarray) -> np.ndarray:
-    least = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), 1024):
-        least = np.minimum(least, ((hashes[None, i : i + 1024] ^ _MASK) * _FACTOR).min(axis=1))
-    return least
+def bits_of(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of hashes, a byte each bit."""
+    counts = np.zeros(BITS, np.int64)
+    for i in range(0, len(hashes), 255):
+        h = (hashes[i : i + 255, None] ^ _MASK) * _FACTOR
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        counts += np.unpackbits(h.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return (counts * 2 > len(hashes)).astype(np.uint8)
+
+
+minima_of = bits_of  # the name that an older test has for what signatures are made of
+
+
+def pivot_distances(bits: np.ndarray) -> bytes:
+    """Of each two of the first bits the distance to the pivot's two, as that many set bits."""
+    a, b = (bits[:TABLE_BITS] ^ _PIVOTS).reshape(-1, 2).T
+    return np.packbits(np.stack([a | b, a & b], axis=1).ravel()).tobytes()
 
 
 def texts_words(column: pa.Array) -> Iterator[tuple[int, bytes, np.ndarray]]:
@@ -77,20 +99,22 @@ def texts_words(column: pa.Array) -> Iterator[tuple[int, bytes, np.ndarray]]:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, digest, n, keys, sign) of docs (doc_id, text)."""
+    """(doc_id, digest, n, keys, distances, sign) of docs (doc_id, text)."""
+    places = 1 << np.arange(ROWS)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for _, text, words in texts_words(batch.column(1)):
                 own = shingles(words, size)
-                least = minima_of(own)
-                keys = [xxhash.xxh64_intdigest(least[t * ROWS : (t + 1) * ROWS].tobytes(), t) - (1 << 63) for t in range(BANDS)] if len(own) else []
-                rows.append((digest_of(text), len(own), keys, least.astype(np.uint8).tobytes()))
-            digest, n, keys, sign = zip(*rows, strict=True) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sign, pa.binary())], ["doc_id", "digest", "n", "keys", "sign"])
+                bits = bits_of(own)
+                keys = (bits.reshape(BANDS, ROWS) @ places).astype(np.int16) if len(own) else np.zeros(0, np.int16)
+                rows.append((digest_of(text), len(own), keys, pivot_distances(bits), np.packbits(bits).tobytes()))
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            types = [pa.binary(), pa.int32(), pa.list_(pa.int16()), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, types, strict=True))], ["doc_id", "digest", "n", "keys", "distances", "sign"])
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, digest binary, n int, keys array<long>, sign binary")
+    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, digest binary, n int, keys array<smallint>, distances binary, sign binary")
 
 
 def _dealt(texts: DataFrame, size: int) -> DataFrame:
@@ -122,19 +146,42 @@ def digest_column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([digest_of(text) for _, text, _ in texts_words(pa.array(texts, pa.large_string()))], dtype=object)
 
 
+def most_apart(bits: int, similarity: float, spread: float = SPREAD) -> float:
+    """In how many of so many bits a pair of that similarity differs at most, but for a few in a million."""
+    share = min(0.5, spread * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    return bits * share + SIGMAS * math.sqrt(bits * share * (1 - share))
+
+
 def least_agreeing(similarity: float) -> float:
-    """In how many places the signatures of a pair of that similarity agree, but for one pair in 10,000."""
-    return MINIMA * similarity - SIGMAS * math.sqrt(MINIMA * similarity * (1 - similarity))
+    """In how many bits the fingerprints of a pair of that similarity agree at least."""
+    return BITS - most_apart(BITS, similarity)
 
 
-def plausible(i: int, after: np.ndarray, signs: np.ndarray, band: int, least: float) -> np.ndarray:
-    """Of the rows in after, those whose signature may be that of a near copy of row i and that share no earlier band with it."""
-    same = signs[after] == signs[i]
-    after, same = after[some := same.sum(axis=1) >= least], same[some]
-    bands = same[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2)
+def plausible(i: int, after: np.ndarray, signs: np.ndarray, n: np.ndarray, band: int, similarity: float) -> np.ndarray:
+    """Of the rows in after, those whose fingerprint may be that of a near copy of row i and that share no earlier band with it."""
+    apart = signs[after] ^ signs[i]
+    some = np.bitwise_count(apart).sum(axis=1) <= most_apart(BITS, similarity, TINY_SPREAD if n[i] <= TINY else SPREAD)
+    after, apart = after[some], apart[some]
+    bands = ~np.unpackbits(apart, axis=1).reshape(-1, BANDS, ROWS).any(axis=2)
     return after[bands.argmax(axis=1) == band]
 
 
+def kept_by_pivots(bucket: np.ndarray, n: np.ndarray, group: np.ndarray, side: np.ndarray, table: np.ndarray, similarity: float) -> np.ndarray:
+    """Which rows have another one in their bucket, of another group, that their sizes and pivot distances don't discard; rows are sorted by bucket and n."""
+    wanted, live, k = np.zeros(len(n), bool), np.arange(len(n)), 0
+    most = np.where(n <= TINY, most_apart(TABLE_BITS, similarity, TINY_SPREAD), most_apart(TABLE_BITS, similarity))
+    while len(live):
+        k += 1
+        live = live[live + k < len(n)]
+        live = live[(bucket[live] == bucket[live + k]) & (n[live] >= similarity * n[live + k] - 1e-9)]  # a row too large stays too large
+        other = live + k
+        met = (group[live] != group[other]) & ((side[live] == 2) | (side[live] != side[other])) & ~(wanted[live] & wanted[other])
+        a, b = live[met], other[met]
+        near = np.bitwise_count(table[a] ^ table[b]).sum(axis=1) <= most[a]
+        wanted[a[near]] = wanted[b[near]] = True
+    return wanted
+
+
 def forest_of(sets: list[np.ndarray], side: np.ndarray, similarity: float, known: np.ndarray | None = None, near: Callable[[int, np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the similar pairs, as pairs of row numbers; rows of one known group aren't compared.
 
@@ -163,16 +210,18 @@ def forest_of(sets: list[np.ndarray], side: np.ndarray, similarity: float, known
 
 
 def links(nodes: DataFrame, docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Edges (a, b) of nodes that connect all near copies found, from distinct (node, digest, n, keys, sign, doc_id) and docs (doc_id, text)."""
+    """Edges (a, b) of nodes that connect all near copies found, from distinct (node, digest, n, keys, distances, sign, doc_id) and docs (doc_id, text)."""
     edges = None
     for lo, hi in ((0, FIRST_BANDS), (FIRST_BANDS, BANDS)):
         with Scratch(nodes.sparkSession) as scratch:
-            keyed = nodes.select("node", "n", F.posexplode("keys").alias("t", "key")).where((F.col("t") >= lo) & (F.col("t") < hi))
+            table = nodes.select("node", "n", "distances", F.slice("keys", lo + 1, hi - lo).alias("keys"))
             if edges is None:
-                keyed = keyed.withColumn("group", F.col("node"))
+                table = table.withColumn("group", F.col("node"))
             else:
                 groups = connected_components(edges).select("node", F.col("component").alias("group"))
-                keyed = keyed.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
+                table = table.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
+            table = scratch.written(table, "pivot_table")
+            keyed = scratch.written(_met_by_pivots(table, lo, similarity, MEET_ROWS * bucket_rows), "band_keys")
             found = written(_links_in_bands(keyed, nodes, docs, size, similarity, bucket_rows, scratch), "near_links")
         edges = found if edges is None else edges.unionByName(found)
     return edges
@@ -195,32 +244,78 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tu
         yield at, held
 
 
+def _cut(rows: DataFrame) -> DataFrame:
+    """Rows of buckets (t, key) with their pieces, dealt to the pairs of pieces (p, q) that meet; side tells the piece, 2 where a piece meets itself."""
+    rows = rows.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    side = F.when(F.col("piece") == F.col("with"), 2).when(F.col("piece") < F.col("with"), 0).otherwise(1)
+    return rows.select("*", F.least("piece", "with").alias("p"), F.greatest("piece", "with").alias("q"), side.alias("side")).drop("piece", "with", "pieces")
+
+
+def _met_by_pivots(table: DataFrame, lo: int, similarity: float, meet_rows: int) -> DataFrame:
+    """(t, key, node, n, group) of rows of the table (node, n, distances, keys from band lo on, group) that share a key with a row of another group that pivots don't discard."""
+    rows = table.select("node", "n", "group", "distances", F.posexplode("keys").alias("t", "key")).withColumn("t", F.col("t") + lo)
+    rows = rows.withColumn("key", F.col("key").cast("int"))
+    large = rows.groupBy("t", "key").agg(F.count("*").alias("rows")).where(F.col("rows") > meet_rows)
+    large = written(large.select("t", "key", F.ceil(F.col("rows") / meet_rows).cast("int").alias("pieces")), "large_buckets")
+    whole = rows.withColumn("p", F.lit(0)).withColumn("q", F.lit(0)).withColumn("side", F.lit(2))
+    if cut := not large.isEmpty():
+        whole = whole.join(F.broadcast(large.select("t", "key")), ["t", "key"], "left_anti").unionByName(_cut(rows.join(F.broadcast(large), ["t", "key"])))
+    order = ("t", "key", "p", "q", "node", "n", "group", "side", "distances")
+    dealt = whole.select(*order).repartition(*BUCKET).sortWithinPartitions(*BUCKET, "n")
+
+    def kept(rows: pa.Table, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
+        distances = np.frombuffer(b"".join(rows["distances"].to_pylist()), np.uint64).reshape(rows.num_rows, -1)
+        wanted = kept_by_pivots(bucket, *(rows[c].to_numpy() for c in ("n", "group", "side")), distances, similarity)
+        yield from rows.select(["t", "key", "node", "n", "group"]).filter(pa.array(wanted)).to_batches()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= HELD_ROWS:  # all buckets but the last are whole
+                rows = pa.Table.from_batches(held)
+                bucket = _numbered(rows)
+                whole = int(np.searchsorted(bucket, bucket[-1]))
+                held = rows.slice(whole).to_batches()
+                yield from kept(rows.slice(0, whole), bucket[:whole])
+        if held:
+            rows = pa.Table.from_batches(held)
+            yield from kept(rows, _numbered(rows))
+
+    out = dealt.mapInArrow(meet, "t int, key int, node long, n int, group long")
+    return out.distinct() if cut else out
+
+
+def _numbered(rows: pa.Table) -> np.ndarray:
+    """A number for each run of rows of one bucket."""
+    new = np.zeros(rows.num_rows, bool)
+    for c in BUCKET:
+        own = rows[c].to_numpy()
+        new[1:] |= own[1:] != own[:-1]
+    return np.cumsum(new)
+
+
 def _links_in_bands(keyed: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float, bucket_rows: int, scratch: Scratch) -> DataFrame:
-    """Edges among keyed (node, n, t, key, group) that share a key and are of different groups."""
-    least = least_agreeing(similarity)
-    keyed = scratch.written(keyed, "band_keys")
+    """Edges among keyed (node, n, t, key, group) that share a key and are of different groups; keyed is a table of scratch."""
     pieces = F.greatest(F.ceil(F.count("*") / bucket_rows), F.ceil(F.sum("n") / BUCKET_SHINGLES)).cast("int")
     buckets = keyed.groupBy("t", "key").agg(F.count("*").alias("rows"), pieces.alias("pieces"), F.min("group").alias("g1"), F.max("group").alias("g2")).where("rows > 1 and g1 <> g2")
     met = scratch.written(keyed.join(buckets.select("t", "key", "pieces"), ["t", "key"]).select("t", "key", "pieces", "node", "group"), "shared_keys")
     scratch.drop(keyed)
-    signed = met.join(nodes.select("node", "n", "sign"), "node").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
-    signed = signed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    side = F.when(F.col("piece") == F.col("with"), 2).when(F.col("piece") < F.col("with"), 0).otherwise(1)
-    signed = signed.select("t", "key", F.least("piece", "with").alias("p"), F.greatest("piece", "with").alias("q"), "node", "group", side.alias("side"), "n", "sign")
+    signed = _cut(met.join(nodes.select("node", "n", "sign"), "node")).select(*BUCKET, "node", "group", "side", "n", "sign")
     signed = signed.repartition(*BUCKET).sortWithinPartitions(*BUCKET, "node")
-    schema = "t int, key long, p int, q int, node long, group long, side int, sign binary"
+    schema = "t int, key int, p int, q int, node long, group long, side int, sign binary"
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of nodes with a plausible partner."""
-        types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        types = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         out = []
         for at, rows in _buckets(batches):
             node, group, side, n, sign = zip(*rows, strict=True)
             group, side, n = np.unique(group, return_inverse=True)[1], np.array(side), np.array(n)
-            signs, wanted = np.frombuffer(b"".join(sign), np.uint8).reshape(len(rows), MINIMA), np.zeros(len(rows), bool)
+            signs, wanted = np.frombuffer(b"".join(sign), np.uint8).reshape(len(rows), -1), np.zeros(len(rows), bool)
             for i in range(len(rows) - 1):
                 ok = (group[i + 1 :] != group[i]) & ((side[i + 1 :] == 2) | (side[i + 1 :] != side[i])) & (np.minimum(n[i + 1 :], n[i]) >= similarity * np.maximum(n[i + 1 :], n[i]) - 1e-9)
-                others = plausible(i, i + 1 + np.flatnonzero(ok), signs, at[0], least)
+                others = plausible(i, i + 1 + np.flatnonzero(ok), signs, n, at[0], similarity)
                 if len(others):
                     wanted[i] = wanted[others] = True
             out += [(*at, node[i], rows[i][1], rows[i][2], sign[i]) for i in np.flatnonzero(wanted).tolist()]
@@ -240,9 +335,10 @@ def _links_in_bands(keyed: DataFrame, nodes: DataFrame, docs: DataFrame, size: i
     rows = marked.join(sets, "node").repartition(*BUCKET).sortWithinPartitions(*BUCKET, "node", "c").select(*BUCKET, "node", "group", "side", "sign", "shingles")
 
     def linked(at: tuple, held: list[list]) -> Iterator[pa.RecordBatch]:
-        signs = np.frombuffer(b"".join(h[3] for h in held), np.uint8).reshape(-1, MINIMA)
+        signs = np.frombuffer(b"".join(h[3] for h in held), np.uint8).reshape(len(held), -1)
         sets = [np.sort(np.concatenate(h[4]).view(np.uint64)) for h in held]
-        pairs = forest_of(sets, np.array([h[2] for h in held]), similarity, np.array([h[1] for h in held]), lambda i, others: plausible(i, others, signs, at[0], least))
+        n = [len(own) for own in sets]
+        pairs = forest_of(sets, np.array([h[2] for h in held]), similarity, np.array([h[1] for h in held]), lambda i, others: plausible(i, others, signs, n, at[0], similarity))
         if pairs:
             yield pa.RecordBatch.from_arrays([pa.array([held[i][0] for i, _ in pairs], pa.int64()), pa.array([held[j][0] for _, j in pairs], pa.int64())], ["a", "b"])
 
@@ -271,7 +367,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with Scratch(docs.sparkSession) as scratch:
         found = scratch.written(sketches(own, size), "sketches")
         copies = scratch.written(found.groupBy("doc_id", "digest").agg(F.count("*").alias("copies")), "copies_of_ids")
-        nodes = scratch.written(found.groupBy("digest").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sign").alias("sign"), F.min("doc_id").alias("doc_id")), "nodes")
+        nodes = scratch.written(found.groupBy("digest").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("distances").alias("distances"), F.first("sign").alias("sign"), F.min("doc_id").alias("doc_id")), "nodes")
         scratch.drop(found)
         # an id that is the smallest of several texts names none of them
         twice = scratch.written(nodes.groupBy("doc_id").agg(F.count("*").alias("texts")).where("texts > 1"), "ids_of_several")
