@@ -8,9 +8,9 @@ Texts of the same words are one node, named by the smallest id that has them. A
 each is set if it is set in over half the shingles' hashes for it. Sets of similarity s differ in a share of acos(2 s / (1 + s)) / pi
 of the bits (0.1515 at 0.8), small ones in up to ``SPREAD`` times that, and those of up to five shingles in up to ``TINY_SPREAD`` times.
 
-1. Buckets by ``BANDS`` ranges of ``ROWS`` equal bits bring nodes together: at 0.8 all but 1 in 100,000 pairs, of up to five shingles all but 1 in 900.
-2. The table of pivot distances, stored once for each node and dealt to the buckets, discards. A fingerprint that is near needs
-   pivots in small ranges, since distances to whole ones hardly vary: of each two of the first ``TABLE_BITS`` bits the table holds the
+1. Buckets by ``BANDS`` ranges of ``ROWS`` equal bits bring nodes together: at 0.8 all but 1 in 100,000 pairs, of small ones 1 in 17,000, of up to five shingles 1 in 900.
+2. The table of pivot distances, stored once for each node and dealt to the buckets, discards. Pivots are compared
+   in small ranges, since distances to whole ones hardly vary: of each two of the first ``TABLE_BITS`` bits the table holds the
    distance to a pivot's two bits (0, 1 or 2, as that many set bits). By the triangle inequality in each range a pair differs in at least the sum of its
    coordinates' differences. A pair stays if that is at most ``SIGMAS`` deviations above what pairs at the similarity differ in.
 3. Whole fingerprints are compared in the same way, in the bucket of the first range that a pair shares and in no other.
@@ -169,15 +169,21 @@ def plausible(i: int, after: np.ndarray, signs: np.ndarray, n: np.ndarray, band:
 def kept_by_pivots(bucket: np.ndarray, n: np.ndarray, group: np.ndarray, side: np.ndarray, table: np.ndarray, similarity: float) -> np.ndarray:
     """Which rows have another one in their bucket, of another group, that their sizes and pivot distances don't discard; rows are sorted by bucket and n."""
     wanted, live, k = np.zeros(len(n), bool), np.arange(len(n)), 0
-    most = np.where(n <= TINY, most_apart(TABLE_BITS, similarity, TINY_SPREAD), most_apart(TABLE_BITS, similarity))
+    most = np.where(n <= TINY, most_apart(TABLE_BITS, similarity, TINY_SPREAD), most_apart(TABLE_BITS, similarity)).astype(np.uint16)
+    words, cut, largest = np.ascontiguousarray(table.T), (side != 2).any(), np.floor(n / similarity + 1e-9).astype(n.dtype)
     while len(live):
         k += 1
         live = live[live + k < len(n)]
-        live = live[(bucket[live] == bucket[live + k]) & (n[live] >= similarity * n[live + k] - 1e-9)]  # a row too large stays too large
-        other = live + k
-        met = (group[live] != group[other]) & ((side[live] == 2) | (side[live] != side[other])) & ~(wanted[live] & wanted[other])
-        a, b = live[met], other[met]
-        near = np.bitwise_count(table[a] ^ table[b]).sum(axis=1) <= most[a]
+        live = live[(bucket[live] == bucket[live + k]) & (n[live + k] <= largest[live])]  # a row too large stays too large
+        a, b = live, live + k
+        apart = np.zeros(len(a), np.uint16)
+        for word in words:
+            apart += np.bitwise_count(word[a] ^ word[b])
+        near = apart <= most[a]
+        a, b = a[near], b[near]
+        near = group[a] != group[b]
+        if cut:
+            near &= (side[a] == 2) | (side[a] != side[b])
         wanted[a[near]] = wanted[b[near]] = True
     return wanted
 
