@@ -104,29 +104,42 @@ def stretches(size: np.ndarray, most: int = STRETCH) -> np.ndarray:
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place; numpy's exp is faster than its tanh. Only far below 0 would exp overflow."""
-    np.negative(x, out=x)
-    np.minimum(x, 30, out=x)
+def _sigmoid(x: np.ndarray, numerator: float = 1.0, negated: bool = False) -> np.ndarray:
+    """numerator / (1 + exp(-x)), in place; numpy's exp is faster than its tanh. Only far below 0 would exp overflow.
+
+    negated: x is -x already, and the caller ignores overflows, which rightly give 0.
+    """
+    if not negated:
+        np.negative(x, out=x)
+        np.minimum(x, 30, out=x)
     np.exp(x, out=x)
     x += 1
-    return np.reciprocal(x, out=x)
+    return np.divide(numerator, x, out=x)
 
 
-def _tanh(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    x *= 2
-    _sigmoid(x)
-    x *= 2
-    x -= 1
-    return x
+def _exp_and_sum(a: np.ndarray, bounded: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """exp(a), in place of a, and its rows' sums; bounded: no element is over 80, so that exp can't overflow."""
+    if not bounded:
+        np.minimum(a, 80, out=a)
+    np.exp(a, out=a)
+    return a, a @ np.ones(a.shape[1], a.dtype)
 
 
-def _exp_and_sum(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp(a), in place of a, and its rows' sums; sums of states in -1 .. 1 stay far from where exp overflows."""
-    np.minimum(a, 80, out=a)
-    np.exp(a, out=a)
-    return a, a @ np.ones(a.shape[1], np.float32)
+def _with_ones(h: np.ndarray) -> np.ndarray:
+    """h with a column of ones, which a bias is multiplied by."""
+    out = np.ones((h.shape[0], h.shape[1] + 1), h.dtype)
+    out[:, :-1] = h
+    return out
+
+
+class Weights(NamedTuple):
+    """The parameters as products need them: biases are last rows, and what goes into exp of gates and new parts has its sign and factor (exact: -1 and -2)."""
+
+    embed: np.ndarray
+    recurrent: np.ndarray  # transposed
+    to_class: np.ndarray
+    to_word: np.ndarray
+    bounded: bool  # whether no state, which lies in -1 .. 1, gives an exponent over 80
 
 
 class Network:
@@ -136,125 +149,147 @@ class Network:
         k = shape.heads // shape.width
         self.class_of = np.concatenate([np.arange(shape.heads) // shape.width, np.arange(k, shape.classes)]).astype(np.int32)
 
-    def states(self, x: np.ndarray, begins: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-        """The state after each step, and with keep what the way back needs."""
+    def weights(self) -> Weights:
         p, n = self.p, self.shape.hidden
-        inputs, weights = np.take(p["embed"], x, axis=0), np.concatenate([p["gates"], p["inner"]], axis=1)
-        out, kept = np.empty((*x.shape, n), np.float32), []
-        for t in range(len(x)):
-            if begins[t].any():
-                h = np.where(begins[t][:, None], np.float32(0), h)
-            a = h @ weights
-            gate = _sigmoid(inputs[t, :, : 2 * n] + a[:, : 2 * n])
-            z, r, inner = gate[:, :n], gate[:, n:], a[:, 2 * n :]
-            new = r * inner
-            new += inputs[t, :, 2 * n :]
-            _tanh(new)
-            if keep:
-                kept.append((h, z, r, inner, new))
-            h = np.subtract(h, new, out=out[t])
-            h *= z
-            h += new
-        return out, kept
-
-    def _word_runs(self, y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(class, places) of the head words."""
+        factor = np.repeat([-1, -1, -2], n).astype(p["embed"].dtype)
+        to_class = np.concatenate([p["to_class"], p["class_bias"][None]])
+        to_word = np.concatenate([p["to_word"], p["word_bias"][:, None]], axis=1)
+        most = max(float((np.abs(w[..., :-1, :]).sum(axis=-2) + w[..., -1, :]).max(initial=0)) for w in (to_class, to_word))
+        return Weights(p["embed"] * factor, np.ascontiguousarray((np.concatenate([p["gates"], p["inner"]], axis=1) * factor).T), to_class, to_word, most <= 79)
+
+    def states(self, w: Weights, x: np.ndarray, begins: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
+        """The state (hidden, lanes) after each step, and with keep what the way back needs: states before, sums (gates z and r, -2 times the inner part), new parts.
+
+        Lanes come last, so that each gate's numbers lie side by side.
+        """
+        n, (steps, lanes), kind = self.shape.hidden, x.shape, w.embed.dtype
+        inputs = np.ascontiguousarray(np.take(w.embed, x, axis=0).transpose(0, 2, 1))
+        out, held = np.empty((steps, n, lanes), kind), steps if keep else 1
+        before, sums, new = np.empty((held, n, lanes), kind), np.empty((held, 3 * n, lanes), kind), np.empty((held, n, lanes), kind)
+        goes_on, new_ones = (~begins).astype(kind), begins.any(axis=1).tolist()
+        h = np.ascontiguousarray(h.T)
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                k = t if keep else 0
+                if new_ones[t] or keep:
+                    h = np.multiply(h, goes_on[t], out=before[k])
+                a, b = np.matmul(w.recurrent, h, out=sums[k]), new[k]
+                gates = a[: 2 * n]
+                gates += inputs[t, : 2 * n]
+                _sigmoid(gates, negated=True)
+                np.multiply(a[n : 2 * n], a[2 * n :], out=b)
+                b += inputs[t, 2 * n :]
+                _sigmoid(b, 2.0, negated=True)
+                b -= 1  # the tangent
+                h = np.subtract(h, b, out=out[t])
+                h *= a[:n]
+                h += b
+        return out, (before, sums, new)
+
+    def _by_class(self, y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]], tuple[np.ndarray, np.ndarray]]:
+        """(places of the head words, sorted by class; each class and where it is among them; where each word is in its class)."""
         own = np.flatnonzero(y < self.shape.heads)
         c = (y[own] // self.shape.width).astype(np.int16)
-        own = own[np.argsort(c, kind="stable")]
-        ends = np.searchsorted(np.sort(c), np.arange(self.shape.heads // self.shape.width + 1))
-        for k in range(len(ends) - 1):
-            if ends[k + 1] > ends[k]:
-                yield k, own[ends[k] : ends[k + 1]]
+        order = np.argsort(c, kind="stable")
+        own, c = own[order], c[order]
+        ends = np.searchsorted(c, np.arange(self.shape.heads // self.shape.width + 1)).tolist()
+        runs = [(k, slice(lo, hi)) for k, (lo, hi) in enumerate(zip(ends, ends[1:])) if hi > lo]
+        return own, runs, (np.arange(len(own)), y[own] % self.shape.width)
+
+    def _word_sums(self, w: Weights, h: np.ndarray, runs: list[tuple[int, slice]]) -> np.ndarray:
+        out = np.empty((len(h), self.shape.width), h.dtype)
+        for k, at in runs:
+            np.matmul(h[at], w.to_word[k], out=out[at])
+        return out
 
-    def log_likelihood(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def log_likelihood(self, h: np.ndarray, y: np.ndarray, w: Weights | None = None) -> np.ndarray:
         """The natural logarithm of each id's probability, given states (n, hidden)."""
-        p = self.p
-        a = h @ p["to_class"]
-        a += p["class_bias"]
+        w, h = w or self.weights(), _with_ones(h)
+        a = h @ w.to_class
         out = a[np.arange(len(y)), self.class_of[y]]
-        out -= np.log(_exp_and_sum(a)[1])
-        for k, own in self._word_runs(y):
-            a = h[own] @ p["to_word"][k]
-            a += p["word_bias"][k]
-            picked = a[np.arange(len(own)), y[own] - k * self.shape.width]
-            out[own] += picked - np.log(_exp_and_sum(a)[1])
+        out -= np.log(_exp_and_sum(a, w.bounded)[1])
+        own, runs, words = self._by_class(y)
+        a = self._word_sums(w, h[own], runs)
+        picked = a[words]
+        picked -= np.log(_exp_and_sum(a, w.bounded)[1])
+        out[own] += picked
         return out
 
     def score(self, ids: np.ndarray, size: np.ndarray, lanes: int = LANES, window: int = WINDOW) -> np.ndarray:
         """The natural logarithm of each id's probability given those before it in its sequence, in the order of ids."""
-        own = dealt(ids, size, lanes)
+        own, w = dealt(ids, size, lanes), self.weights()
         found = np.zeros(len(own.ids), np.float32)
         h = np.zeros((len(own.length), self.shape.hidden), np.float32)
         for place, there, y, x, begins in own.windows(self.shape.ids, window):
-            states, _ = self.states(x, begins, h[: x.shape[1]])
-            h = states[-1]
-            at = there.ravel()
-            found[place.ravel()[at]] = self.log_likelihood(states.reshape(-1, self.shape.hidden)[at], y.ravel()[at])
+            states, _ = self.states(w, x, begins, h[: x.shape[1]])
+            h, at = states[-1].T, there.ravel()
+            found[place.ravel()[at]] = self.log_likelihood(states.transpose(0, 2, 1).reshape(-1, self.shape.hidden)[at], y.ravel()[at], w)
         out = np.zeros(len(ids), np.float32)
         n = size[own.order]
         first = np.cumsum(n) - n
         out[np.repeat((np.cumsum(size) - size)[own.order] - first, n) + np.arange(int(n.sum()))] = found
         return out
 
-    def gradients(self, x: np.ndarray, y: np.ndarray, begins: np.ndarray, there: np.ndarray, h: np.ndarray, full: int) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
-        """Of a window's cost, divided by the ids of a full one: gradients, the state at its end and the cost."""
-        p, n = self.p, self.shape.hidden
-        states, kept = self.states(x, begins, h, keep=True)
-        flat, at = states.reshape(-1, n), np.flatnonzero(there.ravel())
-        own, y = flat[at], y.ravel()[at]
-        weight = np.float32(1 / full)
-        g = {k: np.zeros_like(v) for k, v in p.items() if k in ("to_word", "word_bias")}
-        a = own @ p["to_class"]
-        a += p["class_bias"]
-        a, total = _exp_and_sum(a)
-        at_y = np.arange(len(y)), self.class_of[y]
-        cost = -float(np.log(np.maximum(a[at_y] / total, 1e-30)).sum())
-        a *= (weight / total)[:, None]
-        a[at_y] -= weight
-        g["to_class"], g["class_bias"] = own.T @ a, np.ones(len(y), np.float32) @ a
-        back = a @ p["to_class"].T
-        for k, some in self._word_runs(y):
-            chosen = own[some]
-            a = chosen @ p["to_word"][k]
-            a += p["word_bias"][k]
-            a, total = _exp_and_sum(a)
-            word = np.arange(len(some)), y[some] - k * self.shape.width
-            cost -= float(np.log(np.maximum(a[word] / total, 1e-30)).sum())
+    def gradients(self, x: np.ndarray, y: np.ndarray, begins: np.ndarray, there: np.ndarray, h: np.ndarray, full: int, costs: bool = True) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
+        """Of a window's cost, divided by the ids of a full one: gradients, the state at its end and, with costs, the cost."""
+        p, n, w = self.p, self.shape.hidden, self.weights()
+        states, (before, sums, new) = self.states(w, x, begins, h, keep=True)
+        at, kind, weight, cost = np.flatnonzero(there.ravel()), states.dtype, 1 / full, 0.0
+        own, y = _with_ones(states.transpose(0, 2, 1).reshape(-1, n)[at]), y.ravel()[at]
+
+        def away(a: np.ndarray, right: tuple[np.ndarray, np.ndarray]) -> None:
+            """Makes of sums what the cost changes by with them."""
+            nonlocal cost
+            a, total = _exp_and_sum(a, w.bounded)
+            if costs:
+                cost -= float(np.log(np.maximum(a[right] / total, 1e-30)).sum())
             a *= (weight / total)[:, None]
-            a[word] -= weight
-            g["to_word"][k], g["word_bias"][k] = chosen.T @ a, np.ones(len(some), np.float32) @ a
-            back[some] += a @ p["to_word"][k].T
-        d_states = np.zeros_like(flat)
+            a[right] -= weight
+
+        a = own @ w.to_class
+        away(a, (np.arange(len(y)), self.class_of[y]))
+        g_class, back = own.T @ a, a @ p["to_class"].T
+        heads, runs, words = self._by_class(y)
+        chosen, g_word = own[heads], np.zeros_like(w.to_word)
+        a = self._word_sums(w, chosen, runs)
+        away(a, words)
+        back_words = np.empty((len(heads), n), kind)
+        for k, some in runs:
+            np.matmul(chosen[some].T, a[some], out=g_word[k])
+            np.matmul(a[some], p["to_word"][k].T, out=back_words[some])
+        back[heads] += back_words
+        g = {"to_word": g_word[:, :n], "word_bias": g_word[:, n], "to_class": g_class[:n], "class_bias": g_class[n]}
+        d_states = np.zeros((x.size, n), kind)
         d_states[at] = back
-        d_states = d_states.reshape(states.shape)
-        weights = np.concatenate([p["gates"], p["inner"]], axis=1)
-        d_inputs, d_sums = np.empty((*x.shape, 3 * n), np.float32), np.empty((*x.shape, 3 * n), np.float32)
-        d = np.zeros((x.shape[1], n), np.float32)
-        before, z, r, inner, new = (np.stack(k) for k in zip(*kept, strict=True))
-        # what a change of the state is multiplied by on its way to z, r and the new part
-        by_new = (1 - z) * (1 - new * new)
-        by_z = (before - new) * z * (1 - z)
-        by_r = by_new * inner * r * (1 - r)
-        back = np.ascontiguousarray(weights.T)
+        d_states = np.ascontiguousarray(d_states.reshape(*x.shape, n).transpose(0, 2, 1))
+        z, r, inner = sums[:, :n], sums[:, n : 2 * n], sums[:, 2 * n :]
+        # what a change of the state is multiplied by on its way to the new part, z and r
+        by = np.empty((len(x), 3, n, x.shape[1]), kind)
+        np.multiply(1 - z, 1 - new * new, out=by[:, 0])
+        np.multiply(before - new, z * (1 - z), out=by[:, 1])
+        np.multiply(by[:, 0] * inner, r * (1 - r), out=by[:, 2])
+        by[:, 2] *= -0.5  # inner is -2 times the inner part
+        # of new, z, r and the inner part: the first three are the inputs', the last three the sums'; rows 1,024 bytes apart would share few places of the cache
+        d_all = np.empty((len(x), 4 * n, x.shape[1] + 8), kind)[:, :, : x.shape[1]]
+        d, weights, goes_on = np.zeros((n, x.shape[1]), kind), np.concatenate([p["gates"], p["inner"]], axis=1), (~begins).astype(kind)
         for t in range(len(x) - 1, -1, -1):
             d += d_states[t]
-            np.multiply(d, by_z[t], out=d_inputs[t, :, :n])
-            np.multiply(d, by_r[t], out=d_inputs[t, :, n : 2 * n])
-            np.multiply(d, by_new[t], out=d_inputs[t, :, 2 * n :])
-            d_sums[t, :, : 2 * n] = d_inputs[t, :, : 2 * n]
-            np.multiply(d_inputs[t, :, 2 * n :], r[t], out=d_sums[t, :, 2 * n :])
+            np.multiply(by[t], d, out=d_all[t, : 3 * n].reshape(3, n, -1))
+            np.multiply(d_all[t, :n], r[t], out=d_all[t, 3 * n :])
             d *= z[t]
-            d += d_sums[t] @ back
-            if begins[t].any():
-                d[begins[t]] = 0
-        w = before.reshape(-1, n).T @ d_sums.reshape(-1, 3 * n)
-        g["gates"], g["inner"] = w[:, : 2 * n], w[:, 2 * n :]
-        order = np.argsort(x.ravel().astype(np.int16 if self.shape.ids < 32767 else np.int32), kind="stable")
-        ids, first = np.unique(x.ravel()[order], return_index=True)
+            d += weights @ d_all[t, n:]
+            d *= goes_on[t]
+        rows = d_all.transpose(0, 2, 1).reshape(-1, 4 * n)
+        g_sums = before.transpose(0, 2, 1).reshape(-1, n).T @ rows[:, n:]
+        g["gates"], g["inner"] = g_sums[:, : 2 * n], g_sums[:, 2 * n :]
+        flat = x.ravel().astype(np.int16 if self.shape.ids < 32767 else np.int32)
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
         g["embed"] = np.zeros_like(p["embed"])
-        g["embed"][ids] = np.add.reduceat(d_inputs.reshape(-1, 3 * n)[order], first, axis=0)
-        return g, states[-1], cost * float(weight)
+        of = np.add.reduceat(rows[order, : 3 * n], first, axis=0)
+        g["embed"][flat[first]] = np.concatenate([of[:, n:], of[:, :n]], axis=1)  # an embedding holds z, r, new
+        return g, states[-1].T, cost * weight
 
     def learn(self, ids: np.ndarray, size: np.ndarray, steps: dict, lanes: int = LANES, window: int = WINDOW, rate: float = RATE) -> None:
         """One pass over sequences by truncated backpropagation and Adam; steps holds the moments and the number of steps so far.
@@ -265,7 +300,7 @@ class Network:
         own = dealt(ids, stretches(size), lanes)
         h = np.zeros((len(own.length), self.shape.hidden), np.float32)
         for _, there, y, x, begins in own.windows(self.shape.ids, window):
-            g, h, _ = self.gradients(x, y, begins, there, h[: x.shape[1]], lanes * window)
+            g, h, _ = self.gradients(x, y, begins, there, h[: x.shape[1]], lanes * window, costs=False)
             n = steps["n"] = steps.get("n", 0) + 1
             for k, v in g.items():
                 a = steps.setdefault((k, 1), np.zeros_like(v))

@@ -142,3 +142,24 @@ def test_sums_of_exponentials_make_no_copies():
     e, total = gru._exp_and_sum(a)
     assert e is a and np.isfinite(total).all() and abs(total[1] - 2) < 1e-6
     np.testing.assert_allclose(gru._sigmoid(np.array([-1000, -20, 0, 20, 1000], np.float32)), [0, 2.06e-9, 0.5, 1, 1], rtol=1e-2, atol=1e-12)
+
+
+@pytest.mark.parametrize("scale", [1, 40])
+def test_words_of_all_classes_are_computed_at_once(scale, monkeypatch):
+    """Exponentials are taken twice for a window, of classes and of words, however many classes there are; large weights don't overflow."""
+    net, rng, calls = network(), np.random.default_rng(5), []
+    net.p |= {k: net.p[k] * np.float32(scale) for k in ("to_class", "to_word", "embed")}
+    assert net.weights().bounded == (scale == 1)
+    exp_and_sum = gru._exp_and_sum
+    monkeypatch.setattr(gru, "_exp_and_sum", lambda *a: calls.append(a[0].shape) or exp_and_sum(*a))
+    ids = rng.integers(0, net.shape.ids, 60)
+    x, begins = np.r_[net.shape.ids, ids[:-1]][:, None], np.arange(60)[:, None] == 0
+    h = np.zeros((1, net.shape.hidden), np.float32)
+    states = net.states(net.weights(), x, begins, h)[0]
+    found = net.log_likelihood(states[:, :, 0], ids)
+    assert calls == [(60, net.shape.classes), (int((ids < net.shape.heads).sum()), net.shape.width)]
+    assert np.isfinite(found).all()
+    if scale == 1:
+        np.testing.assert_allclose(found, slow(net, ids), rtol=2e-4, atol=2e-4)
+    g, _, cost = net.gradients(x, ids[:, None], begins, np.ones_like(begins), h, 60)
+    assert len(calls) == 4 and math.isfinite(cost) and all(np.isfinite(v).all() for v in g.values())
