@@ -15,7 +15,7 @@ network learns from all training documents, as the counts do. Scoring carries th
 Tokens are told apart by 64-bit hashes, so two may be taken for one: with 10 million different tokens one chance in 370,000.
 What tasks receive is bounded: at most ``FREQUENT`` tokens' counts and the parameters. All other tokens of a document meet their
 counts in a join, in which no token is hot, since the frequent ones are not part of it. Sums of floats depend on how documents are
-batched in the last digits (relative 1e-6); learning amplifies that, to 1e-4 of most scores and a few percent of a short text's.
+batched in the last digits (relative 1e-6); learning amplifies that, to less than 1e-4 of most scores and some percent of a few.
 
 Null texts count as empty, which is one end. A row without an id is a training document. Rows that repeat an id are
 documents of their own. Without training documents each token's base is 0. An empty table gives an empty one.
