@@ -10,6 +10,7 @@ from serialspark.functions import text as X
 from serialspark.operators import detections as D
 from serialspark.operators import manifests as G
 from serialspark.sources import files as S
+from serialspark.sources.store import shuffles_dropped
 
 OUTCOMES = ("accepted", "quarantined", "rejected")
 
@@ -40,7 +41,8 @@ def write_labels(rows: DataFrame, path: str) -> dict[str, int]:
     """Writes labelled rows to a folder for each outcome and returns the counts, all in one pass over the rows."""
     seen = Observation()
     counts = [F.count("*").alias("n_raw"), *[F.count_if(F.col("outcome") == o).alias(f"n_{o}") for o in OUTCOMES], F.count_if((F.col("outcome") == "accepted") & F.col("verified")).alias("n_verified"), F.count_if((F.col("outcome") == "accepted") & (F.col("quality") == "clear")).alias("n_clear")]
-    rows.observe(seen, *counts).write.partitionBy("outcome").parquet(path)
+    with shuffles_dropped(rows.sparkSession):
+        rows.observe(seen, *counts).write.option("compression", "zstd").partitionBy("outcome").parquet(path)
     return seen.get
 
 
@@ -51,10 +53,13 @@ def read_labels(like: DataFrame, path: str, outcome: str) -> DataFrame:
 
 def documents(accepted: DataFrame, images: DataFrame) -> DataFrame:
     """One annotation document (image, json) for each image with accepted labels, regions by id."""
-    region = F.struct(
-        F.col("det_id").alias("id"), F.lit("positive").alias("category"), F.array(*B.CORNERS).alias("bbox"), "text", F.lit(None).cast("array<int>").alias("text_bbox"), F.lit(None).cast("string").alias("vendor"), "quality", "confidence", "match_kind",
-        F.lit(None).cast("string").alias("subkind"), F.lit(None).cast("string").alias("text_visible"), F.col("verified").alias("claude_verified"),
+    found = F.array_sort(F.collect_list(F.struct("det_id", *B.CORNERS, "text", "quality", "confidence", "match_kind", "verified")))
+    none = lambda kind: F.lit(None).cast(kind)
+    # what is the same for all comes in after the shuffle
+    region = lambda r: F.struct(
+        r["det_id"].alias("id"), F.lit("positive").alias("category"), F.array(*[r[c] for c in B.CORNERS]).alias("bbox"), r["text"].alias("text"), none("array<int>").alias("text_bbox"), none("string").alias("vendor"), *[r[c].alias(c) for c in ("quality", "confidence", "match_kind")],
+        none("string").alias("subkind"), none("string").alias("text_visible"), r["verified"].alias("claude_verified"),
     )
-    own = accepted.groupBy("image_id").agg(F.array_sort(F.collect_list(region)).alias("regions")).join(images, "image_id")
+    own = accepted.groupBy("image_id").agg(found.alias("found")).join(images, "image_id").withColumn("regions", F.transform("found", region))
     own = own.withColumn("image", F.format_string("img_%d.jpg", "image_id"))
     return own.select("image", S.document_json(image_size=F.array("width", "height")).alias("json"))

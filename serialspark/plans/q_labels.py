@@ -22,10 +22,13 @@ LABELS = f"""select r.*, p.text, case when p.text is null then 'rejected' when n
   from ({READ}) r left join ({PRIMARY}) p using (det_id) left join (select det_id, kind from ({CONSENSUS.replace('from {fx_detections})', f'from ({PRIMARY}))')}) where kind = 'both') b using (det_id)"""
 BOX = "greatest(0, x1 - trunc((x2 - x1) * 0.15::double)::int)::int as x1, greatest(0, y1 - trunc((y2 - y1) * 0.375::double)::int)::int as y1, least(300, x2 + trunc((x2 - x1) * 0.15::double)::int)::int as x2, least(60, y2 + trunc((y2 - y1) * 0.375::double)::int)::int as y2"
 
+#: Detections are made from lineitem, an image from an order: dealt out by it once, both engines' rows lie with their image.
+BY_IMAGE = {"lineitem": "l_orderkey"}
+
 
 def _labels(spark, sf):
     """(rows, where they are written, counts)"""
-    rows = L.labelled(spark_sql(spark, sf, READ), fx(spark, sf, "fx_detections_b"), spark_sql(spark, sf, IMAGES))
+    rows = L.labelled(spark_sql(spark, sf, READ, BY_IMAGE), fx(spark, sf, "fx_detections_b", BY_IMAGE), spark_sql(spark, sf, IMAGES, BY_IMAGE))
     path = place(spark, "labels")
     return rows, path, L.write_labels(rows, path)
 
@@ -35,7 +38,7 @@ def autolabel_accepted(spark, sf):
     """Accepted labels as annotation files, read again."""
     rows, path, _ = _labels(spark, sf)
     folder = place(spark, "annotations")
-    S.write_annotations(L.documents(L.read_labels(rows, path, "accepted"), spark_sql(spark, sf, IMAGES)), folder)
+    S.write_annotations(L.documents(L.read_labels(rows, path, "accepted"), spark_sql(spark, sf, IMAGES, BY_IMAGE)), folder)
     return S.regions_of(S.parse_annotations(S.read_annotation_lines(spark, folder))).select("image", "id", "category", "text", "quality", "confidence", "verified", *B.CORNERS)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from serialspark import schemas as S
+from serialspark.sources.store import shuffles_dropped
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
@@ -45,9 +46,13 @@ def _unknown(json: str) -> Column:
 
 
 def regions_of(parsed: DataFrame) -> DataFrame:
-    """One row for each region of parsed documents, with extra where they were parsed with it."""
+    """One row for each region of parsed documents, with extra where they were parsed with it.
+
+    Spark would test for regions before it makes rows of them, and read the JSON again for each test, so documents without regions go after.
+    """
     own = ["extra"] if "extra" in parsed.columns else []
-    r = parsed.select("image", "schema_version", F.explode(F.arrays_zip("regions", "extra")).alias("z")).select("image", "schema_version", "z.extra", F.col("z.regions").alias("r")) if own else parsed.select("image", "schema_version", F.explode("regions").alias("r"))
+    rows = lambda c, to: parsed.select("image", "schema_version", F.posexplode_outer(c).alias("at", to)).where("at is not null")
+    r = rows(F.arrays_zip("regions", "extra"), "z").select("image", "schema_version", "z.extra", F.col("z.regions").alias("r")) if own else rows("regions", "r")
     return r.select("image", "schema_version", *own, "r.id", "r.category", "r.text", "r.vendor", "r.quality", "r.confidence", "r.subkind", "r.text_visible", F.coalesce("r.claude_verified", F.lit(False)).alias("verified"), *[F.element_at("r.bbox", i + 1).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))])
 
 
@@ -108,8 +113,9 @@ def document_json(image: str = "image", regions: str = "regions", **more: Column
 
 
 def write_annotations(documents: DataFrame, path: str, json: str = "json") -> None:
-    """One line of JSON text for each document."""
-    documents.select(F.col(json).alias("value")).write.text(path)
+    """One line of JSON text for each document, in gzip files."""
+    with shuffles_dropped(documents.sparkSession):
+        documents.select(F.col(json).alias("value")).write.option("compression", "gzip").text(path)
 
 
 def read_annotation_lines(spark: SparkSession, path: str) -> DataFrame:

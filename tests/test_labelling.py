@@ -14,6 +14,9 @@ from serialspark.operators import evaluation as V
 from serialspark.operators import labelling as L
 from serialspark.operators import manifests as G
 from serialspark.operators import pixels as P
+from serialspark.plans import q_labels as Q
+from serialspark.plans.fixtures import fx, spark_sql
+from serialspark.sources import files as S
 
 RAW = "image_id long, det_id long, raw string, conf double, x1 int, y1 int, x2 int, y2 int"
 
@@ -138,3 +141,50 @@ def test_partners_are_those_of_one_after_the_other():
 def test_labels_are_verified_by_one_shuffle(spark):
     plan = L.labelled(*readings(spark))._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("Join") == 1 and "collect_list" not in plan
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = (files.apply(i).getName() for i in range(files.length()))
+    return {n for n in names if n.startswith("shuffle_")}
+
+
+def test_labels_of_dealt_readings_shuffle_once(spark):
+    """Both engines' rows come from one shuffle of lineitem, the images from another, and pairing needs none of its own."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sf = "/root/testdata/sf0.001"
+        rows = L.labelled(spark_sql(spark, sf, Q.READ, Q.BY_IMAGE), fx(spark, sf, "fx_detections_b", Q.BY_IMAGE), spark_sql(spark, sf, Q.IMAGES, Q.BY_IMAGE))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("- Exchange hashpartitioning") == 2 and plan.count("ReusedExchange") == 1
+
+
+def test_labels_leave_no_shuffle_and_no_plain_text(spark, tmp_path):
+    before, conf = shuffle_files(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(conf)
+    rows = L.labelled(*readings(spark))
+    L.write_labels(rows, f"{tmp_path}/labels")
+    documents = L.documents(L.read_labels(rows, f"{tmp_path}/labels", "accepted"), readings(spark)[2])
+    S.write_annotations(documents, f"{tmp_path}/annotations")
+    assert not shuffle_files(spark) - before and spark.conf.get(conf) == was
+    assert {f.suffix for f in (tmp_path / "annotations").glob("part-*")} == {".gz"}
+    back = S.read_annotation_lines(spark, f"{tmp_path}/annotations")
+    assert sorted(r.json for r in back.collect()) == sorted(r.json for r in documents.collect()) and back.count() == 2
+
+
+def test_partners_of_groups_that_are_longer_than_a_batch(spark):
+    """Groups over several batches, and batches of many groups, are paired whole; secondaries that are left stay only with consensus."""
+    a = spark.createDataFrame([(i % 3 // 2, i, None if i == 7 else "t", i * 10, 0, i * 10 + 9, 9) for i in range(40)], "image_id long, det_id long, text string, x1 int, y1 int, x2 int, y2 int")
+    b = a.where("det_id % 2 = 0").withColumn("det_id", F.col("det_id") + 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        out = {r.det_id: r.verified for r in detections.verified(a, b).collect()}
+        kinds = {(r.det_id, r.other_id, r.kind) for r in detections.consensus(a.where("det_id < 20"), b).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert out == {i: i % 2 == 0 for i in range(40)}
+    assert kinds == {(i, i + 100, "both") if i % 2 == 0 else (i, None, "primary_only") for i in range(20)} | {(None, i + 100, "secondary_only") for i in range(20, 40, 2)}
